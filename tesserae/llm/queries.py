@@ -17,8 +17,29 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(_read(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codec import encode_documents
+
+    return encode_documents(_read(spark, sf_dir, "documents"))
+
+
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), width=4)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_id
+
+    return language_id(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_minhash_dedup": op4_minhash_dedup,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES: dict[str, str] = {}
