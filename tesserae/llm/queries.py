@@ -31,6 +31,12 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), width=4)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_report
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
