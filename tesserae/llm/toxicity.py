@@ -2,17 +2,18 @@
 
 Terms are a text's lower-cased letter runs and their first four, five and six
 letters.  Of all terms of the labelled rows, those that a log-likelihood test
-ties to either label (at least ``min_df`` texts, the ``max_terms`` strongest)
-span the space; their document frequencies over all documents give the IDF.
-Vectors are unit-length TF-IDF over those terms.
+ties to label 1 span the space: at least ``min_df`` texts, most of them label 1,
+the ``max_terms`` strongest.  Their document frequencies over all documents give
+the IDF.  Vectors are unit-length TF-IDF over those terms.
 
 The examples are up to ``max_examples`` labelled rows (a documented bound; the
 smallest hashes, half of either label while both suffice).  Their inverted index
 lies in blocks of ``BLOCK`` examples; each term keeps its largest weight in each
 block.  A query adds up those maxima, reads blocks from the largest bound down
 and stops where no later block can reach its k-th cosine, so the neighbours are
-exact.  Neighbours vote with weight 1 / (distance + 0.05); votes of the two halves
-are weighed back to the labels' true shares, and a monotone map fitted on the
+exact.  Neighbours vote with weight 1 / (distance + 0.05), less that of an
+unrelated example, against one vote for label 0; votes of the two halves are
+weighed back to the labels' true shares, and a monotone map fitted on the
 examples' own leave-one-out votes makes them probabilities.  A text without any
 of the terms gets the share of toxic rows among labelled texts without them.
 
@@ -151,8 +152,8 @@ class BlockMaxIndex:
 
 def votes(cos: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     """Share of the neighbours' votes for label 1."""
-    v = weight / (np.sqrt(np.maximum(2 - 2 * cos, 0)) + CLOSE)
-    return float((v * y).sum() / v.sum()) if len(cos) else 0.0
+    v = weight * (1 / (np.sqrt(np.clip(2 - 2 * cos, 0, 2)) + CLOSE) - 1 / (math.sqrt(2) + CLOSE))
+    return float((v * y).sum() / (v.sum() + 1))
 
 
 def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,9 +180,9 @@ def toxicity(
     threshold: float = 0.3,
     k: int = 15,
     max_examples: int = 2048,
-    max_terms: int = 4096,
+    max_terms: int = 2048,
     min_df: int = 5,
-    min_signal: float = 20.0,
+    min_signal: float = 25.0,
 ) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence.  ``held_out`` None: all labelled rows teach."""
     spark = documents.sparkSession
@@ -199,7 +200,7 @@ def toxicity(
         base = all_pos / all_n
         n, p = F.col("n"), F.col("pos")
         signal = 2 * (F.when(p > 0, p * F.log(p / (n * base))).otherwise(0.0) + F.when(n > p, (n - p) * F.log((n - p) / (n * (1 - base)))).otherwise(0.0))
-        place = {r[0]: i for i, r in enumerate(counts.select("term", signal.alias("g")).filter(F.col("g") >= min_signal).orderBy(F.desc("g"), "term").limit(max_terms).collect())}
+        place = {r[0]: i for i, r in enumerate(counts.select("term", "n", "pos", signal.alias("g")).filter(F.col("g") >= min_signal).filter(p / n >= base + (1 - base) / 2).orderBy(F.desc("g"), "term").limit(max_terms).collect())}
     shared = spark.sparkContext.broadcast(place)  # max_terms at most
     df = np.zeros(len(place) + 1)
     for i, n in docs.mapInArrow(_document_counts(shared), "i int, n long").groupBy("i").agg(F.sum("n")).collect():  # max_terms + 1 at most
