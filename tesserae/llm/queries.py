@@ -19,6 +19,12 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(_read(spark, sf_dir, "documents"))
 
 
+def op2_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .itq import similar_vectors
+
+    return similar_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .codec import encode_documents
 
@@ -31,6 +37,12 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), width=4)
 
 
+def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hnsw import nearest_neighbours
+
+    return nearest_neighbours(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -63,8 +75,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
+    "op2_itq_dedup": op2_itq_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_hnsw": op5_hnsw,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
