@@ -17,6 +17,7 @@ labels of one kind only, every score is their share.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -154,7 +155,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 4, rate:
     return Forest(np.array(feature, np.int64), np.array(cut), np.array(left, np.int64), np.array(right, np.int64), np.array(value), np.array(roots, np.int64), depth, start)
 
 
-def quality(
+def learn(
     documents: DataFrame,
     labels: DataFrame,
     *,
@@ -163,10 +164,9 @@ def quality(
     label_col: str = "quality",
     modulus: int = 3,
     held_out: int | None = 1,
-    threshold: float = 0.5,
     max_rows: int = 20_000,
-) -> DataFrame:
-    """doc_id, held_out, score, predicted.  ``held_out`` None: all labelled rows teach."""
+) -> Callable:
+    """A function from texts to scores, to be run on executors.  ``held_out`` None: all labelled rows teach."""
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
@@ -179,17 +179,38 @@ def quality(
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(list(rows), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    train = docs.withColumn("id", F.col("id").cast("long")).join(chosen, "id").mapInArrow(measure, "id long, y int, x array<double>").toPandas()  # max_rows rows
+    train = docs.withColumn("id", F.col("id").cast("long")).join(F.broadcast(chosen), "id").mapInArrow(measure, "id long, y int, x array<double>").toPandas()  # max_rows rows
     train = train.sort_values("id", kind="stable")
     forest = fit(np.array(train["x"].tolist(), float).reshape(-1, len(STATISTICS)), train["y"].to_numpy(float))
     model = spark.sparkContext.broadcast(forest)
 
-    def score(batches):
+    def score(batch_texts) -> np.ndarray:
+        x = np.array([statistics(t) for t in batch_texts], float).reshape(-1, len(STATISTICS))
+        return np.concatenate([np.zeros(0), *(model.value.score(x[i : i + 2000]) for i in range(0, len(x), 2000))])
+
+    return score
+
+
+def quality(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 3, held_out: int | None = 1, threshold: float = 0.5, **options) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    score = learn(documents, labels, id_col=id_col, text_col=text_col, modulus=modulus, held_out=held_out, **options)
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            x = np.array([statistics(t) for t in texts(batch.column(1))], float).reshape(-1, len(STATISTICS))
-            s = np.concatenate([model.value.score(x[i : i + 2000]) for i in range(0, len(x), 2000)]) if len(x) else np.zeros(0)
-            held = [held_out is not None and crc_text(i) % modulus == held_out for i in names]
+            s = score(texts(batch.column(1)))
+            held = [held_out is not None and crc_text(i) % modulus == held_out for i in batch.column(0).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(held, pa.bool_()), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
-    return docs.mapInArrow(score, T.StructType([T.StructField(id_col, docs.schema["id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(run, T.StructType([T.StructField(id_col, docs.schema["id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+
+
+def with_quality(documents: DataFrame, labels: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """All columns of ``documents`` and ``__score``."""
+    score = learn(documents, labels, text_col=text_col, **options)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([*batch.columns, pa.array(score(texts(batch.column(text_col))))], names=[*batch.schema.names, "__score"])
+
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("__score", T.DoubleType())]))
