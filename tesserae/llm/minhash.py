@@ -10,9 +10,11 @@
    that share T values meet in one of those lists.  Passages that many documents
    share are common values, so they open no lists unless a document has little else.
 4. Lists of up to ``small`` classes are compared pair by pair.  In a larger one
-   every class is compared to two hubs; what the verified links then leave
-   unconnected in a list is compared in blocks, without the pairs being
-   written out.
+   every class is compared to ``HUBS`` hubs, the members with the fewest values of
+   their own (those nearest to what the list's members are copies of).  Members
+   that the verified links leave outside the list's main component then meet the
+   whole list in blocks, full set against full set, where a pair counts in the first
+   list it shares; only a spanning forest of the links found is written out.
 5. The union sketch of a pair estimates J; pairs well below the limit go.  The
    others' full sets are compared exactly.
 6. Components of the verified links, by star contractions.
@@ -30,16 +32,21 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .components import components
+from .itq import forest
 from .shared import materialize, mix64, shingles, utf8, word_hashes
 
 #: Classes in one block of the comparison that large lists' rest gets.
 BLOCK = 512
+#: Members of a large list that all others are compared to.
+HUBS = 6
 
 
 def _sets(batch_col: pa.Array, width: int):
@@ -112,28 +119,60 @@ def _exact(width: int, percent: int):
     return run
 
 
-def _blocks(similarity: float, slack: float, k: int):
-    """Pairs of two blocks of a list that aren't yet connected and whose sketches allow the similarity."""
-
-    def run(left, right):
-        need = least_shared(k, similarity, slack)
-        out_a, out_b = [], []
-        ids, labels, sk = right["rid"].to_numpy(), right["rlabel"].to_numpy(), right["rsketch"].tolist()
-        sizes = np.array([len(s) for s in sk])
-        flat = np.concatenate(sk)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], np.repeat(np.arange(len(sk)), sizes)[order]
-        for i, label, s in zip(left["id"], left["label"], left["sketch"], strict=True):
-            lo, hi = np.searchsorted(flat, s), np.searchsorted(flat, s, "right")
-            hit = np.concatenate([owner[x:y] for x, y in zip(lo, hi, strict=True)])
-            shared = np.bincount(hit, minlength=len(sk))
-            least = need if len(s) >= k else least_shared(len(s), similarity, slack)
-            ok = (shared >= np.minimum(least, [least_shared(x, similarity, slack) for x in sizes] if (sizes < k).any() else need)) & (labels != label) & (ids != i)
-            out_a += [i] * int(ok.sum())
-            out_b += ids[ok].tolist()
-        import pandas as pd
-
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+def _blocks(percent: int):
+    """Links between two blocks of a list, as a spanning forest."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        edges = [np.zeros((0, 2), np.int64)]
+        if len(left) and len(right):
+            value = left["value"].iat[0]
+            ids, labels = right["rid"].to_numpy(), right["rlabel"].to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in right["rset"]]
+            sizes = np.array([len(x) for x in sets])
+            flat, owner = _flat(sets)
+            earlier = [np.sort(np.array(x)) for x in right["rprefix"]]
+            before, before_owner = _flat([x[x < value] for x in earlier])
+            for i, label, prefix, raw in zip(left["id"], left["label"], left["prefix"], left["set"], strict=True):
+                x = np.frombuffer(raw, np.uint64)
+                mine = np.array(prefix)
+                open_ = (labels != label) & (ids != i) & (_shared(before, before_owner, mine[mine < value], len(ids)) == 0)
+                open_ &= 100 * np.minimum(sizes, len(x)) >= percent * np.maximum(sizes, len(x))
+                if open_.any():
+                    both = _shared(flat, owner, x, len(ids))
+                    hit = np.flatnonzero(open_ & (100 * both >= percent * (sizes + len(x) - both)))
+                    edges.append(np.stack([np.full(len(hit), i), ids[hit]], 1))
+        pairs = np.concatenate(edges)
+        names, at = np.unique(pairs, return_inverse=True)
+        at = at.reshape(-1, 2)
+        a, b = forest(at[:, 0], at[:, 1], len(names)) if len(at) else (at[:, 0], at[:, 1])
+        return pd.DataFrame({"a": names[a], "b": names[b]})
+
+    return run
+
+
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All values of some sets, sorted, and which set each is of."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    return flat[order], owner[order]
+
+
+def _shared(flat: np.ndarray, owner: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """How many values of ``x`` each of the n sets holds."""
+    lo = np.searchsorted(flat, x)
+    size = np.searchsorted(flat, x, "right") - lo
+    total = int(size.sum())
+    if not total:
+        return np.zeros(n, np.int64)
+    start = np.cumsum(size) - size
+    return np.bincount(owner[np.repeat(lo - start, size) + np.arange(total)], minlength=n)
+
+
+def _full_sets(width: int):
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in _sets(batch.column(1), width)], pa.binary())], names=["id", "set"])
 
     return run
 
@@ -177,13 +216,18 @@ def verified_links(docs: DataFrame, sets: DataFrame, width: int, percent: int, j
     least = F.element_at(F.array(*[F.lit(least_shared(i, j, slack)) for i in range(1, k + 1)]), F.col("s"))
     # values of one document come first of all and open no list
     room = (F.col("s") - least + 1) - (F.col("s") - F.size("x"))
-    lists = materialize(ranked.filter(room > 0).select("id", F.explode(F.slice("x", F.lit(1), room)).alias("x")).select("id", "x.value"), "minhash_lists")
-    sizes = lists.groupBy("value").agg(F.count("*").alias("size"), F.min("id").alias("hub"), F.min_by("id", F.xxhash64("id", "value")).alias("other")).filter("size > 1")
+    central = F.aggregate("x", F.lit(0.0), lambda a, v: a + F.ln(v["df"])) / F.col("s")
+    kept = ranked.filter(room > 0).select("id", central.alias("central"), F.transform(F.slice("x", F.lit(1), room), lambda v: v["value"]).alias("prefix"))
+    kept = materialize(kept, "minhash_prefixes")
+    lists = kept.select("id", "central", F.explode("prefix").alias("value"))
+    sizes = lists.groupBy("value").agg(F.count("*").alias("size")).filter("size > 1")
 
     few = lists.join(sizes.filter(F.col("size") <= small).select("value"), "value").groupBy("value").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     pairs = few.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b"))
-    many = lists.join(sizes.filter(F.col("size") > small), "value")
-    stars = many.select(F.explode(F.array("hub", "other")).alias("h"), "id")
+    many = materialize(lists.join(sizes.filter(F.col("size") > small), "value"), "minhash_many")
+    top = Window.partitionBy("value").orderBy(F.desc("central"), "id")
+    hubs = many.withColumn("no", F.row_number().over(top)).filter(F.col("no") <= HUBS).select("value", F.col("id").alias("h"))
+    stars = many.select("value", "id").join(hubs, "value").select("h", "id").distinct()
     pairs = pairs.unionAll(stars.select(F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b")).filter("a <> b")).distinct()
     links = materialize(verify(docs, reps, materialize(pairs, "minhash_pairs"), width, percent, j, k, slack), "minhash_links")
 
@@ -193,25 +237,30 @@ def verified_links(docs: DataFrame, sets: DataFrame, width: int, percent: int, j
     held = materialize(held, "minhash_rest")
     by_label = held.groupBy("value", "label").agg(F.count("*").alias("n"))
     main = by_label.groupBy("value").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("size")).filter("labels > 1")
-    rest = held.join(main, "value").join(reps.select("id", "sketch"), "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = materialize(held.join(main, "value").drop("labels"), "minhash_rest")
+    sets = likely(docs, rest.select("id")).mapInArrow(_full_sets(width), "id long, set binary").dropDuplicates(["id"])
+    rest = rest.join(kept.select("id", "prefix"), "id").join(sets.hint("merge"), "id")
+    rest = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     each = F.sequence(F.lit(0), F.col("blocks") - 1)
     # those outside a list's main component meet all the list, block by block
-    left = rest.filter("label <> main").select("value", "id", "label", "sketch", F.col("block").alias("i"), F.explode(each).alias("j"))
-    right = rest.select(F.col("value").alias("rvalue"), F.col("id").alias("rid"), F.col("label").alias("rlabel"), F.col("sketch").alias("rsketch"), F.explode(each).alias("ri"), F.col("block").alias("rj"))
-    more = left.groupBy("value", "i", "j").cogroup(right.groupBy("rvalue", "ri", "rj")).applyInPandas(guarded(_blocks(j, slack, k)), "a long, b long")
-    more = materialize(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash_more")
-    return links.unionAll(verify(docs, reps, more, width, percent, j, k, slack))
+    left = rest.filter("label <> main").select("value", "id", "label", "prefix", "set", F.col("block").alias("i"), F.explode(each).alias("j"))
+    right = rest.select(F.col("value").alias("rvalue"), F.col("id").alias("rid"), F.col("label").alias("rlabel"), F.col("prefix").alias("rprefix"), F.col("set").alias("rset"), F.explode(each).alias("ri"), F.col("block").alias("rj"))
+    more = left.groupBy("value", "i", "j").cogroup(right.groupBy("rvalue", "ri", "rj")).applyInPandas(_blocks(percent), "a long, b long")
+    return links.unionAll(materialize(more, "minhash_more"))
 
 
-def guarded(run):
-    def both(left, right):
-        import pandas as pd
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without most of the rows whose id isn't in ``ids``: a bitmap of 256 rows of
+    4 KB, whatever the input, so that few texts are shuffled.  As ids grow it lets more pass."""
 
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        return run(left, right)
+    def place(c):
+        return F.pmod(F.xxhash64(c, F.lit(11)), F.lit(1 << 23))
 
-    return both
+    bits = ids.select(place(F.col("id")).alias("h")).groupBy(F.shiftright("h", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("bits"))
+    at = place(F.col("id")) % 32768
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 >= 1
+    return docs.withColumn("bucket", F.shiftright(place(F.col("id")), 15)).join(F.broadcast(bits), "bucket").filter(there).select(*docs.columns)
 
 
 def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int, j: float, k: int, slack: float) -> DataFrame:
@@ -227,8 +276,7 @@ def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, perce
         return with_a.join(of.select(F.col("id").alias("b"), F.col(col).alias(y)), "b").select("a", "b", "salt", x, y)
 
     near = materialize(meet(salted, reps, "sketch", "sa", "sb").mapInArrow(_estimates(j, slack, k), "a long, b long, salt long"), "minhash_near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    full = docs.join(wanted, "id", "left_semi")
+    full = likely(docs, near.select(F.explode(F.array("a", "b")).alias("id"))).hint("merge")
     return meet(near, full, "text", "ta", "tb").mapInArrow(_exact(width, percent), "a long, b long").distinct()
 
 
