@@ -1,9 +1,10 @@
 """Toxicity from the nearest labelled examples.
 
 Terms are a text's lower-cased letter runs and their first four, five and six
-letters.  Of all terms of the labelled rows, those that a log-likelihood test
-ties to label 1 span the space: at least ``min_df`` texts, most of them label 1,
-the ``max_terms`` strongest.  Their document frequencies over all documents give
+letters.  Of all terms of the labelled rows (up to ``max_labels`` of them, a
+documented bound; the smallest hashes of id), those that a log-likelihood test
+ties to label 1 span the space: at least ``min_df`` texts, most of them label 1, a
+signal beyond what chance gives one of so many terms, the ``max_terms`` strongest.  Their document frequencies over all documents give
 the IDF.  Vectors are unit-length TF-IDF over those terms.
 
 The examples are up to ``max_examples`` labelled rows (a documented bound; the
@@ -29,6 +30,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -168,7 +170,7 @@ def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([p[2] / p[0] for p in pools]), np.array([p[1] / p[0] for p in pools])
 
 
-def toxicity(
+def learn(
     documents: DataFrame,
     labels: DataFrame,
     *,
@@ -177,20 +179,22 @@ def toxicity(
     label_col: str = "toxic",
     modulus: int = 4,
     held_out: int | None = 2,
-    threshold: float = 0.3,
     k: int = 15,
+    max_labels: int = 20_000,
     max_examples: int = 2048,
     max_terms: int = 2048,
     min_df: int = 5,
-    min_signal: float = 25.0,
-) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence.  ``held_out`` None: all labelled rows teach."""
+    min_signal: float | None = None,
+) -> Callable:
+    """A function from texts to pairs (score, evidence), to be run on executors.
+    ``held_out`` None: all labelled rows teach."""
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    train = docs.withColumn("id", F.col("id").cast("long")).join(known, "id")
     if held_out is not None:
-        train = train.filter(crc_mod(F.col("id"), modulus) != held_out)
+        known = known.filter(crc_mod(F.col("id"), modulus) != held_out)
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_labels)
+    train = docs.withColumn("id", F.col("id").cast("long")).join(F.broadcast(chosen), "id")  # max_labels pairs of numbers
 
     counts = materialize(train.mapInArrow(_label_counts, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).filter(F.col("n") >= min_df), "toxic_terms")
     all_n, all_pos = train.agg(F.count("*"), F.sum("y")).first()
@@ -199,6 +203,8 @@ def toxicity(
     if 0 < all_pos < all_n:
         base = all_pos / all_n
         n, p = F.col("n"), F.col("pos")
+        if min_signal is None:  # what one of so many unrelated terms reaches by chance
+            min_signal = 2 * math.log(counts.count() + 1) + 2
         signal = 2 * (F.when(p > 0, p * F.log(p / (n * base))).otherwise(0.0) + F.when(n > p, (n - p) * F.log((n - p) / (n * (1 - base)))).otherwise(0.0))
         place = {r[0]: i for i, r in enumerate(counts.select("term", "n", "pos", signal.alias("g")).filter(F.col("g") >= min_signal).filter(p / n >= base + (1 - base) / 2).orderBy(F.desc("g"), "term").limit(max_terms).collect())}
     shared = spark.sparkContext.broadcast(place)  # max_terms at most
@@ -241,29 +247,52 @@ def toxicity(
     none = float((some[1, 0] + 0.5 * (all_pos > 0)) / (some[:, 0].sum() + 1)) if all_n else 0.0
     model = spark.sparkContext.broadcast((index, y, weight, ids, idf, knots, values, none))  # max_examples vectors
 
-    def score(batches):
+    def score(batch_texts, kept: dict) -> list[tuple]:
         index, y, weight, ids, idf, knots, values, none = model.value
-        place = shared.value
-        kept: dict[bytes, tuple] = {}  # texts of equal terms have equal scores
+        place, out = shared.value, []
+        for text in batch_texts:
+            at, w = vector(text, place, idf)
+            if not len(at) or not len(y):
+                out.append((none, []))
+                continue
+            key = at.tobytes() + w.tobytes()  # texts of equal terms have equal scores
+            if key not in kept:
+                if len(kept) > 50_000:
+                    kept.clear()
+                near, cos = index.nearest(at, w, k)
+                s = float(np.interp(votes(cos, y[near], weight[near]), knots, values))
+                kept[key] = (min(1.0, max(0.0, s)), [{"id": int(i), "cosine": float(c)} for i, c in zip(ids[near[:3]], cos[:3], strict=True)])
+            out.append(kept[key])
+        return out
+
+    return score
+
+
+def toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held_out: int | None = 2, threshold: float = 0.3, **options) -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence."""
+    score = learn(documents, labels, id_col=id_col, text_col=text_col, modulus=modulus, held_out=held_out, **options)
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        kept: dict = {}
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            scores, why = [], []
-            for text in texts(batch.column(1)):
-                at, w = vector(text, place, idf)
-                if not len(at) or not len(y):
-                    scores.append(none), why.append([])
-                    continue
-                key = at.tobytes() + w.tobytes()
-                if key not in kept:
-                    if len(kept) > 50_000:
-                        kept.clear()
-                    near, cos = index.nearest(at, w, k)
-                    s = float(np.interp(votes(cos, y[near], weight[near]), knots, values))
-                    kept[key] = (min(1.0, max(0.0, s)), [{"id": int(i), "cosine": float(c)} for i, c in zip(ids[near[:3]], cos[:3], strict=True)])
-                got = kept[key]
-                scores.append(got[0]), why.append(got[1])
-            held = [held_out is not None and crc_text(i) % modulus == held_out for i in names]
-            yield pa.record_batch([batch.column(0), pa.array(held, pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(why, pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64())])))], names=[id_col, "held_out", "score", "predicted", "evidence"])
+            got = score(texts(batch.column(1)), kept)
+            held = [held_out is not None and crc_text(i) % modulus == held_out for i in batch.column(0).to_pylist()]
+            why = pa.array([e for _, e in got], pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64())])))
+            yield pa.record_batch([batch.column(0), pa.array(held, pa.bool_()), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= threshold) for s, _ in got], pa.int32()), why], names=[id_col, "held_out", "score", "predicted", "evidence"])
 
     evidence = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("cosine", T.DoubleType())]))
-    return docs.mapInArrow(score, T.StructType([T.StructField(id_col, docs.schema["id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", evidence)]))
+    return docs.mapInArrow(run, T.StructType([T.StructField(id_col, docs.schema["id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", evidence)]))
+
+
+def with_toxicity(documents: DataFrame, labels: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """All columns of ``documents`` and ``__score``."""
+    score = learn(documents, labels, text_col=text_col, **options)
+
+    def run(batches):
+        kept: dict = {}
+        for batch in batches:
+            got = score(texts(batch.column(text_col)), kept)
+            yield pa.record_batch([*batch.columns, pa.array([s for s, _ in got], pa.float64())], names=[*batch.schema.names, "__score"])
+
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("__score", T.DoubleType())]))
