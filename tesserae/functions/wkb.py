@@ -233,17 +233,17 @@ def st_vertices(raw: pd.Series) -> pd.Series:
     return pd.Series(_of(raw, lambda g: [{"x": x, "y": y} for x, y in vertices(g).tolist()]), dtype=object)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def st_n_points(raw: pd.Series) -> pd.Series:
     return pd.Series(_of(raw, lambda g: len(vertices(g))), dtype="Int64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def st_geometry_type(raw: pd.Series) -> pd.Series:
     return pd.Series(_of(raw, lambda g: g[0]), dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def geojson_to_wkb(text: pd.Series) -> pd.Series:
     def one(t):
         try:
@@ -255,7 +255,7 @@ def geojson_to_wkb(text: pd.Series) -> pd.Series:
     return pd.Series([one(t) for t in text], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def wkb_to_geojson(raw: pd.Series) -> pd.Series:
     return pd.Series(_of(raw, lambda g: json.dumps(to_geojson(g), separators=(",", ":"))), dtype=object)
 
@@ -273,6 +273,6 @@ def point_wkb(x, y):
     return write(x, y)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def box_wkb(xmin: pd.Series, ymin: pd.Series, xmax: pd.Series, ymax: pd.Series) -> pd.Series:
     return pd.Series([dumps(box(*b)) for b in zip(xmin, ymin, xmax, ymax, strict=True)], dtype=object)
