@@ -1,0 +1 @@
+"""A PySpark-native engine for large geospatial feature sets."""

@@ -115,19 +115,24 @@ def morton(x: Column, y: Column) -> Column:
 
 
 def hilbert(x: Column, y: Column, bits: int) -> Column:
-    """Distance along the Hilbert curve of order ``bits``: one step per bit, from the top."""
-    d = F.lit(0).cast("long")
-    x, y = x.cast("long"), y.cast("long")
-    for i in range(bits - 1, -1, -1):
-        side = 1 << i
-        rx = F.shiftright(x, i).bitwiseAND(F.lit(1))
-        ry = F.shiftright(y, i).bitwiseAND(F.lit(1))
-        d = d + F.lit(side * side).cast("long") * ((3 * rx).bitwiseXOR(ry))
-        low = F.lit(side - 1).cast("long")
-        lx, ly = x.bitwiseAND(low), y.bitwiseAND(low)
-        fx, fy = F.when(rx == 1, low - lx).otherwise(lx), F.when(rx == 1, low - ly).otherwise(ly)
-        x, y = F.when(ry == 0, fy).otherwise(lx), F.when(ry == 0, fx).otherwise(ly)
-    return d
+    """Distance along the Hilbert curve of order ``bits``: one step per bit, from the top.
+
+    The steps are a fold over the bit numbers, so the expression stays small."""
+    if not bits:
+        return F.lit(0).cast("long")
+
+    def step(a: Column, i: Column) -> Column:
+        side = F.call_function("shiftleft", F.lit(1).cast("long"), i)
+        rx = F.call_function("shiftright", a["x"], i).bitwiseAND(F.lit(1).cast("long"))
+        ry = F.call_function("shiftright", a["y"], i).bitwiseAND(F.lit(1).cast("long"))
+        lx, ly = a["x"].bitwiseAND(side - 1), a["y"].bitwiseAND(side - 1)
+        turn = rx == 1
+        fx, fy = F.when(turn, side - 1 - lx).otherwise(lx), F.when(turn, side - 1 - ly).otherwise(ly)
+        d = a["d"] + side * side * (rx * 3).bitwiseXOR(ry)
+        return F.struct(F.when(ry == 0, fy).otherwise(lx).alias("x"), F.when(ry == 0, fx).otherwise(ly).alias("y"), d.alias("d"))
+
+    start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
+    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda a: a["d"])
 
 
 def hilbert_number(x: int, y: int, bits: int) -> int:
