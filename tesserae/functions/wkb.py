@@ -208,6 +208,103 @@ BOUNDS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("xmin", "ymin"
 XY = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 
 
+class Batch:
+    """A column of geometries as flat vertices: row i has ``xy[off[i]:off[i+1]]``, or
+    none if it is null, empty or undecodable.
+
+    Little-endian two-dimensional points, lines and polygons of one ring with equal
+    length and head are decoded together; the others one by one (``slow``)."""
+
+    def __init__(self, raw: pd.Series) -> None:
+        n = len(raw)
+        self.kind = np.full(n, None, object)
+        groups: dict[tuple, list[int]] = {}
+        values = raw.tolist()
+        for i, r in enumerate(values):
+            if r is not None:
+                groups.setdefault((len(r), bytes(r[:13])), []).append(i)
+        counts = np.zeros(n, np.int64)
+        chunks: list[tuple[np.ndarray, np.ndarray]] = []  # rows, (rows, points, 2)
+        self.slow: dict[int, tuple] = {}
+        for (size, head), rows in groups.items():
+            start = self._plain(size, head)
+            if start is None:
+                for i in rows:
+                    g = parse(values[i])
+                    if g is not None:
+                        self.slow[i], self.kind[i] = g, g[0]
+                        counts[i] = len(vertices(g))
+                continue
+            name, skip = start
+            at = np.array(rows)
+            xy = np.frombuffer(b"".join(values[i] for i in rows), np.uint8).reshape(len(rows), size)[:, skip:]
+            xy = np.ascontiguousarray(xy).view("<f8").reshape(len(rows), -1, 2)
+            self.kind[at] = name
+            if name == "Point":
+                counts[at] = ~np.isnan(xy[:, 0]).all(1)
+            else:
+                counts[at] = xy.shape[1]
+            chunks.append((at, xy))
+        self.off = np.r_[0, np.cumsum(counts)]
+        self.xy = np.zeros((self.off[-1], 2))
+        for at, xy in chunks:
+            has = counts[at] > 0
+            at, xy = at[has], xy[has]
+            self.xy[(self.off[at][:, None] + np.arange(xy.shape[1])).ravel()] = xy.reshape(-1, 2)
+        for i, g in self.slow.items():
+            if counts[i]:
+                self.xy[self.off[i] : self.off[i + 1]] = vertices(g)
+        self.counts, self.chunks = counts, chunks
+
+    @staticmethod
+    def _plain(size: int, head: bytes):
+        """(type, bytes before the coordinates) if the rest is nothing but them."""
+        if len(head) < 9 or head[0] != 1:
+            return None
+        code, k = struct.unpack_from("<II", head, 1)
+        if code == 1 and size == 21:
+            return "Point", 5
+        if code == 2 and k and size == 9 + 16 * k:
+            return "LineString", 9
+        if code == 3 and k == 1 and len(head) == 13:
+            (m,) = struct.unpack_from("<I", head, 9)
+            if m and size == 13 + 16 * m:
+                return "Polygon", 13
+        return None
+
+    def bounds(self) -> np.ndarray:
+        out = np.full((len(self.counts), 4), np.nan)
+        some = np.flatnonzero(self.counts)
+        if len(some):
+            cut = self.off[some]
+            out[some, :2] = np.minimum.reduceat(self.xy, cut)
+            out[some, 2:] = np.maximum.reduceat(self.xy, cut)
+        return out
+
+    def centroids(self) -> np.ndarray:
+        out = np.full((len(self.counts), 2), np.nan)
+        for at, xy in self.chunks:
+            if self.kind[at[0]] == "Point":
+                out[at] = xy[:, 0]
+                continue
+            done = np.zeros(len(at), bool)
+            if self.kind[at[0]] == "Polygon" and xy.shape[1] > 2:
+                o = xy[:, :1]
+                a, b = xy[:, :-1] - o, xy[:, 1:] - o
+                cross = a[..., 0] * b[..., 1] - b[..., 0] * a[..., 1]
+                area = cross.sum(1) / 2
+                done = area != 0
+                moment = ((a + b) * cross[..., None]).sum(1) / 6
+                out[at[done]] = moment[done] / area[done, None] + o[done, 0]
+            for i, p in zip(at[~done].tolist(), xy[~done], strict=True):
+                out[i] = centroid((self.kind[i], [p] if self.kind[i] == "Polygon" else p))
+        for i, g in self.slow.items():
+            c = centroid(g)
+            if c is not None:
+                out[i] = c
+        return out
+
+
 def _of(raw: pd.Series, use, empty=None) -> list:
     out = []
     for r in raw:
@@ -218,29 +315,30 @@ def _of(raw: pd.Series, use, empty=None) -> list:
 
 @F.pandas_udf(BOUNDS)
 def st_bounds(raw: pd.Series) -> pd.DataFrame:
-    rows = [b or (None,) * 4 for b in _of(raw, bounds)]
-    return pd.DataFrame(rows, columns=BOUNDS.names, dtype=float) if rows else pd.DataFrame({n: pd.Series(dtype=float) for n in BOUNDS.names})
+    return pd.DataFrame(Batch(raw).bounds(), columns=BOUNDS.names).astype(object).where(lambda d: d.notna(), None)
 
 
 @F.pandas_udf(XY)
 def st_centroid(raw: pd.Series) -> pd.DataFrame:
-    rows = [c or (None, None) for c in _of(raw, centroid)]
-    return pd.DataFrame(rows, columns=["x", "y"], dtype=float) if rows else pd.DataFrame({n: pd.Series(dtype=float) for n in ("x", "y")})
+    return pd.DataFrame(Batch(raw).centroids(), columns=["x", "y"]).astype(object).where(lambda d: d.notna(), None)
 
 
 @F.pandas_udf(T.ArrayType(XY))
 def st_vertices(raw: pd.Series) -> pd.Series:
-    return pd.Series(_of(raw, lambda g: [{"x": x, "y": y} for x, y in vertices(g).tolist()]), dtype=object)
+    b = Batch(raw)
+    points = [{"x": x, "y": y} for x, y in b.xy.tolist()]
+    return pd.Series([None if k is None else points[i:j] for k, i, j in zip(b.kind, b.off[:-1].tolist(), b.off[1:].tolist(), strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.LongType())
 def st_n_points(raw: pd.Series) -> pd.Series:
-    return pd.Series(_of(raw, lambda g: len(vertices(g))), dtype="Int64")
+    b = Batch(raw)
+    return pd.Series(b.counts, dtype="Int64").where(pd.Series([k is not None for k in b.kind], dtype=bool))
 
 
 @F.pandas_udf(T.StringType())
 def st_geometry_type(raw: pd.Series) -> pd.Series:
-    return pd.Series(_of(raw, lambda g: g[0]), dtype=object)
+    return pd.Series(Batch(raw).kind, dtype=object)
 
 
 @F.pandas_udf(T.BinaryType())

@@ -161,3 +161,19 @@ def test_vector_tiles_round_trip():
     ring = mvt.decode(big[0])["layer0"]["features"][0]["geometry"][0]
     assert big[1] == 1 and all(-256 <= v <= 4352 for p in ring for v in p)
     assert mvt.render(5, 0, 0, [(wkb.point(0, 0), {})]) is None
+
+
+def test_batches_equal_single_geometries():
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    shapes = [wkb.point(*rng.random(2)) for _ in range(5)] + [wkb.box(0, 0, *(1 + rng.random(2))) for _ in range(5)] + [("LineString", rng.random((k, 2))) for k in (1, 2, 2, 7)]
+    shapes += [("Point", None), ("Polygon", []), ("LineString", np.zeros((0, 2))), ("Polygon", [np.zeros((4, 2))]), ("MultiPoint", [wkb.point(1, 1), wkb.point(3, 3)]), ("GeometryCollection", [])]
+    raw = pd.Series([wkb.dumps(g) for g in shapes] + [None, b"junk", b"\x01\x02"], dtype=object)
+    b = wkb.Batch(raw)
+    for i, g in enumerate(shapes):
+        assert b.kind[i] == g[0] and b.xy[b.off[i] : b.off[i + 1]].tolist() == wkb.vertices(g).tolist()
+        want, c = wkb.bounds(g), wkb.centroid(g)
+        assert b.bounds()[i].tolist() == pytest.approx(want) if want else np.isnan(b.bounds()[i]).all()
+        assert b.centroids()[i].tolist() == pytest.approx(c) if c else np.isnan(b.centroids()[i]).all()
+    assert list(b.kind[len(shapes) :]) == [None] * 3 and b.counts[len(shapes) :].tolist() == [0, 0, 0]
