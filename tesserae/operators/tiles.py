@@ -7,7 +7,6 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
 from pyspark.sql.window import Window as W
 
 from ..functions import geometry as G

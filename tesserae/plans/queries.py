@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import boxes as B
 from ..functions import mercator as M
@@ -475,6 +476,65 @@ def attribute_role(spark, d):
     return x.select("name", profile.attribute_role(F.col("name"), F.col("kind"), F.col("n")).alias("role"))
 
 
+# --- projections, sorts and samples -----------------------------------------------------
+
+
+@query(f"WITH {GE} SELECT event_id, round({_mx('lon')}, 2)::DOUBLE AS x, round({_my('lat')}, 2)::DOUBLE AS y FROM ge")
+def mercator_project(spark, d):
+    return geo_events(spark, d).select("event_id", F.round(M.mercator_x(F.col("lon")), 2).alias("x"), F.round(M.mercator_y(F.col("lat")), 2).alias("y"))
+
+
+@query(f"""WITH {GC}, t AS (SELECT c_custkey, {_mx('lon')} AS mx, {_my('lat')} AS my, {_cell('4', 'gc')} FROM gc), b AS (SELECT *, 40075016.685578488 / 16 AS w FROM t)
+SELECT c_custkey, row, col, round((mx - (col * w - 20037508.342789244)) / w * 4096, 3)::DOUBLE AS px, round((my - (20037508.342789244 - (row + 1) * w)) / w * 4096, 3)::DOUBLE AS py FROM b""")
+def tile_space(spark, d):
+    """Points in the coordinates of their own tile (y up)."""
+    c = geo_customers(spark, d).select("c_custkey", M.mercator_x(F.col("lon")).alias("mx"), M.mercator_y(F.col("lat")).alias("my"))
+    x, y = M.cell(F.col("mx"), F.col("my"), 4)
+    c = c.withColumns({"col": x, "row": y})
+    a, b, e, f = M.tile_bounds(F.lit(4.0), F.col("col"), F.col("row"))
+    return c.select("c_custkey", "row", "col", F.round(M.to_tile_space(F.col("mx"), a, e), 3).alias("px"), F.round(M.to_tile_space(F.col("my"), b, f), 3).alias("py"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey LIMIT 300")
+def column_sort(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy("o_custkey", F.desc("o_totalprice"), "o_orderkey").limit(300)
+
+
+@query("SELECT event_id FROM events WHERE (event_id * 2654435761) % 1000003 < 100000")
+def bernoulli_sample(spark, d):
+    """A share of the rows by their hash, so that reruns agree."""
+    return read(spark, d, "events").filter((F.col("event_id") * 2654435761) % 1000003 < 100000).select("event_id")
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT l_suppkey % 16) AS partitions FROM lineitem")
+def row_counts(spark, d):
+    return read(spark, d, "lineitem").agg(F.count("*").alias("rows"), F.count_distinct(F.col("l_suppkey") % 16).alias("partitions"))
+
+
+@query(f"WITH {GC}, w AS (SELECT c_custkey, lon, 1 + c_custkey % 5 AS weight FROM gc) SELECT c_custkey, CAST(sum(weight) OVER (PARTITION BY floor(lon / 30) ORDER BY lon, c_custkey) AS BIGINT) AS below FROM w")
+def cumulative_weight(spark, d):
+    """Running weight along an axis, within strips, as split choice needs it."""
+    c = geo_customers(spark, d).select("c_custkey", "lon", (1 + F.col("c_custkey") % 5).alias("weight"))
+    w = Window.partitionBy(F.floor(F.col("lon") / 30)).orderBy("lon", "c_custkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return c.select("c_custkey", F.sum("weight").over(w).alias("below"))
+
+
+@query(f"""WITH {GC} SELECT c_custkey, min(lat) OVER lo AS low_min, max(lat) OVER lo AS low_max, min(lat) OVER hi AS high_min, max(lat) OVER hi AS high_max FROM gc
+WINDOW lo AS (PARTITION BY c_nationkey ORDER BY lon, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), hi AS (PARTITION BY c_nationkey ORDER BY lon, c_custkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)""")
+def prefix_suffix_bounds(spark, d):
+    """Bounds of both sides of every split along x, within nations."""
+    w = Window.partitionBy("c_nationkey").orderBy("lon", "c_custkey")
+    lo, hi = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    return geo_customers(spark, d).select("c_custkey", F.min("lat").over(lo).alias("low_min"), F.max("lat").over(lo).alias("low_max"), F.min("lat").over(hi).alias("high_min"), F.max("lat").over(hi).alias("high_max"))
+
+
+@query("SELECT user_id, unnest([1, 2]) AS part, event_type FROM events WHERE event_type IS NOT NULL AND event_id % 50 = 0")
+def sample_union(spark, d):
+    """Samples of two splits put together."""
+    e = read(spark, d, "events").filter("event_type is not null and event_id % 50 = 0")
+    return e.select("user_id", F.lit(1).alias("part"), "event_type").union(e.select("user_id", F.lit(2), "event_type"))
+
+
 # --- without SQL: checked by tests ------------------------------------------------------
 
 
