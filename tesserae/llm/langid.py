@@ -19,28 +19,33 @@ of a bounded number of words.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pieces as P
 from .lm_score import BATCH, HELD, word_logs
-from .shared import crc_text, texts
+from .shared import crc_text, slices, texts
 
-LETTERS = regex.compile(r"\p{L}+")
+LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-#: Distinct words whose scores a worker keeps.
-KEPT = 250_000
-_cache: dict[str, dict[str, np.ndarray]] = {}
+#: Distinct words whose scores a worker keeps between batches.
+KEPT = 400_000
+_cache: dict[str, tuple[dict[str, int], np.ndarray]] = {}
 
 
-def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+def words_of(text: str) -> Counter:
+    bag = Counter(LETTERS.findall(text.lower()))
+    for w in [w for w in bag if not w.isalpha()]:  # numerals that aren't decimal digits
+        n = bag.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            bag[part] += n
+    return bag
 
 
 def _count(modulus: int, remainder: int):
@@ -56,7 +61,7 @@ def _count(modulus: int, remainder: int):
                 if lang is None or crc_text(i) % modulus == remainder:
                     continue
                 held[lang, ""] += 1  # the document itself
-                for w, k in Counter(words_of(text)).items():
+                for w, k in words_of(text).items():
                     held[lang, w] += k
                 if len(held) > HELD:
                     yield out()
@@ -125,30 +130,30 @@ def language_id(
     def run(batches):
         if key not in _cache:
             _cache.clear()
-            _cache[key] = {}
-        cache = _cache[key]
-        for batch in batches:
+            _cache[key] = ({}, np.zeros((0, len(names))))
+        for batch in slices(batches, limit=16 << 20):
+            place, logs = _cache[key]
             ids = batch.column(0).to_pylist()
-            bags = [Counter(words_of(x)) for x in texts(batch.column(1))]
-            new = {w for bag in bags for w in bag}.difference(cache)
-            if len(cache) + len(new) > KEPT:
-                cache.clear()
-                new = {w for bag in bags for w in bag}
-            new = sorted(new)
-            if new and names:
-                for w, row in zip(new, word_logs(shared.value, [w.encode() for w in new], model.value), strict=True):
-                    cache[w] = row
+            bags = [words_of(x) for x in texts(batch.column(1))]
+            used = {w for bag in bags for w in bag} if names else set()
+            new = sorted(used.difference(place))
+            if len(place) + len(new) > KEPT:  # words that came before and came again stay
+                old = [w for w in place if w in used]
+                logs, place = logs[[place[w] for w in old]], {w: i for i, w in enumerate(old)}
+            if new:
+                first = len(place)
+                place.update((w, first + i) for i, w in enumerate(new))
+                logs = np.concatenate([logs, word_logs(shared.value, [w.encode() for w in new], model.value)])
+            _cache[key] = (place, logs)
             pred, score = [], []
             for bag in bags:
                 if not bag or not names:
                     pred.append(UNDETERMINED), score.append(0.0)
                     continue
-                log = prior + np.array(list(bag.values()), float) @ np.array([cache[w] for w in bag])
+                log = prior + np.fromiter(bag.values(), float, len(bag)) @ logs[[place[w] for w in bag]]
                 log = log - log.max()
                 best = int(log.argmax())
                 pred.append(names[best]), score.append(float(1 / np.exp(log).sum()))
-            if len(cache) > KEPT:
-                cache.clear()
             yield pa.record_batch([batch.column(0), pa.array([crc_text(i) % modulus == held_out for i in ids], pa.bool_()), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema["id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -72,6 +72,18 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]] if n else data[:0], off - off[0]
 
 
+def slices(batches, column: int | str = 1, limit: int = 4 << 20):
+    """The batches cut into slices of about ``limit`` bytes of a text column, so
+    that what is made of a slice stays small however many rows a batch holds."""
+    for batch in batches:
+        _, off = utf8(batch.column(column))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def texts(col: pa.Array) -> Iterator[str]:
     for x in col:
         yield x.as_py() or ""
