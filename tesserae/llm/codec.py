@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pieces as P
+from .shared import slices
 
 UNKNOWN_PENALTY = 10.0
 BATCH = 200_000
@@ -156,7 +157,7 @@ def encode_documents(
         logs = v.log_scores() if scores == "zipf" else v.scores
         cut = chunker(v)
         is_byte = v.kinds == P.BYTE
-        for batch in batches:
+        for batch in slices(batches):
             raw = [None if x is None else cut(marked(x)) for x in batch.column(1).to_pylist()]
             all_new = {c for cs in raw if cs for c in cs}.difference(cache)
             new = sorted(all_new)
