@@ -3,8 +3,9 @@
 Terms are a text's lower-cased letter runs and their first four, five and six
 letters.  Of all terms of the labelled rows (up to ``max_labels`` of them, a
 documented bound; the smallest hashes of id), those that a log-likelihood test
-ties to label 1 span the space: at least ``min_df`` texts, most of them label 1, a
-signal beyond what chance gives one of so many terms, the ``max_terms`` strongest.  Their document frequencies over all documents give
+ties to label 1 span the space: at least ``min_df`` texts, most of them label 1, at
+most ``max_terms``, and as many of the strongest as hold no more than ``false_share``
+chance finds; copies of one text (equal smallest hash of three words) count once.  Their document frequencies over all documents give
 the IDF.  Vectors are unit-length TF-IDF over those terms.
 
 The examples are up to ``max_examples`` labelled rows (a documented bound; the
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import crc_mod, crc_text, materialize, texts
+from .shared import crc_mod, crc_text, materialize, shingles, slices, texts, utf8, word_hashes
 
 WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -114,6 +115,45 @@ def vector(text: str, place: dict[str, int], idf: np.ndarray) -> tuple[np.ndarra
     return (at, w / size) if size else (at[:0], w[:0])
 
 
+def signal(n: int, pos: int, base: float) -> float:
+    """Log-likelihood ratio of ``pos`` of n texts being label 1 against the share ``base`` of all."""
+    return 2 * ((pos * math.log(pos / (n * base)) if pos else 0.0) + ((n - pos) * math.log((n - pos) / (n * (1 - base))) if n > pos else 0.0))
+
+
+def discoveries(signals: list[float], tests: int, share: float) -> int:
+    """How many of the strongest signals to take so that no more than ``share`` of
+    them are expected to be chance among so many tests (Benjamini and Hochberg)."""
+    best = 0
+    for k, g in enumerate(signals, 1):
+        if math.erfc(math.sqrt(g / 2)) / 2 <= share * k / max(1, tests):
+            best = k
+    return best
+
+
+def _signal(base: float):
+    n, p = F.col("n"), F.col("pos")
+    return 2 * (F.when(p > 0, p * F.log(p / (n * base))).otherwise(0.0) + F.when(n > p, (n - p) * F.log((n - p) / (n * (1 - base)))).otherwise(0.0))
+
+
+def _kinds(shared):
+    """(term, smallest shingle hash, label) of each row's terms, and one row of term -1."""
+
+    def run(batches):
+        place = shared.value
+        for batch in slices(batches):
+            out: tuple[list, list, list] = ([], [], [])
+            data, off = utf8(batch.column(1))
+            h, w = word_hashes(data, off)
+            for text, y, a, b in zip(texts(batch.column(1)), batch.column(2).to_pylist(), w[:-1], w[1:], strict=True):
+                s = shingles(h[a:b], 3)
+                kind = int(s[0]) >> 1 if len(s) else -1
+                for i in (-1, *(place[t] for t in _known(text, place))):
+                    out[0].append(i), out[1].append(kind), out[2].append(y)
+            yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=["i", "kind", "y"])
+
+    return run
+
+
 class BlockMaxIndex:
     """Exact cosine neighbours among a bounded set of unit vectors."""
 
@@ -182,9 +222,10 @@ def learn(
     k: int = 15,
     max_labels: int = 20_000,
     max_examples: int = 2048,
-    max_terms: int = 2048,
-    min_df: int = 5,
-    min_signal: float | None = None,
+    max_terms: int = 4096,
+    min_df: int = 3,
+    min_signal: float = 10.0,
+    false_share: float = 0.05,
 ) -> Callable:
     """A function from texts to pairs (score, evidence), to be run on executors.
     ``held_out`` None: all labelled rows teach."""
@@ -201,12 +242,18 @@ def learn(
     all_pos = all_pos or 0
     place: dict[str, int] = {}
     if 0 < all_pos < all_n:
-        base = all_pos / all_n
-        n, p = F.col("n"), F.col("pos")
-        if min_signal is None:  # what one of so many unrelated terms reaches by chance
-            min_signal = 2 * math.log(counts.count() + 1) + 2
-        signal = 2 * (F.when(p > 0, p * F.log(p / (n * base))).otherwise(0.0) + F.when(n > p, (n - p) * F.log((n - p) / (n * (1 - base)))).otherwise(0.0))
-        place = {r[0]: i for i, r in enumerate(counts.select("term", "n", "pos", signal.alias("g")).filter(F.col("g") >= min_signal).filter(p / n >= base + (1 - base) / 2).orderBy(F.desc("g"), "term").limit(max_terms).collect())}
+        tests = counts.count()
+        found = counts.withColumn("g", _signal(all_pos / all_n)).filter(F.col("g") >= min_signal).filter(F.col("pos") / F.col("n") >= (1 + all_pos / all_n) / 2)
+        names = [r[0] for r in found.select("term", "g").orderBy(F.desc("g"), "term").limit(max_terms).collect()]
+        # once more, with copies of a text counted as one: a large group of them has many words of its own
+        tried = spark.sparkContext.broadcast({t: i for i, t in enumerate(names)})
+        kinds = train.mapInArrow(_kinds(tried), "i int, kind long, y int").groupBy("i", "kind").agg(F.max("y").alias("y")).groupBy("i").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+        by_term = {r["i"]: (r["n"], r["pos"]) for r in kinds.collect()}  # max_terms + 1 rows
+        texts_, toxic_ = by_term.pop(-1)
+        if 0 < toxic_ < texts_:
+            base = toxic_ / texts_
+            scored = sorted(((signal(n, p, base), i) for i, (n, p) in by_term.items() if n >= min_df and p / n >= (1 + base) / 2), key=lambda s: (-s[0], s[1]))
+            place = {names[i]: k for k, (_, i) in enumerate(scored[: discoveries([g for g, _ in scored], tests, false_share)])}
     shared = spark.sparkContext.broadcast(place)  # max_terms at most
     df = np.zeros(len(place) + 1)
     for i, n in docs.mapInArrow(_document_counts(shared), "i int, n long").groupBy("i").agg(F.sum("n")).collect():  # max_terms + 1 at most
