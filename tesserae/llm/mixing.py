@@ -8,8 +8,8 @@ repetition rate is target / size: each document is emitted floor(rate) times,
 and once more if a hash of seed and id falls below the fraction, so runs agree.
 
 All of it is DataFrame operations: one aggregate by source that combines before
-its shuffle, a window over one row per source, and a broadcast join of that
-table only while Spark's own size limit allows it.
+its shuffle, a window over one row per source, and a join with that table: a
+broadcast up to MOST_BROADCAST sources, a shuffle beyond.
 
 Nulls: a null text has size 0; a null source is a source of its own, ordered
 last; a null id hashes as ''.  Rows that repeat are each counted and mixed.
@@ -22,8 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .shared import materialize
+
 WEIGHTS = (5, 2, 1)
 SEED = 20
+#: Sources whose targets are broadcast, at most.
+MOST_BROADCAST = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -65,7 +69,9 @@ def mixed(
     """All columns of ``documents`` in the struct ``row``, with source, size, source_size, target, copies."""
     docs = documents.select(F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys(documents.columns)]).alias("row"), F.col(id_col).cast("string").alias("key"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"))
     plan = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
-    plan = plan.withColumnRenamed("source", "its_source")
+    # one row a source: few are broadcast, so that no source's rows meet in one task; very many are joined by a shuffle
+    plan = materialize(plan.withColumnRenamed("source", "its_source"), "mixing_targets")
+    plan = F.broadcast(plan) if plan.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else plan
     x = docs.join(plan, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
     # a source without words is taken as it is
     rate = F.coalesce(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(1.0))
