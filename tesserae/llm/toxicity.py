@@ -225,7 +225,7 @@ def learn(
     max_terms: int = 4096,
     min_df: int = 3,
     min_signal: float = 10.0,
-    false_share: float = 0.05,
+    false_share: float = 0.01,
 ) -> Callable:
     """A function from texts to pairs (score, evidence), to be run on executors.
     ``held_out`` None: all labelled rows teach."""
