@@ -21,6 +21,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,17 +32,23 @@ from .shared import slices
 UNKNOWN_PENALTY = 10.0
 BATCH = 200_000
 #: Distinct chunks a worker keeps, and the longest that is kept.
-KEPT, KEPT_BYTES = 300_000, 64
-_cache: dict[str, dict[bytes, list[int]]] = {}
+KEPT, KEPT_BYTES = 200_000, 64
+_cache: dict[str, dict[bytes, bytes]] = {}  # of each chunk the ids, four bytes each
 _MARK = P.MARK.encode()
 #: Stands for a marker character that the text itself holds; no UTF-8 text has this byte.
 _LITERAL = b"\xff"
 
 
 def best_paths(v: P.Vocabulary, scores: np.ndarray, chunks: list[bytes]) -> list[list[int]]:
-    """The piece ids of each chunk's best segmentation.  Among equal scores the
-    longer last piece wins."""
-    out: list[list[int]] = [[] for _ in chunks]
+    """The piece ids of each chunk's best segmentation."""
+    return [np.frombuffer(x, np.int32).tolist() for x in packed_paths(v, scores, chunks)]
+
+
+def packed_paths(v: P.Vocabulary, scores: np.ndarray, chunks: list[bytes]) -> list[bytes]:
+    """The same as 32-bit numbers.  Among equal scores the longer last piece wins."""
+    out: list[bytes] = [b""] * len(chunks)
+    mark_ids = byte_pieces(v, _MARK)
+    has_bytes = (v.byte_ids >= 0).all()
     floor = scores[np.isin(v.kinds, (P.NORMAL, P.USER))].min(initial=0.0) - UNKNOWN_PENALTY
     for idx in P.by_length(chunks, BATCH):
         data, off = P.pack([chunks[i] for i in idx])
@@ -79,20 +86,39 @@ def best_paths(v: P.Vocabulary, scores: np.ndarray, chunks: list[bytes]) -> list
         # walk all texts back together
         node, live = x.last.copy(), np.arange(len(idx))
         live = live[node[live] > x.first[live]]
-        trail: list[tuple[np.ndarray, np.ndarray]] = []
+        who, edge, turn = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(live):
-            edge = via[node[live]]
-            trail.append((live, edge))
-            node[live] = s[edge]
+            step = via[node[live]]
+            who.append(live)
+            edge.append(step)
+            turn.append(np.full(len(live), len(turn)))
+            node[live] = s[step]
             live = live[node[live] > x.first[live]]
-        for who, edge in reversed(trail):
-            for i, k in zip(who.tolist(), edge.tolist(), strict=True):
-                if p[k] >= 0:
-                    out[idx[i]].append(int(p[k]))
-                else:
-                    a = int(s[k]) - i
-                    raw = data[a : a + int(e[k] - s[k])].tobytes()
-                    out[idx[i]].extend(byte_pieces(v, _MARK if raw == _LITERAL else raw))
+        who, edge, turn = np.concatenate(who), np.concatenate(edge), np.concatenate(turn)
+        order = np.lexsort((-turn, who))
+        who, edge = who[order], edge[order]
+        ids, begin = p[edge], s[edge] - who
+        # an unknown step is as many byte pieces as it has bytes, a literal marker those of the marker
+        unknown = ids < 0
+        literal = unknown & (data[np.minimum(begin, len(data) - 1)] == _LITERAL[0]) if len(data) else unknown
+        size = np.where(unknown, (e[edge] - s[edge]) if has_bytes else 1, 1)
+        size[literal] = len(mark_ids)
+        at = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.int32)
+        flat[at[~unknown]] = ids[~unknown]
+        for k in np.flatnonzero(literal).tolist():
+            flat[at[k] : at[k] + size[k]] = mark_ids
+        plain_ = unknown & ~literal
+        if has_bytes:
+            inner = np.arange(int(size[plain_].sum())) - np.repeat(np.cumsum(size[plain_]) - size[plain_], size[plain_])
+            flat[np.repeat(at[plain_], size[plain_]) + inner] = v.byte_ids[data[np.repeat(begin[plain_], size[plain_]) + inner]]
+        else:
+            flat[at[plain_]] = byte_pieces(v, b"?")[0]
+        stop = np.cumsum(np.bincount(who, size, len(idx))).astype(np.int64).tolist()
+        raw, last = flat.tobytes(), 0
+        for i, end in zip(idx.tolist(), stop, strict=True):
+            out[i] = raw[4 * last : 4 * end]
+            last = end
     return out
 
 
@@ -109,24 +135,34 @@ def chunker(v: P.Vocabulary):
     if crossing:
         return lambda raw: [raw] if raw else []
     parts = re.compile(b"(?:" + _MARK + b")+(?:(?!" + _MARK + b").)*|(?:(?!" + _MARK + b").)+", re.DOTALL)
-    return parts.findall
+
+    def cut(raw: bytes) -> list[bytes]:
+        if _MARK + _MARK in raw or not raw.startswith(_MARK):
+            return parts.findall(raw)
+        return [_MARK + p for p in raw.split(_MARK)[1:]]  # the same where each run is one marker
+
+    return cut
 
 
 def marked(text: str) -> bytes:
     return (_MARK + text.encode().replace(_MARK, _LITERAL).replace(b" ", _MARK)) if text else b""
 
 
+def plain(v: P.Vocabulary, i: int) -> bytes:
+    """What a piece stands for: a byte, nothing for control pieces, else itself with spaces for markers."""
+    if v.kinds[i] == P.BYTE:
+        return bytes([int(v.pieces[i][3:5], 16)])
+    return b"" if v.kinds[i] == P.CONTROL else v.pieces[i].replace(_MARK, b" ")
+
+
+def joined(text_of, ids: list[int]) -> str:
+    raw = b"".join([text_of[i] for i in ids])
+    return (raw[1:] if raw[:1] == b" " else raw).decode(errors="replace")  # the dummy marker goes
+
+
 def decode(v: P.Vocabulary, ids: list[int]) -> str:
     """The text of piece ids: byte pieces are bytes, markers are spaces, and the dummy marker goes."""
-    out = []
-    kinds, names = v.kinds, v.pieces
-    for i in ids:
-        if kinds[i] == P.BYTE:
-            out.append(bytes([int(names[i][3:5], 16)]))
-        elif kinds[i] != P.CONTROL:
-            out.append(names[i].replace(_MARK, b" "))
-    raw = b"".join(out)
-    return raw[1:].decode(errors="replace") if raw[:1] == b" " else raw.decode(errors="replace")
+    return joined({i: plain(v, i) for i in set(ids)}, ids)
 
 
 def encode_documents(
@@ -157,28 +193,31 @@ def encode_documents(
         logs = v.log_scores() if scores == "zipf" else v.scores
         cut = chunker(v)
         is_byte = v.kinds == P.BYTE
+        text_of = [plain(v, i) for i in range(len(v.pieces))]
         for batch in slices(batches):
             raw = [None if x is None else cut(marked(x)) for x in batch.column(1).to_pylist()]
-            all_new = {c for cs in raw if cs for c in cs}.difference(cache)
-            new = sorted(all_new)
-            for c, path in zip(new, best_paths(v, logs, new), strict=True):
-                cache[c] = path
-            rows = [None if cs is None else [i for c in cs for i in cache[c]] for cs in raw]
-            lists = pa.array(rows, pa.list_(pa.int32()))
+            used = {c for cs in raw if cs for c in cs}
+            new = list(used.difference(cache))
+            if len(cache) + len(new) > KEPT:  # chunks that came before and came again stay
+                cache = _cache[key] = {c: cache[c] for c in used if c in cache}
+            cache.update(zip(new, packed_paths(v, logs, new), strict=True))
+            rows = [None if cs is None else np.frombuffer(b"".join([cache[c] for c in cs]), np.int32) for cs in raw]
+            some = [r for r in rows if r is not None]
+            off = np.r_[0, np.cumsum([0 if r is None else len(r) for r in rows])].astype(np.int32)
+            missing = pa.array([r is None for r in rows] + [False], pa.bool_())
+            lists = pa.ListArray.from_arrays(pc.if_else(missing, None, pa.array(off, pa.int32())), pa.array(np.concatenate(some) if some else np.zeros(0, np.int32)))
             yield pa.record_batch(
                 [
                     batch.column(0),
                     lists,
                     pa.array([None if r is None else len(r) for r in rows], pa.int64()),
-                    pa.array([None if r is None else int(is_byte[r].sum()) if r else 0 for r in rows], pa.int64()),
-                    pa.array([None if r is None else decode(v, r) for r in rows], pa.string()),
+                    pa.array([None if r is None else int(is_byte[r].sum()) for r in rows], pa.int64()),
+                    pa.array([None if r is None else joined(text_of, r.tolist()) for r in rows], pa.string()),
                 ],
                 names=[id_col, "ids", "n_pieces", "n_byte_pieces", "decoded"],
             )
             for c in [c for c in new if len(c) > KEPT_BYTES]:
                 del cache[c]
-            if len(cache) > KEPT:
-                cache.clear()
 
     schema = T.StructType([T.StructField(id_col, docs.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("n_byte_pieces", T.LongType()), T.StructField("decoded", T.StringType())])
     return docs.mapInArrow(run, schema)
