@@ -5,7 +5,7 @@ letters.  Of all terms of the labelled rows (up to ``max_labels`` of them, a
 documented bound; the smallest hashes of id), those that a log-likelihood test
 ties to label 1 span the space: at least ``min_df`` texts, most of them label 1, at
 most ``max_terms``, and as many of the strongest as hold no more than ``false_share``
-chance finds; copies of one text (equal smallest hash of three words) count once.  Their document frequencies over all documents give
+chance finds; copies of one text (equal smallest hash of three words) count once in all of this.  Their document frequencies over all documents give
 the IDF.  Vectors are unit-length TF-IDF over those terms.
 
 The examples are up to ``max_examples`` labelled rows (a documented bound; the
@@ -17,7 +17,7 @@ exact.  Neighbours vote with weight 1 / (distance + 0.05), less that of an
 unrelated example, against one vote for label 0; votes of the two halves are
 weighed back to the labels' true shares, and a monotone map fitted on the
 examples' own leave-one-out votes makes them probabilities.  A text without any
-of the terms gets the share of toxic rows among labelled texts without them.
+of the terms gets the share of toxic ones among labelled texts without them, copies counted once.
 
 ``evidence`` holds the nearest examples' ids and cosines.
 
@@ -59,21 +59,33 @@ def terms_of(text: str) -> Counter:
 
 
 def _label_counts(batches):
+    """(term, texts, texts of label 1) of rows (text, y, kind) that lie kind by kind:
+    those of a kind count once, as label 1 if any with the term is."""
     held: dict[str, list[int]] = {}
+    kind, seen = None, {}
 
     def out():
         keys = list(held)
         return pa.record_batch({"term": pa.array(keys, pa.string()), "n": pa.array([held[k][0] for k in keys], pa.int64()), "pos": pa.array([held[k][1] for k in keys], pa.int64())})
 
+    def close():
+        for t, y in seen.items():
+            c = held.setdefault(t, [0, 0])
+            c[0] += 1
+            c[1] += y
+        seen.clear()
+
     for batch in batches:
-        for text, y in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        for text, y, of in zip(texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if of != kind:
+                close()
+                kind = of
             for t in terms_of(text):
-                c = held.setdefault(t, [0, 0])
-                c[0] += 1
-                c[1] += y
+                seen[t] = max(y, seen.get(t, 0))
             if len(held) > HELD:
                 yield out()
                 held.clear()
+    close()
     yield out()
 
 
@@ -115,11 +127,6 @@ def vector(text: str, place: dict[str, int], idf: np.ndarray) -> tuple[np.ndarra
     return (at, w / size) if size else (at[:0], w[:0])
 
 
-def signal(n: int, pos: int, base: float) -> float:
-    """Log-likelihood ratio of ``pos`` of n texts being label 1 against the share ``base`` of all."""
-    return 2 * ((pos * math.log(pos / (n * base)) if pos else 0.0) + ((n - pos) * math.log((n - pos) / (n * (1 - base))) if n > pos else 0.0))
-
-
 def discoveries(signals: list[float], tests: int, share: float) -> int:
     """How many of the strongest signals to take so that no more than ``share`` of
     them are expected to be chance among so many tests (Benjamini and Hochberg)."""
@@ -131,27 +138,17 @@ def discoveries(signals: list[float], tests: int, share: float) -> int:
 
 
 def _signal(base: float):
+    """Log-likelihood ratio of ``pos`` of n texts being label 1 against the share ``base`` of all."""
     n, p = F.col("n"), F.col("pos")
     return 2 * (F.when(p > 0, p * F.log(p / (n * base))).otherwise(0.0) + F.when(n > p, (n - p) * F.log((n - p) / (n * (1 - base)))).otherwise(0.0))
 
 
-def _kinds(shared):
-    """(term, smallest shingle hash, label) of each row's terms, and one row of term -1."""
-
-    def run(batches):
-        place = shared.value
-        for batch in slices(batches):
-            out: tuple[list, list, list] = ([], [], [])
-            data, off = utf8(batch.column(1))
-            h, w = word_hashes(data, off)
-            for text, y, a, b in zip(texts(batch.column(1)), batch.column(2).to_pylist(), w[:-1], w[1:], strict=True):
-                s = shingles(h[a:b], 3)
-                kind = int(s[0]) >> 1 if len(s) else -1
-                for i in (-1, *(place[t] for t in _known(text, place))):
-                    out[0].append(i), out[1].append(kind), out[2].append(y)
-            yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=["i", "kind", "y"])
-
-    return run
+def _kinds(batches):
+    """Rows (id, text, y) with their smallest shingle hash, which copies share."""
+    for batch in slices(batches):
+        h, w = word_hashes(*utf8(batch.column(1)))
+        kinds = [int(s[0]) >> 1 if len(s) else -1 for s in (shingles(h[a:b], 3) for a, b in zip(w[:-1], w[1:], strict=True))]
+        yield pa.record_batch([*batch.columns, pa.array(kinds, pa.int64())], names=["id", "text", "y", "kind"])
 
 
 class BlockMaxIndex:
@@ -237,23 +234,21 @@ def learn(
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_labels)
     train = docs.withColumn("id", F.col("id").cast("long")).join(F.broadcast(chosen), "id")  # max_labels pairs of numbers
 
-    counts = materialize(train.mapInArrow(_label_counts, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).filter(F.col("n") >= min_df), "toxic_terms")
+    train = materialize(train.select("id", "text", "y").mapInArrow(_kinds, "id long, text string, y int, kind long"), "toxic_rows")
     all_n, all_pos = train.agg(F.count("*"), F.sum("y")).first()
     all_pos = all_pos or 0
+    # copies of a text count as one from the start: a large group of them has many words of its own
+    kinds = train.groupBy("kind").agg(F.max("y").alias("y"))
+    texts_, toxic_ = kinds.agg(F.count("*"), F.sum("y")).first()
     place: dict[str, int] = {}
-    if 0 < all_pos < all_n:
+    if texts_ and 0 < toxic_ < texts_:
+        base = toxic_ / texts_
+        by_kind = train.select("text", "y", "kind").repartition("kind").sortWithinPartitions("kind")
+        counts = materialize(by_kind.mapInArrow(_label_counts, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).filter(F.col("n") >= min_df), "toxic_terms")
         tests = counts.count()
-        found = counts.withColumn("g", _signal(all_pos / all_n)).filter(F.col("g") >= min_signal).filter(F.col("pos") / F.col("n") >= (1 + all_pos / all_n) / 2)
-        names = [r[0] for r in found.select("term", "g").orderBy(F.desc("g"), "term").limit(max_terms).collect()]
-        # once more, with copies of a text counted as one: a large group of them has many words of its own
-        tried = spark.sparkContext.broadcast({t: i for i, t in enumerate(names)})
-        kinds = train.mapInArrow(_kinds(tried), "i int, kind long, y int").groupBy("i", "kind").agg(F.max("y").alias("y")).groupBy("i").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-        by_term = {r["i"]: (r["n"], r["pos"]) for r in kinds.collect()}  # max_terms + 1 rows
-        texts_, toxic_ = by_term.pop(-1)
-        if 0 < toxic_ < texts_:
-            base = toxic_ / texts_
-            scored = sorted(((signal(n, p, base), i) for i, (n, p) in by_term.items() if n >= min_df and p / n >= (1 + base) / 2), key=lambda s: (-s[0], s[1]))
-            place = {names[i]: k for k, (_, i) in enumerate(scored[: discoveries([g for g, _ in scored], tests, false_share)])}
+        found = counts.withColumn("g", _signal(base)).filter(F.col("g") >= min_signal).filter(F.col("pos") / F.col("n") >= (1 + base) / 2)
+        best = found.select("term", "g").orderBy(F.desc("g"), "term").limit(max_terms).collect()
+        place = {r["term"]: i for i, r in enumerate(best[: discoveries([r["g"] for r in best], tests, false_share)])}
     shared = spark.sparkContext.broadcast(place)  # max_terms at most
     df = np.zeros(len(place) + 1)
     for i, n in docs.mapInArrow(_document_counts(shared), "i int, n long").groupBy("i").agg(F.sum("n")).collect():  # max_terms + 1 at most
@@ -266,9 +261,9 @@ def learn(
     def vectors(batches):
         for batch in batches:
             found = [vector(x, shared.value, idf) for x in texts(batch.column(1))]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], names=["id", "y", "at", "w"])
+            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], names=["id", "y", "kind", "at", "w"])
 
-    known_vectors = materialize(train.mapInArrow(vectors, "id long, y int, at array<bigint>, w array<double>"), "toxic_vectors")
+    known_vectors = materialize(train.mapInArrow(vectors, "id long, y int, kind long, at array<bigint>, w array<double>"), "toxic_vectors")
     for y, has, n in known_vectors.groupBy("y", (F.size("at") > 0).cast("int").alias("has")).count().collect():
         some[y, has] = n
     examples = []
@@ -291,7 +286,9 @@ def learn(
         near, cos = index.nearest(np.array(r["at"], np.int64), np.array(r["w"]), k, i)
         own[i] = votes(cos, y[near], weight[near])
     knots, values = monotone(own, y, weight) if len(y) else (np.zeros(1), np.zeros(1))
-    none = float((some[1, 0] + 0.5 * (all_pos > 0)) / (some[:, 0].sum() + 1)) if all_n else 0.0
+    # copies count once here, too
+    bare = known_vectors.filter(F.size("at") == 0).groupBy("kind").agg(F.max("y").alias("y")).agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    none = float((bare[1] + 0.5 * (all_pos > 0)) / (bare[0] + 1)) if all_n else 0.0
     model = spark.sparkContext.broadcast((index, y, weight, ids, idf, knots, values, none))  # max_examples vectors
 
     def score(batch_texts, kept: dict) -> list[tuple]:

@@ -73,6 +73,18 @@ def test_toxicity_on_held_out_rows(frames):
     assert all(r["predicted"] == 0 for r in got if r["doc_id"] in (400, 401))
 
 
+def test_toxic_words_outlast_a_large_group_of_copies(spark, frames):
+    _, _, rows, truth = frames
+    own = " ".join(f"zz{i:03d}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(60))
+    rows = [(r[0], r[1]) for r in rows[:400]] + [(i, own) for i in range(1000, 1300)]
+    labels = [(i, truth[i][1]) for i in range(400)] + [(i, 1) for i in range(1000, 1300)]
+    docs = spark.createDataFrame([*rows, (2000, "barek vilegrub nastok"), (2001, "sometext ofother kinds")], "doc_id long, text string")
+    # the group's own words would take all places of the ranking
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), max_terms=60).collect()}
+    assert got[2000] == 1 and got[2001] == 0
+    assert np.mean([got[i] == truth[i][1] for i in range(400)]) > 0.97
+
+
 def test_scores_as_a_column_keep_all_rows(frames):
     docs, labels, rows, _ = frames
     for frame in (toxicity.with_toxicity(docs, labels), quality.with_quality(docs, labels)):
