@@ -2,22 +2,30 @@
 
 Terms are a text's lower-cased letter runs and their first four, five and six
 letters.  Of all terms of the labelled rows (up to ``max_labels`` of them, a
-documented bound; the smallest hashes of id), those that a log-likelihood test
-ties to label 1 span the space: at least ``min_df`` texts, most of them label 1, at
-most ``max_terms``, and as many of the strongest as hold no more than ``false_share``
-chance finds; copies of one text (equal smallest hash of three words) count once in all of this.  Their document frequencies over all documents give
-the IDF.  Vectors are unit-length TF-IDF over those terms.
+documented bound; the smallest hashes of id), a log-likelihood test marks those
+tied to label 1: in at least ``min_df`` texts, most of them label 1, at most
+``max_terms``, and as many of the strongest as hold no more than ``false_share``
+chance finds; copies of one text (equal smallest hash of three words) count once in
+all of this.
 
 The examples are up to ``max_examples`` labelled rows (a documented bound; the
-smallest hashes, half of either label while both suffice).  Their inverted index
-lies in blocks of ``BLOCK`` examples; each term keeps its largest weight in each
-block.  A query adds up those maxima, reads blocks from the largest bound down
-and stops where no later block can reach its k-th cosine, so the neighbours are
-exact.  Neighbours vote with weight 1 / (distance + 0.05), less that of an
-unrelated example, against one vote for label 0; votes of the two halves are
-weighed back to the labels' true shares, and a monotone map fitted on the
-examples' own leave-one-out votes makes them probabilities.  A text without any
-of the terms gets the share of toxic ones among labelled texts without them, copies counted once.
+smallest hashes, an equal part of either label with and without marked terms while
+all four suffice).  All their terms span the space; document frequencies over all
+documents give the IDF.  Vectors are unit-length TF-IDF; terms without a mark weigh
+``FAINT`` times as much, so they decide where no marked one occurs and break ties
+where one does.  A text's terms that no example has lengthen its vector as if no
+other document had them.
+
+The inverted index lies in blocks of ``BLOCK`` examples; each term keeps its largest
+weight in each block.  A query adds up those maxima, reads blocks from the largest
+bound down and stops where no later block can reach its k-th cosine, so the
+neighbours are exact; so they are where all postings of a query's terms are added up
+at once, which is quicker for many terms.  Neighbours vote with weight 1 / (distance + 0.05), less that of an
+unrelated example, against one vote for label 0; votes of the four parts are
+weighed back to the labels' true shares, and a monotone map makes them probabilities.
+It is fitted on the examples' own leave-one-out votes and, with the weight ``REPEAT``,
+on their votes as repeated texts.  A text that shares no term with an example
+gets the share of toxic ones among labelled texts without marked terms, copies counted once.
 
 ``evidence`` holds the nearest examples' ids and cosines.
 
@@ -32,6 +40,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +55,10 @@ PREFIXES = (4, 5, 6)
 BLOCK = 64
 HELD = 300_000
 CLOSE = 0.05
+#: Weight of terms without a mark; of an example's repeat in the map's fit.
+FAINT, REPEAT = 1e-3, 0.05
+#: Terms of a query up to which blocks are bounded first.
+FEW = 16
 
 
 def terms_of(text: str) -> Counter:
@@ -96,35 +109,25 @@ def _document_counts(shared):
         for batch in batches:
             for text in texts(batch.column(1)):
                 total[-1] += 1
-                hit = {place[t] for t in _known(text, place)}
-                total[list(hit)] += 1
+                total[[place[t] for t in terms_of(text) if t in place]] += 1
         at = np.flatnonzero(total)
         yield pa.record_batch({"i": pa.array(at, pa.int32()), "n": pa.array(total[at])})
 
     return run
 
 
-def _known(text: str, place: dict[str, int]) -> Counter:
-    """The counts of those terms of a text that are in the space."""
-    out: Counter = Counter()
-    for w, n in Counter(WORDS.findall(text.lower())).items():
-        if w in place:
-            out[w] += n
-        for k in PREFIXES:
-            if len(w) > k and w[:k] + "*" in place:
-                out[w[:k] + "*"] += n
-    return out
-
-
-def vector(text: str, place: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found = _known(text, place)
-    at = np.array(sorted(place[t] for t in found), np.int64)
-    if not len(at):
-        return at, np.zeros(0)
-    names = {place[t]: n for t, n in found.items()}
-    w = np.array([1 + math.log(names[i]) for i in at.tolist()]) * idf[at]
+def vector(terms: Counter, place: dict[str, int], idf: np.ndarray, rare: float) -> tuple[np.ndarray, np.ndarray]:
+    """The terms in the space and their weights; ``rare`` is the weight of one that isn't."""
+    at, n = [], []
+    for t, c in terms.items():
+        at.append(place.get(t, -1))
+        n.append(c)
+    i = np.array(at, np.int64)
+    w = (1 + np.log(np.array(n, float))) * np.where(i < 0, rare, idf[i] if len(idf) else rare)
     size = math.sqrt(float(w @ w))
-    return (at, w / size) if size else (at[:0], w[:0])
+    i, w = i[i >= 0], w[i >= 0]
+    order = np.argsort(i)
+    return i[order], w[order] / (size or 1.0)
 
 
 def discoveries(signals: list[float], tests: int, share: float) -> int:
@@ -162,6 +165,7 @@ class BlockMaxIndex:
         doc = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
         order = np.lexsort((doc, term))
         self.doc, self.weight = doc[order], weight[order]
+        self.first = np.searchsorted(term[order], np.arange(terms + 1))
         # postings of term t in block b: begin[t, b] to begin[t, b + 1]
         self.begin = np.searchsorted(term[order] * self.blocks + self.doc // block, np.arange(terms * self.blocks + 1)).reshape(-1)
         self.top = np.zeros(terms * self.blocks)
@@ -170,6 +174,8 @@ class BlockMaxIndex:
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine (ties to the earlier) and their cosines."""
+        if len(at) > FEW:
+            return self._added_up(at, w, k, skip)
         bound = w @ self.top[at]
         order = np.argsort(-bound, kind="stable")
         ids, cos = np.zeros(0, np.int64), np.zeros(0)
@@ -189,6 +195,20 @@ class BlockMaxIndex:
         return ids, cos
 
 
+    def _added_up(self, at: np.ndarray, w: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        begin = self.first[at]
+        n = self.first[at + 1] - begin
+        post = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        score = np.bincount(self.doc[post], np.repeat(w, n) * self.weight[post], self.size)
+        ids = np.arange(self.size)
+        if 0 <= skip < self.size:
+            ids = np.delete(ids, skip)
+        if len(ids) > k:
+            ids = ids[score[ids] >= np.partition(score[ids], len(ids) - k)[len(ids) - k]]
+        best = ids[np.lexsort((ids, -score[ids]))[:k]]
+        return best, score[best]
+
+
 def votes(cos: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     """Share of the neighbours' votes for label 1."""
     v = weight * (1 / (np.sqrt(np.clip(2 - 2 * cos, 0, 2)) + CLOSE) - 1 / (math.sqrt(2) + CLOSE))
@@ -249,57 +269,80 @@ def learn(
         found = counts.withColumn("g", _signal(base)).filter(F.col("g") >= min_signal).filter(F.col("pos") / F.col("n") >= (1 + base) / 2)
         best = found.select("term", "g").orderBy(F.desc("g"), "term").limit(max_terms).collect()
         place = {r["term"]: i for i, r in enumerate(best[: discoveries([r["g"] for r in best], tests, false_share)])}
-    shared = spark.sparkContext.broadcast(place)  # max_terms at most
-    df = np.zeros(len(place) + 1)
-    for i, n in docs.mapInArrow(_document_counts(shared), "i int, n long").groupBy("i").agg(F.sum("n")).collect():  # max_terms + 1 at most
-        df[i] = n
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-
-    # examples: those with terms; the rest are counted
-    some = np.zeros((2, 2))
+    marked = spark.sparkContext.broadcast(place)  # max_terms at most
 
-    def vectors(batches):
+    def has_marked(batches):
         for batch in batches:
-            found = [vector(x, shared.value, idf) for x in texts(batch.column(1))]
-            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], names=["id", "y", "kind", "at", "w"])
+            has = [any(t in marked.value for t in terms_of(x)) for x in texts(batch.column(1))]
+            some = pa.array([bool(WORDS.search(x)) for x in texts(batch.column(1))], pa.bool_())
+            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(has, pa.bool_()).cast(pa.int32()), some], names=["id", "y", "kind", "has", "some"])
 
-    known_vectors = materialize(train.mapInArrow(vectors, "id long, y int, kind long, at array<bigint>, w array<double>"), "toxic_vectors")
-    for y, has, n in known_vectors.groupBy("y", (F.size("at") > 0).cast("int").alias("has")).count().collect():
+    rows = materialize(train.mapInArrow(has_marked, "id long, y int, kind long, has int, some boolean"), "toxic_marks")
+    # examples: texts with terms, an equal part of either label with and without marked ones; what a part lacks the others get
+    some = np.zeros((2, 2))
+    for y, has, n in rows.filter("some").groupBy("y", "has").count().collect():
         some[y, has] = n
-    examples = []
-    for y in (0, 1):
-        want = max_examples // 2 + max(0, max_examples // 2 - int(some[1 - y, 1]))
-        examples += known_vectors.filter((F.col("y") == y) & (F.size("at") > 0)).orderBy(F.xxhash64("id"), "id").limit(want).collect()
-    examples.sort(key=lambda r: (r["y"], r["id"]))
+    want, left = {}, max_examples
+    for i, (y, has) in enumerate(sorted(np.ndindex(2, 2), key=lambda c: some[c])):
+        want[y, has] = min(int(some[y, has]), left // (4 - i))
+        left -= want[y, has]
+    parts = [rows.filter(F.col("some") & (F.col("y") == y) & (F.col("has") == has)).orderBy(F.xxhash64("id"), "id").limit(n).select("id") for (y, has), n in want.items()]
+    taken = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).distinct()
+
+    def example_terms(batches):
+        for batch in slices(batches):
+            found = [terms_of(x) for x in texts(batch.column(1))]
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["id", "y", "terms", "n"])
+
+    # all texts of max_examples ids
+    chosen_rows = train.join(F.broadcast(taken), "id", "left_semi").select("id", "text", "y")
+    examples = [(r["id"], r["y"], Counter(dict(zip(r["terms"], r["n"], strict=True)))) for r in chosen_rows.mapInArrow(example_terms, "id long, y int, terms array<string>, n array<int>").toArrow().to_pylist()]
+    strong = len(place)
+    examples.sort(key=lambda r: (r[1], r[0], sorted(r[2].items())))
+    for _, _, terms in examples:
+        for t in sorted(terms):
+            place.setdefault(t, len(place))
+    shared = spark.sparkContext.broadcast(place)  # the terms of max_examples texts
+    df = np.zeros(len(place) + 1)
+    counted = docs.mapInArrow(_document_counts(shared), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    df[counted["i"].to_numpy()] = counted["n"].to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    idf[strong:] *= FAINT
+    rare = FAINT * (math.log((1 + df[-1]) / 2) + 1)
+    found = [(*vector(terms, place, idf, rare), y, i) for i, y, terms in examples]
     # neighbours in a block should be alike, so that bounds differ between blocks
-    examples.sort(key=lambda r: (r["at"][int(np.argmax(r["w"]))], len(r["at"])))
-    y = np.array([r["y"] for r in examples], float)
-    ids = np.array([r["id"] for r in examples], np.int64)
-    index = BlockMaxIndex([(np.array(r["at"], np.int64), np.array(r["w"])) for r in examples], max(1, len(place)))
-    # the halves are weighed back to the labels' true shares
+    found.sort(key=lambda r: (r[0][int(np.argmax(r[1]))], len(r[0])))
+    y = np.array([r[2] for r in found], float)
+    ids = np.array([r[3] for r in found], np.int64)
+    index = BlockMaxIndex([r[:2] for r in found], max(1, len(place)))
+    # the parts are weighed back to the labels' true shares
+    has = np.array([r[0][0] < strong for r in found], int)
     weight = np.ones(len(y))
-    for label in (0, 1):
-        if (y == label).any():
-            weight[y == label] = some[label, 1] / (y == label).sum()
-    own = np.zeros(len(y))
-    for i, r in enumerate(examples):
-        near, cos = index.nearest(np.array(r["at"], np.int64), np.array(r["w"]), k, i)
-        own[i] = votes(cos, y[near], weight[near])
-    knots, values = monotone(own, y, weight) if len(y) else (np.zeros(1), np.zeros(1))
+    for part in np.ndindex(2, 2):
+        here = (y == part[0]) & (has == part[1])
+        if here.any():
+            weight[here] = some[part] / here.sum()
+    own = np.zeros((2, len(y)))
+    for i, (at, w, _, _) in enumerate(found):
+        for repeated in (0, 1):
+            near, cos = index.nearest(at, w, k, -1 if repeated else i)
+            own[repeated, i] = votes(cos, y[near], weight[near])
+    knots, values = monotone(own.reshape(-1), np.r_[y, y], np.r_[weight, REPEAT * weight]) if len(y) else (np.zeros(1), np.zeros(1))
     # copies count once here, too
-    bare = known_vectors.filter(F.size("at") == 0).groupBy("kind").agg(F.max("y").alias("y")).agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    bare = rows.filter("has = 0").groupBy("kind").agg(F.max("y").alias("y")).agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     none = float((bare[1] + 0.5 * (all_pos > 0)) / (bare[0] + 1)) if all_n else 0.0
-    model = spark.sparkContext.broadcast((index, y, weight, ids, idf, knots, values, none))  # max_examples vectors
+    model = spark.sparkContext.broadcast((index, y, weight, ids, idf, rare, knots, values, none))  # max_examples vectors
 
     def score(batch_texts, kept: dict) -> list[tuple]:
-        index, y, weight, ids, idf, knots, values, none = model.value
+        index, y, weight, ids, idf, rare, knots, values, none = model.value
         place, out = shared.value, []
         for text in batch_texts:
-            at, w = vector(text, place, idf)
+            terms = terms_of(text)
+            at, w = vector(terms, place, idf, rare)
             if not len(at) or not len(y):
                 out.append((none, []))
                 continue
-            key = at.tobytes() + w.tobytes()  # texts of equal terms have equal scores
+            key = blake2b(at.tobytes() + w.tobytes(), digest_size=16).digest()  # texts of equal terms have equal scores
             if key not in kept:
                 if len(kept) > 50_000:
                     kept.clear()

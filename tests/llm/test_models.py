@@ -85,6 +85,17 @@ def test_toxic_words_outlast_a_large_group_of_copies(spark, frames):
     assert np.mean([got[i] == truth[i][1] for i in range(400)]) > 0.97
 
 
+def test_toxic_examples_of_rare_words_are_found(spark, frames):
+    _, _, rows, truth = frames
+    odd = "grubwort hexmoor " + rows[1][1]  # toxic words that no other labelled text has
+    rows = [(r[0], r[1]) for r in rows[:400]] + [(1000, odd), (1001, odd), (1002, rows[1][1])]
+    labels = [(i, truth[i][1]) for i in range(400)] + [(1000, 1)]
+    got = {r["doc_id"]: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), held_out=None).collect()}
+    assert got[1001]["evidence"][0]["id"] == 1000 and got[1001]["evidence"][0]["cosine"] == pytest.approx(1)
+    assert got[1001]["predicted"] == 1 and got[1002]["predicted"] == 0
+    assert np.mean([got[i]["predicted"] == truth[i][1] for i in range(400)]) > 0.97
+
+
 def test_scores_as_a_column_keep_all_rows(frames):
     docs, labels, rows, _ = frames
     for frame in (toxicity.with_toxicity(docs, labels), quality.with_quality(docs, labels)):
