@@ -2,9 +2,10 @@
 
 1. Equal vectors are one class; everything else works on classes.
 2. Rotations are learnt on a bounded sample of classes (``sample`` rows, the
-   smallest hashes): centre, principal axes, then alternate between the codes'
-   signs and the rotation that brings the axes closest to them.  Several random
-   starts give several codes.
+   smallest hashes): principal axes, then alternate between the codes' signs and
+   the rotation that brings the axes closest to them.  Several random starts give
+   several codes.  Vectors aren't centred, since that widens the angle of a pair at
+   the limit; a common direction makes larger buckets instead.
 3. Each code is cut into substrings of ``bits`` bits, one hash table each; bits
    grow with the logarithm of the classes, so buckets keep their size.  The
    number of tables follows from the wanted miss rate of a pair at the limit:
@@ -45,12 +46,10 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & ok & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def rotations(x: np.ndarray, starts: int, rounds: int = 30, seed: int = 5) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The centre and, for each random start, a matrix whose columns give the bits."""
-    mean = x.mean(0)
-    c = x - mean
-    _, axes = np.linalg.eigh(c.T @ c)
-    v = c @ axes
+def rotations(x: np.ndarray, starts: int, rounds: int = 30, seed: int = 5) -> list[np.ndarray]:
+    """For each random start, a matrix whose columns give the bits."""
+    _, axes = np.linalg.eigh(x.T @ x)
+    v = x @ axes
     rng = np.random.default_rng(seed)
     out = []
     for _ in range(starts):
@@ -60,7 +59,7 @@ def rotations(x: np.ndarray, starts: int, rounds: int = 30, seed: int = 5) -> tu
             u, _, w = np.linalg.svd(b.T @ v)
             r = (u @ w).T
         out.append(axes @ r)
-    return mean, out
+    return out
 
 
 def tables_for(similarity: float, bits: int, miss: float) -> int:
@@ -123,12 +122,12 @@ def similar_vectors(
     words = -(-dim // 64)
 
     def code(batches):
-        mean, mats = model.value
+        mats = model.value
         place = np.uint64(1) << np.arange(64, dtype=np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = unit(batch.column(1).to_pylist()) - mean
+            x = unit(batch.column(1).to_pylist())
             keys, codes = [], []
             for m in mats:
                 b = x @ m > 0

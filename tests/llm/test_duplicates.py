@@ -106,6 +106,29 @@ def test_similar_vectors_match_brute_force(spark):
     assert itq.similar_vectors(df.limit(0)).collect() == []
 
 
+def test_similar_vectors_with_a_common_direction(spark):
+    rng = np.random.default_rng(4)
+    n, d = 500, 64
+    common = np.eye(d)[0]
+
+    def at_right_angles(*others):
+        x = rng.standard_normal(d)
+        for o in others:
+            x -= (x @ o) * o
+        return x / np.linalg.norm(x)
+
+    rows = []
+    for i in range(n):  # pairs just within the limit
+        own = at_right_angles(common)
+        x = 0.9 * common + np.sqrt(1 - 0.81) * own
+        y = 0.9505 * x + np.sqrt(1 - 0.9505**2) * at_right_angles(x)
+        rows += [(2 * i, x.tolist()), (2 * i + 1, y.tolist())]
+    x = np.array([r[1] for r in rows])
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in itq.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert want.min() >= 1 and [got[i] for i in range(2 * n)] == want.tolist()
+
+
 def test_similar_vectors_in_large_groups(spark, monkeypatch):
     monkeypatch.setattr(itq, "BLOCK", 16)
     rng = np.random.default_rng(0)
