@@ -93,8 +93,8 @@ def byte_ranges(size: int, splits: int) -> list[tuple[int, int]]:
 
 _IS_FEATURE = re.compile(r'"type"\s*:\s*"Feature"')
 _DECODER = json.JSONDecoder()
-#: Read at a time beyond a range's end while its last feature goes on; how far an object may begin before its type.
-_CHUNK, _BACK = 1 << 20, 1 << 22
+#: Read at a time beyond a range's end while its last feature goes on.
+_CHUNK = 1 << 20
 
 
 def features_in(path: str, offset: int, length: int) -> Iterator[bytes]:
@@ -115,7 +115,7 @@ def features_in(path: str, offset: int, length: int) -> Iterator[bytes]:
                 more = file.read(_CHUNK).decode("latin-1")
                 if more:
                     # what begins behind the range is another's; an unfinished object may still begin before
-                    if not m and (text.rfind("{", 0, stop) < at or len(text) - stop > _BACK):
+                    if not m and text.rfind("{", 0, stop) < at:
                         return
                     text += more
                     continue
@@ -139,7 +139,7 @@ def _object_around(text: str, pair: int, low: int):
     """Bounds of the feature that the pair at ``pair`` belongs to; (None, None) if there is none."""
     brace = pair
     while True:
-        brace = text.rfind("{", max(low, pair - _BACK), brace)
+        brace = text.rfind("{", low, brace)
         if brace < 0:
             return None, None
         try:

@@ -47,6 +47,16 @@ def test_type_behind_other_members_and_lines(spark, tmp_path):
     assert df.schema["m"].dataType.simpleString() == "string"
 
 
+@pytest.mark.parametrize("length", [1 << 20, 1 << 30])
+def test_type_far_behind_its_brace(tmp_path, length):
+    rows = ['{"properties": {"id": %d}, "note": "%s", "type": "Feature", "geometry": null}' % (i, "x" * n) for i, n in enumerate((10, 5 << 20, 10, 9 << 20))]
+    path = tmp_path / "far.geojson"
+    path.write_text('{"type": "FeatureCollection", "features": [' + ", ".join(rows) + "]}")
+    size = path.stat().st_size
+    got = [json.loads(f)["properties"]["id"] for i in range(0, size, length) for f in readers.features_in(str(path), i, min(length, size - i))]
+    assert got == [0, 1, 2, 3]
+
+
 def test_schema_is_locked(spark, tmp_path):
     f = tmp_path / "a.json"
     c = collection(3)
