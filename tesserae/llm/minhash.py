@@ -3,9 +3,10 @@
 1. A document's set is the hashes of its distinct word shingles.  Documents with
    equal sets are one class, which its smallest id stands for.
 2. A class keeps its ``k`` smallest values under one hash function.  With
-   similarity J two sketches share about J*k values; at least T of them but for a
-   deviation of ``slack`` standard deviations (4.5: once in 300,000 pairs at the
-   limit itself, far less often above it).
+   similarity J two sketches share about J*k values; at least T of them but for as
+   small a share of pairs as lies beyond ``slack`` standard deviations of a normal
+   variable (4.5: once in 300,000 pairs at the limit itself, far less often above
+   it), taken from the binomial tail.
 3. Inverted lists hold each class under its rarest k - T + 1 values: two sketches
    that share T values meet in one of those lists.  Passages that many documents
    share are common values, so they open no lists unless a document has little else.
@@ -86,7 +87,12 @@ def _sketches(width: int, k: int):
 
 def least_shared(k: int, similarity: float, slack: float) -> int:
     """Sketch values that two sets of this similarity share at least."""
-    return max(1, math.ceil(similarity * k - slack * math.sqrt(k * similarity * (1 - similarity))))
+    miss, below = math.erfc(slack / math.sqrt(2)) / 2, 0.0
+    for t in range(k):
+        below += math.comb(k, t) * similarity**t * (1 - similarity) ** (k - t)
+        if below > miss:
+            return max(1, t)
+    return max(1, k)
 
 
 def _estimates(similarity: float, slack: float, k: int):

@@ -1,5 +1,6 @@
 """Near duplicates, neighbours and components against brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -68,6 +69,15 @@ def test_near_duplicates_match_brute_force(spark, width):
     assert {r["doc_id"] for r in left.collect()} == {i for i, c in want.items() if i == c}
 
 
+@pytest.mark.parametrize("k", [8, 20, 32, 64])
+def test_least_shared_keeps_its_miss_rate(k):
+    def below(t):
+        return sum(math.comb(k, i) * 0.8**i * 0.2 ** (k - i) for i in range(t))
+
+    t, miss = minhash.least_shared(k, 0.8, 4.5), math.erfc(4.5 / math.sqrt(2)) / 2
+    assert below(t) <= miss < below(t + 1) or t == 1
+
+
 def test_near_duplicates_edge_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = minhash.near_duplicates(df).collect()
