@@ -20,8 +20,8 @@ The inverted index lies in blocks of ``BLOCK`` examples; each term keeps its lar
 weight in each block.  A query adds up those maxima, reads blocks from the largest
 bound down and stops where no later block can reach its k-th cosine, so the
 neighbours are exact; so they are where all postings of a query's terms are added up
-at once, which is quicker for many terms.  Neighbours vote with weight 1 / (distance + 0.05), less that of an
-unrelated example, against one vote for label 0; votes of the four parts are
+at once, which is done for more than ``FEW`` terms.  Neighbours vote with weight
+1 / (distance + 0.05), less that of an unrelated example, against one vote for label 0; votes of the four parts are
 weighed back to the labels' true shares, and a monotone map makes them probabilities.
 It is fitted on the examples' own leave-one-out votes and, with the weight ``REPEAT``,
 on their votes as repeated texts.  A text that shares no term with an example
@@ -164,29 +164,46 @@ class BlockMaxIndex:
         weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
         doc = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
         order = np.lexsort((doc, term))
-        self.doc, self.weight = doc[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(terms + 1))
-        # postings of term t in block b: begin[t, b] to begin[t, b + 1]
-        self.begin = np.searchsorted(term[order] * self.blocks + self.doc // block, np.arange(terms * self.blocks + 1)).reshape(-1)
-        self.top = np.zeros(terms * self.blocks)
-        np.maximum.at(self.top, term[order] * self.blocks + self.doc // block, self.weight)
-        self.top = self.top.reshape(terms, self.blocks)
+        self.doc, self.weight = doc[order].astype(np.int32), weight[order]
+        self.first = np.searchsorted(term[order], np.arange(terms + 1)).astype(np.int32)
+        self._cells()
+
+    def _cells(self) -> None:
+        """The blocks each term is in, its postings there and the largest weight."""
+        term = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        cell = term * self.blocks + self.doc // self.block
+        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        self.where = (cell[start] % self.blocks).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.begin = np.r_[start, len(cell)].astype(np.int32)
+        self.cells = np.searchsorted(start, self.first).astype(np.int32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("where", "top", "begin", "cells")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._cells()
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine (ties to the earlier) and their cosines."""
         if len(at) > FEW:
             return self._added_up(at, w, k, skip)
-        bound = w @ self.top[at]
+        bound = np.zeros(self.blocks)
+        held: dict[int, list] = {}
+        for t, x in zip(at.tolist(), w.tolist(), strict=True):
+            i, j = self.cells[t], self.cells[t + 1]
+            bound[self.where[i:j]] += x * self.top[i:j]
+            for c, b in enumerate(self.where[i:j].tolist(), i):
+                held.setdefault(b, []).append((self.begin[c], self.begin[c + 1], x))
         order = np.argsort(-bound, kind="stable")
         ids, cos = np.zeros(0, np.int64), np.zeros(0)
         for b in order.tolist():
             if len(ids) >= k and bound[b] < cos[-1] - 1e-12:
                 break
             score = np.zeros(min(self.block, self.size - b * self.block))
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                i, j = self.begin[t * self.blocks + b], self.begin[t * self.blocks + b + 1]
-                if j > i:
-                    score[self.doc[i:j] - b * self.block] += x * self.weight[i:j]
+            for i, j, x in held.get(b, ()):
+                score[self.doc[i:j] - b * self.block] += x * self.weight[i:j]
             here = np.arange(len(score)) + b * self.block
             keep = here != skip
             ids, cos = np.r_[ids, here[keep]], np.r_[cos, score[keep]]
@@ -194,7 +211,6 @@ class BlockMaxIndex:
             ids, cos = ids[best], cos[best]
         return ids, cos
 
-
     def _added_up(self, at: np.ndarray, w: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
         begin = self.first[at]
         n = self.first[at + 1] - begin
