@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,14 +73,14 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]] if n else data[:0], off - off[0]
 
 
-def slices(batches, column: int | str = 1, limit: int = 4 << 20):
-    """The batches cut into slices of about ``limit`` bytes of a text column, so
-    that what is made of a slice stays small however many rows a batch holds."""
+def slices(batches, column: int | str = 1, limit: int = 4 << 20, rows: int = 1 << 13):
+    """The batches cut into slices of about ``limit`` bytes of a text column and at most
+    ``rows`` rows, so that what is made of a slice stays small however many rows a batch holds."""
     for batch in batches:
         _, off = utf8(batch.column(column))
         i = 0
         while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+            j = min(i + rows, max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1))
             yield batch.slice(i, j - i)
             i = j
 
@@ -114,15 +115,16 @@ def _powers(base: int, n: int) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, off: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` (A-Z lowered) of the
-    texts ``data[off[i]:off[i+1]]`` in order, and each text's word offsets.
+    texts ``data[off[i]:off[i+1]]`` in order, and each text's word offsets; or of
+    the runs of bytes that ``word`` marks.
 
     A word's hash is the polynomial of its bytes, read off one running sum."""
     if not len(data):
         return np.zeros(0, _U), np.zeros(len(off), np.int64)
     low = _LOWER[data]
-    word = ~_SPACE[data]
+    word = ~_SPACE[data] if word is None else word.copy()
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True  # a text's end ends its word
     start = word.copy()
@@ -148,6 +150,34 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mix64(out), np.searchsorted(s, off)
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = _LETTER[128:] = True
+#: Lead bytes, next bytes and length of characters above ASCII that part words:
+#: Latin-1 signs, general punctuation, ideographic punctuation.
+_SIGNS = ((0xC2, range(0x80, 0xC0), 2), (0xE2, (0x80, 0x81), 3), (0xE3, (0x80,), 3))
+
+
+def letter_runs(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of the lower-cased runs of letters (all above ASCII but signs)."""
+    data, off = utf8(pc.utf8_lower(col))
+    word = _LETTER[data]
+    for lead, after, n in _SIGNS:
+        at = np.flatnonzero(data == lead)
+        at = at[at + n <= len(data)]
+        at = at[np.isin(data[at + 1], after)]
+        for i in range(n):
+            word[at + i] = False
+    return word_hashes(data, off, word)
+
+
+def free_name(taken, name: str) -> str:
+    """``name``, made longer until no column in ``taken`` has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the distinct ``width``-word shingles of one text, sorted; a
     shorter text is one shingle, an empty one has none."""

@@ -1,7 +1,10 @@
 """Toxicity, quality, mixing and chat formatting."""
 
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -54,6 +57,39 @@ def test_block_max_neighbours_are_exact():
         assert want[ids] == pytest.approx(cos)
 
 
+def test_toxicity_evidence_matches_brute_force(spark, frames):
+    """All terms, all documents: the three nearest labelled texts of every text."""
+    _, _, rows, truth = frames
+    rows = [(i, t) for i, t, *_ in rows[:300]] + [(900, "nothing known"), (901, ""), (902, None), (903, "barek " * 30_000 + "solost"), (904, "Barek—BAREK barek7lorum ÉTÉ"), (905, "été barek")]
+    labels = [(i, truth[i][1]) for i in range(200)] + [(905, 0)]
+    got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), held_out=None, min_signal=1e9).collect()
+    bags = {i: Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for i, t in rows}
+    df = Counter(w for b in bags.values() for w in b)
+    space = {w for i, _ in labels for w in bags[i]}
+
+    def vector(b):
+        w = {t: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[t])) + 1 if t in space else math.log((1 + len(rows)) / 2) + 1) for t, n in b.items()}
+        size = math.sqrt(sum(x * x for x in w.values())) or 1
+        return {t: x / size for t, x in w.items() if t in space}
+
+    v = {i: vector(b) for i, b in bags.items()}
+    examples = {tuple(sorted(v[i].items())): i for i, _ in labels}  # equal texts are one example
+    for r in got:
+        q = v[r["doc_id"]]
+        want = sorted((sum(x * e.get(t, 0) for t, x in q.items()) for e in map(dict, examples)), reverse=True)[:3]
+        assert [e["cosine"] for e in r["evidence"]] == pytest.approx([x for x in want if x > 0])
+        assert all(e["cosine"] == pytest.approx(sum(x * v[e["id"]].get(t, 0) for t, x in q.items())) for e in r["evidence"])
+        assert bool(r["evidence"]) == bool(q)
+
+
+def test_places_find_all_terms_and_no_other():
+    rng = np.random.default_rng(0)
+    x = np.unique(rng.integers(0, 1 << 51, 5000))
+    places = toxicity.Places(x[::2])
+    assert (places(x)[::2] == np.arange(len(x[::2]))).all() and (places(x)[1::2] == -1).all()
+    assert (toxicity.Places(np.zeros(0, np.int64))(x) == -1).all()
+
+
 def test_monotone_fit():
     knots, values = toxicity.monotone(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert (np.diff(values) >= 0).all() and values[0] == 0 and values[-1] == 1
