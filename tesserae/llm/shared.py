@@ -17,14 +17,24 @@ from pyspark.sql import functions as F
 _U = np.uint64
 
 
+_LOCAL: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share.  ``spark.checkpoint.dir`` names it; only a
-    session without one (tests on a single machine) gets a temporary folder."""
+    local session without one (tests on a single machine) gets a temporary folder,
+    one folder a process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tesserae_")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if held.isDefined():
+            root = held.get()
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            if not _LOCAL:
+                _LOCAL.append(tempfile.mkdtemp(prefix="tesserae_"))
+            root = _LOCAL[0]
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return root.rstrip("/")
 
 
@@ -43,7 +53,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the copy that ``materialize`` made, which nothing needs any more."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        _remove(df.sparkSession, path)
 
 
 def tasks(spark: SparkSession) -> int:

@@ -139,8 +139,35 @@ def test_similar_vectors_with_a_common_direction(spark):
     assert want.min() >= 1 and [got[i] for i in range(2 * n)] == want.tolist()
 
 
+def test_components_that_do_not_end_raise(spark):
+    with pytest.raises(RuntimeError):
+        components.components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), max_rounds=1).collect()
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(5, [1.0, 0.0]), (6, [1.0, 0.05]), (5, [0.0, 1.0]), (7, [0.05, 1.0])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, n string, c int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in itq.similar_vectors(df).collect())
+    assert got == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False)]
+
+
+def test_first_met_is_what_the_keys_say():
+    rng = np.random.default_rng(0)
+    for bits, tables in ((8, 21), (6, 25), (13, 9), (16, 4)):
+        lay = itq.Layout(bits, tables)
+        b = rng.random((60, tables * bits)) < 0.5
+        b[30:] = b[:30] ^ (rng.random((30, tables * bits)) < 0.1)
+        words, keys = lay.pack(b)
+        far = (b[:, None] != b[None]).sum(2)
+        agree = keys[:, None] == keys[None]
+        for t in range(tables):
+            want = (far <= tables * bits // 4) & ~agree[:, :, :t].any(2)
+            assert (lay.first_met(words, words, t, tables * bits // 4) == want).all()
+
+
 def test_similar_vectors_in_large_groups(spark, monkeypatch):
     monkeypatch.setattr(itq, "BLOCK", 16)
+    monkeypatch.setattr(itq, "TILE", 8)
     rng = np.random.default_rng(0)
     x = np.r_[rng.standard_normal(8) + rng.standard_normal((80, 8)) * 0.02, rng.standard_normal((30, 8))].astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
