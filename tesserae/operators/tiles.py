@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import geometry as G
 from ..functions import mercator as M
-from ..functions import mvt, wkb
+from ..functions import mvt, tilebatch, wkb
 
 MAX_PER_TILE, MAX_ON_THE_FLY = 25_000, 4096
 #: A box over more tiles than this at a zoom is met with the tiles there are, not with all it covers.
@@ -66,40 +67,52 @@ def prepare(features: DataFrame, geometry: str = "geometry") -> DataFrame:
 
     @F.pandas_udf("struct<wkb binary, xmin double, ymin double, xmax double, ymax double>")
     def project(raw: pd.Series) -> pd.DataFrame:
-        out = []
-        for r in raw:
-            g = G.repair(wkb.parse(r))
-            g = None if g is None else G.transform(g, G.to_mercator)
-            b = None if g is None else wkb.bounds(g)
-            out.append((None,) * 5 if b is None else (wkb.dumps(g), *b))
-        return pd.DataFrame(out, columns=["wkb", "xmin", "ymin", "xmax", "ymax"])
+        geometries, boxes = tilebatch.project_rows(raw.tolist())
+        out = pd.DataFrame(boxes, columns=["xmin", "ymin", "xmax", "ymax"])
+        out.insert(0, "wkb", pd.Series(geometries, dtype=object))
+        return out
 
     props = F.to_json(F.struct(*[F.col(f"`{c}`") for c in attributes])) if attributes else F.lit("{}")
     x = features.select(props.alias("properties"), F.col(geometry).alias("__raw"), project(F.col(geometry)).alias("__g"))
     return x.filter("__g.wkb is not null").select("properties", priority(F.col("__raw")).alias("priority"), "__g.*")
 
 
-def render_tiles(assigned: DataFrame) -> DataFrame:
-    """(z, x, y, data, features) of rows (z, x, y, wkb, properties, priority)."""
+def drawn(assigned: DataFrame) -> DataFrame:
+    """(z, x, y, priority, kind, drawing, properties) of rows with wkb: what of each geometry is
+    in its tile, as the tile format's commands.  A few bytes go on to the shuffle instead of the geometry."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                z, x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("z", "x", "y"))
+                rows, kind, data = tilebatch.encode_rows(z, x, y, batch.column("wkb").to_pylist())
+                at = pa.array(rows)
+                yield pa.record_batch([*(batch.column(c).take(at) for c in ("z", "x", "y", "priority")), pa.array(kind, pa.int32()), data, batch.column("properties").take(at)], names=["z", "x", "y", "priority", "kind", "drawing", "properties"])
+
+    return assigned.select("z", "x", "y", "priority", "wkb", "properties").mapInArrow(run, "z int, x int, y int, priority long, kind int, drawing binary, properties string")
+
+
+def render_tiles(parts: DataFrame) -> DataFrame:
+    """(z, x, y, data, features) of drawn rows, the largest priorities first."""
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
-        z, x, y = (int(p[c].iat[0]) for c in ("z", "x", "y"))
-        p = p.sort_values(["priority", "wkb"], ascending=[False, True], kind="stable")
-        got = mvt.render(z, x, y, [(wkb.loads(w), json.loads(a)) for w, a in zip(p["wkb"], p["properties"], strict=True)])
-        rows = [] if got is None else [(z, x, y, got[0], got[1])]
-        return pd.DataFrame(rows, columns=["z", "x", "y", "data", "features"])
+        p = p.sort_values(["priority", "drawing"], ascending=[False, True], kind="stable")
+        tags = {t: mvt.tags_of(json.loads(t)) for t in set(p["properties"])}
+        data = mvt.assemble([(k, d, tags[t]) for k, d, t in zip(p["kind"].tolist(), p["drawing"], p["properties"], strict=True)])
+        return pd.DataFrame([(*(int(p[c].iat[0]) for c in ("z", "x", "y")), data, len(p))], columns=["z", "x", "y", "data", "features"])
 
-    return assigned.groupBy("z", "x", "y").applyInPandas(one, "z int, x int, y int, data binary, features int")
+    return parts.groupBy("z", "x", "y").applyInPandas(one, "z int, x int, y int, data binary, features int")
 
 
 def build_tiles(features: DataFrame, max_zoom: int, *, geometry: str = "geometry", nonempty: DataFrame | None = None, k: int = MAX_PER_TILE) -> DataFrame:
-    prepared = prepare(features, geometry)
-    assigned = covered_tiles(prepared, 0, max_zoom, nonempty)
-    return render_tiles(top_per_tile(assigned, [F.desc("priority"), F.col("wkb")], k).select("z", "x", "y", "wkb", "properties", "priority"))
+    """Tiles of zooms 0 to ``max_zoom``: each feature is drawn where it is read; tiles meet
+    drawings, of which each partition passes on its k of largest priority for a tile."""
+    assigned = covered_tiles(prepare(features, geometry), 0, max_zoom, nonempty)
+    return render_tiles(top_per_tile(drawn(assigned), [F.desc("priority"), F.col("drawing")], k))
 
 
 def tile_now(features: DataFrame, z: int, x: int, y: int, *, geometry: str = "geometry", k: int = MAX_ON_THE_FLY) -> bytes:
-    """One tile: rows by the box columns if there are any, the k of largest priority, attributes only for those."""
+    """One tile, cut at its own edge: rows by the box columns if there are any, the k of largest priority, attributes only for those."""
     a, b, c, d = M.lonlat_of_tile(z, x, y)
     if "_bbox_xmin" in features.columns:
         from ..functions.boxes import Box, intersects
@@ -108,5 +121,5 @@ def tile_now(features: DataFrame, z: int, x: int, y: int, *, geometry: str = "ge
     minx, miny, maxx, maxy = M.bounds_of_tile(z, x, y)
     got = prepare(features, geometry).filter(F.expr(f"xmax >= {minx} and xmin <= {maxx} and ymax >= {miny} and ymin <= {maxy}"))
     rows = got.orderBy(F.desc("priority"), "wkb").limit(k).collect()  # k rows
-    out = mvt.render(z, x, y, [(wkb.loads(bytes(r["wkb"])), json.loads(r["properties"])) for r in rows])
+    out = mvt.render(z, x, y, [(wkb.loads(bytes(r["wkb"])), json.loads(r["properties"])) for r in rows], pad=0)
     return out[0] if out else mvt.empty_tile()
