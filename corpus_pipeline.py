@@ -14,7 +14,7 @@ from tesserae.llm.codec import encode_documents
 from tesserae.llm.minhash import dedup_documents
 from tesserae.llm.mixing import mix_documents
 from tesserae.llm.quality import with_quality
-from tesserae.llm.shared import materialize
+from tesserae.llm.shared import free_name, materialize
 from tesserae.llm.toxicity import with_toxicity
 
 #: A document goes if its toxicity reaches this, or its quality stays below that.
@@ -27,12 +27,14 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose toxicity score reaches TOXIC."""
-    return with_toxicity(docs, _labels(spark, sf_dir), held_out=None).filter(F.col("__score") < TOXIC).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = free_name(docs.columns, "score")
+    return with_toxicity(docs, _labels(spark, sf_dir), held_out=None, score_col=name).filter(F.col(name) < TOXIC).drop(name)
 
 
 def remove_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose quality score stays below GOOD."""
-    return with_quality(docs, _labels(spark, sf_dir), held_out=None).filter(F.col("__score") >= GOOD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = free_name(docs.columns, "score")
+    return with_quality(docs, _labels(spark, sf_dir), held_out=None, score_col=name).filter(F.col(name) >= GOOD).drop(name)
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
