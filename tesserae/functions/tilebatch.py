@@ -1,9 +1,9 @@
 """Geometries of many tiles as Mapbox Vector Tile commands, all at once.
 
-Points, lines and polygons of one ring that lie within their padded tile are
-simplified, rounded and written by whole arrays; what a tile cuts, and what has
-several parts, goes through the planar operations one by one and joins the others
-for the writing.  ``mvt.render`` is the same for one tile.
+Points, lines and polygons of one ring are simplified, cut, rounded and written by
+whole arrays; what has holes or several parts goes through the planar operations
+one by one and joins the others for the writing.  ``mvt.render`` is the same for
+one tile.
 """
 
 from __future__ import annotations
@@ -211,10 +211,9 @@ def encode_rows(z: np.ndarray, x: np.ndarray, y: np.ndarray, raw: list[bytes], p
         xy = np.ascontiguousarray(xy).view("<f8").reshape(len(rows), -1, 2)
         w = width[at, None]
         xy = np.stack([(xy[..., 0] - minx[at, None]) / w, (maxy[at, None] - xy[..., 1]) / w], 2) * EXTENT
-        inside = ((xy >= -margin) & (xy <= EXTENT + margin)).all((1, 2))
-        if name != "Point":
-            slow += at[~inside].tolist()
-        at, xy = at[inside], xy[inside]
+        if name == "Point":
+            inside = ((xy >= -margin) & (xy <= EXTENT + margin)).all((1, 2))
+            at, xy = at[inside], xy[inside]
         role = {"Point": POINT, "LineString": LINE, "Polygon": OUTER}[name]
         chunks.append((xy.reshape(-1, 2), np.full(len(at), xy.shape[1]), np.full(len(at), role), at, np.zeros(len(at), np.int64)))
     xy, size, role, row, part = (np.concatenate([c[k] for c in chunks]) if chunks else np.zeros((0, 2) if not k else 0, float if not k else np.int64) for k in range(5))
@@ -227,6 +226,15 @@ def encode_rows(z: np.ndarray, x: np.ndarray, y: np.ndarray, raw: list[bytes], p
         left[k] = keep[here].sum()
     xy, size = xy[keep], left
     more: list[list] = [[], [], [], [], []]
+    # paths that the padded tile cuts
+    low, high = -margin, EXTENT + margin
+    path = np.repeat(np.arange(len(size)), size)
+    cut = np.bincount(path, ((xy < low) | (xy > high)).any(1), len(size)) > 0
+    if cut.any():
+        whole = ~cut[path]
+        lines, rings = cut & (role == LINE), cut & (role == OUTER)
+        got = [_clip_lines(xy[lines[path]], size[lines], row[lines], low, high), _clip_rings(xy[rings[path]], size[rings], row[rings], low, high)]
+        xy, size, role, row, part = (np.concatenate([a, *b]) for a, *b in zip((xy[whole], size[~cut], role[~cut], row[~cut], part[~cut]), *got, strict=True))
     for i in slow:
         w = width[i]
         box = (minx[i] - pad * w, maxy[i] - w - pad * w, minx[i] + w + pad * w, maxy[i] + pad * w)
@@ -250,6 +258,89 @@ def encode_rows(z: np.ndarray, x: np.ndarray, y: np.ndarray, raw: list[bytes], p
     return of[found], kind, data
 
 
+def _clip_lines(xy: np.ndarray, size: np.ndarray, row: np.ndarray, low: float, high: float) -> tuple[np.ndarray, ...]:
+    """What of lines lies in a square: points, sizes, roles, rows, parts.  Every segment is cut by its own; runs of joined ones are a line."""
+    line = np.repeat(np.arange(len(size)), size)
+    joined = line[1:] == line[:-1]
+    a, d, line = xy[:-1][joined], np.diff(xy, axis=0)[joined], line[:-1][joined]
+    t0, t1, ok = np.zeros(len(a)), np.ones(len(a)), np.ones(len(a), bool)
+    for axis in (0, 1):
+        flat = d[:, axis] == 0
+        ok &= ~flat | ((a[:, axis] >= low) & (a[:, axis] <= high))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u, v = (low - a[:, axis]) / d[:, axis], (high - a[:, axis]) / d[:, axis]
+        t0 = np.where(flat, t0, np.maximum(t0, np.minimum(u, v)))
+        t1 = np.where(flat, t1, np.minimum(t1, np.maximum(u, v)))
+    ok &= t0 <= t1
+    new = np.ones(len(a), bool)
+    new[1:] = ~((line[1:] == line[:-1]) & ok[:-1] & (t1[:-1] == 1) & (t0[1:] == 0))
+    new, a, d, t0, t1, line = new[ok], a[ok], d[ok], t0[ok], t1[ok], line[ok]
+    p, q = a + d * t0[:, None], a + d * t1[:, None]
+    out = np.stack([p, q], 1).reshape(-1, 2)[np.stack([new, np.ones(len(new), bool)], 1).ravel()]
+    run = np.cumsum(new) - 1
+    n = np.bincount(run, minlength=int(new.sum())) + 1
+    return out, n, np.full(len(n), LINE), row[line[new]], np.zeros(len(n), np.int64)
+
+
+def _clip_rings(xy: np.ndarray, size: np.ndarray, row: np.ndarray, low: float, high: float) -> tuple[np.ndarray, ...]:
+    """What of polygons of one ring lies in a square, as ``_clip_lines`` gives it: all rings half-plane by
+    half-plane; those that leave and come back on one side are taken apart one by one."""
+    off = np.r_[0, np.cumsum(size)].astype(np.int64)
+    p, ring = xy[_ranges(off[:-1], size - 1)], np.repeat(np.arange(len(size)), size - 1)
+
+    def following() -> np.ndarray:
+        after = np.arange(1, len(ring) + 1)
+        end = np.r_[ring[1:] != ring[:-1], True] if len(ring) else np.zeros(0, bool)
+        after[end] = np.flatnonzero(np.r_[True, ring[1:] != ring[:-1]]) if len(ring) else after[end]
+        return after
+
+    for axis, bound, above in ((0, low, True), (0, high, False), (1, low, True), (1, high, False)):
+        after = following()
+        d = p[:, axis] - bound if above else bound - p[:, axis]
+        inside = d >= 0
+        crosses = inside != inside[after]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            edge = p + (p[after] - p) * (d / (d - d[after]))[:, None]
+        edge[:, axis] = bound
+        both = np.stack([inside, crosses], 1).ravel()
+        p, ring = np.stack([p, edge], 1).reshape(-1, 2)[both], np.repeat(ring, 2)[both]
+    after = following()
+    same = np.flatnonzero((p == p[after]).all(1))
+    again = np.zeros(len(p), bool)
+    again[np.where(after[same] == same + 1, same + 1, same)] = True  # the later of two, a ring's last before its first
+    p, ring = p[~again], ring[~again]
+    few = np.bincount(ring, minlength=len(size))[ring] < 3
+    p, ring = p[~few], ring[~few]
+    after = following()
+    d = p[after] - p
+    turn = d[:, 0] * d[after, 1] - d[:, 1] * d[after, 0]
+    around = np.abs(np.bincount(ring, np.arctan2(turn, (d * d[after]).sum(1)), len(size)))
+    odd = ((np.bincount(ring, turn > 0, len(size)) > 0) & (np.bincount(ring, turn < 0, len(size)) > 0)) | (np.abs(around - 2 * np.pi) > 1e-6)
+    n = np.bincount(ring, minlength=len(size))
+    for k in np.flatnonzero(odd & (n > 0)):  # not convex
+        here = np.flatnonzero(ring == k)
+        closed = p[np.r_[here, here[:1]]]
+        odd[k] = G._bridged([closed], (low, low, high, high)) or not G.is_simple([closed])
+    plain = ~odd[ring]
+    n = n * ~odd
+    some = n > 0
+    # each ring's first point once more, at its end
+    start = np.r_[0, np.cumsum(n[some])].astype(np.int64)
+    kept = p[plain]
+    out = kept[np.minimum(_ranges(start[:-1], n[some] + 1), len(kept) - 1)] if some.any() else kept
+    if some.any():
+        ends = np.cumsum(n[some] + 1) - 1
+        out[ends] = kept[start[:-1]]
+    points, sizes, roles, rows = [out], [n[some] + 1], [np.full(int(some.sum()), OUTER)], [row[some]]
+    for k in np.flatnonzero(odd & (np.bincount(ring, minlength=len(size)) > 0)):
+        here = np.flatnonzero(ring == k)
+        for rings in G.rebuild([p[np.r_[here, here[:1]]]]):
+            for i, r in enumerate(rings):
+                points.append(r), sizes.append(np.array([len(r)])), roles.append(np.array([HOLE if i else OUTER])), rows.append(row[k : k + 1])
+    sizes = np.concatenate(sizes)
+    return np.concatenate(points), sizes, np.concatenate(roles), np.concatenate(rows), np.zeros(len(sizes), np.int64)
+
+
 def _kept(ring: np.ndarray) -> np.ndarray:
     """Numbers of a ring's points that G.simplify keeps."""
     _, (got,) = G.simplify(("Polygon", [ring]), mvt.TOLERANCE * EXTENT)

@@ -230,6 +230,16 @@ def test_simplified_rings_stay_apart():
     assert G.is_simple(G.simplify(("Polygon", [thin]), 1.0)[1])
 
 
+def _turned(features):
+    """With every ring begun at its smallest point."""
+    for f in features:
+        if f["type"] == 3:
+            for k, r in enumerate(f["geometry"]):
+                i = r.index(min(r))
+                f["geometry"][k] = [*r[i:-1], *r[:i], r[i]]
+    return features
+
+
 def test_tiles_drawn_at_once_equal_tiles_drawn_one_by_one():
     rng = np.random.default_rng(1)
     rows = []
@@ -254,7 +264,7 @@ def test_tiles_drawn_at_once_equal_tiles_drawn_one_by_one():
         one = mvt.render(z, x, y, [(wkb.loads(raw), {})])
         want = mvt.decode(one[0])["layer0"]["features"] if one else []
         here = np.flatnonzero(of == i).tolist()
-        assert mvt.decode(mvt.assemble([(int(kind[j]), data[j].as_py(), []) for j in here]))["layer0"]["features"] == want
+        assert _turned(mvt.decode(mvt.assemble([(int(kind[j]), data[j].as_py(), []) for j in here]))["layer0"]["features"]) == _turned(want)
     assert len(tilebatch.encode_rows(*(np.zeros(0, int),) * 3, [])[0]) == 0
 
 
