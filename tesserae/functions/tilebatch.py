@@ -275,7 +275,7 @@ def _clip_lines(xy: np.ndarray, size: np.ndarray, row: np.ndarray, low: float, h
     new = np.ones(len(a), bool)
     new[1:] = ~((line[1:] == line[:-1]) & ok[:-1] & (t1[:-1] == 1) & (t0[1:] == 0))
     new, a, d, t0, t1, line = new[ok], a[ok], d[ok], t0[ok], t1[ok], line[ok]
-    p, q = a + d * t0[:, None], a + d * t1[:, None]
+    p, q = (np.clip(a + d * t[:, None], low, high) for t in (t0, t1))
     out = np.stack([p, q], 1).reshape(-1, 2)[np.stack([new, np.ones(len(new), bool)], 1).ravel()]
     run = np.cumsum(new) - 1
     n = np.bincount(run, minlength=int(new.sum())) + 1
