@@ -12,10 +12,13 @@
    share are common values, so they open no lists unless a document has little else.
 4. Lists of up to ``small`` classes are compared pair by pair.  In a larger one
    every class is compared to ``HUBS`` hubs, the members with the fewest values of
-   their own (those nearest to what the list's members are copies of).  Members
-   that the verified links leave outside the list's main component then meet the
-   whole list in blocks, full set against full set, where a pair counts in the first
-   list it shares; only a spanning forest of the links found is written out.
+   their own (those nearest to what the list's members are copies of).  Where the
+   verified links leave several components in such a list, its members are joined
+   exactly: each opens lists under the rarest of all its shingles, one more than
+   it may lack in a partner.  A document with too many shingles of its own opens none, so
+   a passage that fills less than the limit of its documents brings no pairs.  Short
+   lists give pairs, long ones blocks, full set against full set, where a pair counts
+   in the first list it shares; only a spanning forest of their links is written out.
 5. The union sketch of a pair estimates J; pairs well below the limit go.  The
    others' full sets are compared exactly.
 6. Components of the verified links, by star contractions.
@@ -42,12 +45,14 @@ from pyspark.sql.window import Window
 
 from .components import components
 from .itq import forest
-from .shared import materialize, mix64, shingles, utf8, word_hashes
+from .shared import free_name, materialize, mix64, shingles, slices, utf8, word_hashes
 
 #: Classes in one block of the comparison that large lists' rest gets.
 BLOCK = 512
 #: Members of a large list that all others are compared to.
 HUBS = 6
+#: Lists up to which a row for each is broadcast; more are joined.
+FEW = 1_000_000
 
 
 def _sets(batch_col: pa.Array, width: int):
@@ -133,14 +138,13 @@ def _blocks(percent: int):
         if len(left) and len(right):
             value = left["value"].iat[0]
             ids, labels = right["rid"].to_numpy(), right["rlabel"].to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in right["rset"]]
+            sets = [np.asarray(x, np.int64) for x in right["rset"]]
             sizes = np.array([len(x) for x in sets])
             flat, owner = _flat(sets)
-            earlier = [np.sort(np.array(x)) for x in right["rprefix"]]
-            before, before_owner = _flat([x[x < value] for x in earlier])
+            before, before_owner = _flat([np.asarray([v for v in x if v < value], np.int64) for x in right["rprefix"]])
             for i, label, prefix, raw in zip(left["id"], left["label"], left["prefix"], left["set"], strict=True):
-                x = np.frombuffer(raw, np.uint64)
-                mine = np.array(prefix)
+                x = np.asarray(raw, np.int64)
+                mine = np.asarray(prefix, np.int64)
                 open_ = (labels != label) & (ids != i) & (_shared(before, before_owner, mine[mine < value], len(ids)) == 0)
                 open_ &= 100 * np.minimum(sizes, len(x)) >= percent * np.maximum(sizes, len(x))
                 if open_.any():
@@ -177,12 +181,23 @@ def _shared(flat: np.ndarray, owner: np.ndarray, x: np.ndarray, n: int) -> np.nd
 
 def _full_sets(width: int):
     def run(batches):
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in _sets(batch.column(1), width)], pa.binary())], names=["id", "set"])
+        for part in slices(batches, limit=1 << 20):
+            sets = [s.view(np.int64) for s in _sets(part.column(1), width)]
+            off = np.r_[0, np.cumsum([len(s) for s in sets])]
+            yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(sets)))], names=["id", "set"])
 
     return run
 
 
+def meet(left: DataFrame, right: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """Join with one row per key.  Up to FEW rows (if that is known) are broadcast;
+    else both sides are shuffled for this join alone, as its second key sees to, so
+    that adaptive execution can split a key that very many rows of ``left`` hold."""
+    if rows is not None and rows <= FEW:
+        return left.join(F.broadcast(right), key)
+    return left.withColumn("__h", F.xxhash64(key)).join(right.withColumn("__h", F.xxhash64(key)), [key, "__h"]).drop("__h")
+
+
 def near_duplicates(
     documents: DataFrame,
     *,
@@ -203,7 +218,7 @@ def near_duplicates(
 
     # equal sets are linked through their class
     classes = sets.filter("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("class"))
-    same = sets.filter("id is not null and key is not null").join(classes, "key").filter("id <> class").select(F.col("id").alias("a"), F.col("class").alias("b"))
+    same = meet(sets.filter("id is not null and key is not null"), classes, "key").filter("id <> class").select(F.col("id").alias("a"), F.col("class").alias("b"))
     found = components(links.unionAll(same))
     return (
         sets.join(found, sets["id"] == found["node"], "left")
@@ -218,7 +233,7 @@ def verified_links(docs: DataFrame, sets: DataFrame, width: int, percent: int, j
 
     posts = reps.select("id", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     common = posts.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = posts.join(common, "value").groupBy("id", "s").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("x"))
+    ranked = meet(posts, common, "value").groupBy("id", "s").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("x"))
     least = F.element_at(F.array(*[F.lit(least_shared(i, j, slack)) for i in range(1, k + 1)]), F.col("s"))
     # values of one document come first of all and open no list
     room = (F.col("s") - least + 1) - (F.col("s") - F.size("x"))
@@ -226,33 +241,60 @@ def verified_links(docs: DataFrame, sets: DataFrame, width: int, percent: int, j
     kept = ranked.filter(room > 0).select("id", central.alias("central"), F.transform(F.slice("x", F.lit(1), room), lambda v: v["value"]).alias("prefix"))
     kept = materialize(kept, "minhash_prefixes")
     lists = kept.select("id", "central", F.explode("prefix").alias("value"))
-    sizes = lists.groupBy("value").agg(F.count("*").alias("size")).filter("size > 1")
 
-    few = lists.join(sizes.filter(F.col("size") <= small).select("value"), "value").groupBy("value").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    pairs = few.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b"))
-    many = materialize(lists.join(sizes.filter(F.col("size") > small), "value"), "minhash_many")
+    large = materialize(lists.groupBy("value").agg(F.count("*").alias("size")).filter(F.col("size") > small), "minhash_large")
+    n = large.count()
+    many = materialize(meet(lists, large, "value", n), "minhash_many")
     top = Window.partitionBy("value").orderBy(F.desc("central"), "id")
-    hubs = many.withColumn("no", F.row_number().over(top)).filter(F.col("no") <= HUBS).select("value", F.col("id").alias("h"))
-    stars = many.select("value", "id").join(hubs, "value").select("h", "id").distinct()
-    pairs = pairs.unionAll(stars.select(F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b")).filter("a <> b")).distinct()
-    links = materialize(verify(docs, reps, materialize(pairs, "minhash_pairs"), width, percent, j, k, slack), "minhash_links")
+    hubs = many.withColumn("no", F.row_number().over(top)).filter(F.col("no") <= HUBS).groupBy("value").agg(F.collect_list("id").alias("hubs"))
+    stars = meet(many.select("value", "id"), hubs, "value", n).select(F.explode("hubs").alias("h"), "id").distinct()
+    stars = stars.select(F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b")).filter("a <> b")
+    pairs = materialize(few(lists, large, n).select("a.id", "b.id").toDF("a", "b").unionAll(stars).distinct(), "minhash_pairs")
+    links = materialize(verify(docs, reps, pairs, width, percent, j, k, slack), "minhash_links")
 
     # what large lists still hold of different components
     label = components(links)
-    held = many.select("value", "id").join(label, many["id"] == label["node"], "left").select("value", "id", F.coalesce("component", "id").alias("label"))
-    held = materialize(held, "minhash_rest")
-    by_label = held.groupBy("value", "label").agg(F.count("*").alias("n"))
-    main = by_label.groupBy("value").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("size")).filter("labels > 1")
-    rest = materialize(held.join(main, "value").drop("labels"), "minhash_rest")
-    sets = likely(docs, rest.select("id")).mapInArrow(_full_sets(width), "id long, set binary").dropDuplicates(["id"])
-    rest = rest.join(kept.select("id", "prefix"), "id").join(sets.hint("merge"), "id")
+    held = materialize(many.select("value", "id").join(label, many["id"] == label["node"], "left").select("value", "id", F.coalesce("component", "id").alias("label")), "minhash_held")
+    mixed = held.groupBy("value").agg((F.min("label") < F.max("label")).alias("mixed")).filter("mixed").select("value")
+    members = materialize(meet(held, mixed, "value", n).select("id", "label").distinct(), "minhash_members")
+    if not members.head(1):
+        return links
+    full = likely(docs, members).mapInArrow(_full_sets(width), "id long, set array<bigint>").withColumn("k", F.xxhash64("set")).dropDuplicates(["id", "k"])
+    full = materialize(full.join(members, "id"), "minhash_full")
+    items = full.select("id", "k", F.size("set").alias("n"), F.explode("set").alias("value"))
+    common = items.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = meet(items, common, "value").groupBy("id", "k", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("x"))
+    # a partner has at least percent of the shingles; those no other member has come first and open no list
+    room = F.size("x") + 1 - F.ceil(F.col("n") * percent / 100).cast("int")
+    opened = ranked.filter(room > 0).select("id", "k", "n", F.transform(F.slice("x", F.lit(1), room), lambda v: v["value"]).alias("prefix"))
+    opened = materialize(opened.join(members, "id"), "minhash_opened")
+    lists = opened.select("id", "k", "n", "label", F.explode("prefix").alias("value"))
+    by_label = lists.groupBy("value", "label").agg(F.count("*").alias("n"))
+    sizes = by_label.groupBy("value").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.count("*") > 1).alias("mixed"), F.sum("n").alias("size"))
+    sizes = materialize(sizes.filter(F.col("size") > small), "minhash_sizes")
+    n = sizes.count()
+    pairs = few(lists, sizes.select("value"), n).filter((F.col("a.label") != F.col("b.label")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")))
+    pairs = materialize(pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).filter("a <> b").distinct(), "minhash_pairs")
+    more = materialize(verify(docs, reps, pairs, width, percent, j, k, slack), "minhash_links")
+
+    rest = meet(lists, sizes.filter("mixed").drop("mixed"), "value", n).select("value", "id", "k", "label", "main", "size")
+    rest = rest.join(opened.select("id", "k", "prefix"), ["id", "k"]).join(full.select("id", "k", "set"), ["id", "k"])
     rest = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     each = F.sequence(F.lit(0), F.col("blocks") - 1)
     # those outside a list's main component meet all the list, block by block
     left = rest.filter("label <> main").select("value", "id", "label", "prefix", "set", F.col("block").alias("i"), F.explode(each).alias("j"))
     right = rest.select(F.col("value").alias("rvalue"), F.col("id").alias("rid"), F.col("label").alias("rlabel"), F.col("prefix").alias("rprefix"), F.col("set").alias("rset"), F.explode(each).alias("ri"), F.col("block").alias("rj"))
-    more = left.groupBy("value", "i", "j").cogroup(right.groupBy("rvalue", "ri", "rj")).applyInPandas(_blocks(percent), "a long, b long")
-    return links.unionAll(materialize(more, "minhash_more"))
+    last = left.groupBy("value", "i", "j").cogroup(right.groupBy("rvalue", "ri", "rj")).applyInPandas(_blocks(percent), "a long, b long")
+    return links.unionAll(more).unionAll(materialize(last, "minhash_more"))
+
+
+def few(lists: DataFrame, large: DataFrame, n: int) -> DataFrame:
+    """Pairs (a, b) of rows without ``value`` of all lists but the n large ones."""
+    large = large.select("value")
+    short = lists.join(F.broadcast(large) if n <= FEW else large, "value", "left_anti")
+    row = F.struct(*[c for c in lists.columns if c != "value"])
+    short = short.groupBy("value").agg(F.sort_array(F.collect_set(row)).alias("r")).filter(F.size("r") > 1)
+    return short.select(F.posexplode("r").alias("i", "a"), "r").select("a", F.explode(F.slice("r", F.col("i") + 2, F.size("r"))).alias("b"))
 
 
 def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -276,17 +318,29 @@ def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, perce
     salted = pairs.join(degree, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("d", F.lit(1)) / 256)).alias("salt"))
     salted = materialize(salted, "minhash_salted")
 
-    def meet(p: DataFrame, of: DataFrame, col: str, x: str, y: str) -> DataFrame:
+    def bring(p: DataFrame, of: DataFrame, col: str, x: str, y: str) -> DataFrame:
         asked = p.select("a", "salt").distinct().join(of.select(F.col("id").alias("a"), F.col(col).alias(x)), "a")
         with_a = p.join(asked, ["a", "salt"])
         return with_a.join(of.select(F.col("id").alias("b"), F.col(col).alias(y)), "b").select("a", "b", "salt", x, y)
 
-    near = materialize(meet(salted, reps, "sketch", "sa", "sb").mapInArrow(_estimates(j, slack, k), "a long, b long, salt long"), "minhash_near")
+    near = materialize(bring(salted, reps, "sketch", "sa", "sb").mapInArrow(_estimates(j, slack, k), "a long, b long, salt long"), "minhash_near")
     full = likely(docs, near.select(F.explode(F.array("a", "b")).alias("id"))).hint("merge")
-    return meet(near, full, "text", "ta", "tb").mapInArrow(_exact(width, percent), "a long, b long").distinct()
-
-
-def dedup_documents(documents: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``documents`` that stand for their group."""
-    gone = near_duplicates(documents, id_col=id_col, **options).filter("not kept").select(F.col(id_col).alias("__gone"))
-    return documents.join(gone.distinct(), documents[id_col] == F.col("__gone"), "left_anti")
+    return bring(near, full, "text", "ta", "tb").mapInArrow(_exact(width, percent), "a long, b long").distinct()
+
+
+def dedup_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``documents`` that stand for their group; of rows that repeat id and
+    text one stays.  Rows with a null id get a number of their text's here, so they
+    are compared like the others and stay only where no row with an id stands for them."""
+    no, text = free_name(documents.columns, "no"), F.col(text_col).cast("string")
+    beyond = F.lit(1 << 62) + F.shiftright(F.xxhash64(text).bitwiseAND(F.lit(2**63 - 1)), 2)
+    numbered = documents.withColumn(no, F.coalesce(F.col(id_col).cast("long"), beyond))
+    found = materialize(near_duplicates(numbered.select(no, text_col), id_col=no, text_col=text_col, **options), "minhash_found")
+    gone = found.filter("not kept").select(no).distinct()
+    twice = materialize(found.groupBy(no).count().filter("count > 1").select(no), "minhash_twice")
+    rest = numbered.join(gone, no, "left_anti")
+    n = twice.count()
+    if n:
+        small = F.broadcast(twice) if n <= FEW else twice
+        rest = rest.join(small, no, "left_anti").unionByName(rest.join(small, no, "left_semi").dropDuplicates([no, text_col]))
+    return rest.select(*[F.col(f"`{c}`") for c in documents.columns])

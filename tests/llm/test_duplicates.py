@@ -87,6 +87,33 @@ def test_near_duplicates_edge_rows(spark):
     assert minhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_documents_that_share_most_of_a_passage(spark, monkeypatch):
+    """More of the words than a sketch tells apart, up to and beyond the limit."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    docs = []
+    for own in (60, 16, 9):
+        passage = [word() for _ in range(80)]
+        docs += [" ".join(passage + [word() for _ in range(own)]) for _ in range(40)]
+        docs += [docs[-1] + " x y", docs[-2] + " z"]
+    sets = [{tuple(t.split()[a : a + 5]) for a in range(len(t.split()) - 4)} for t in docs]
+    want = brute_components(list(range(len(docs))), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), small=4).collect()}
+    assert got == want
+
+
+def test_dedup_of_repeated_rows_and_null_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a, 1), (1, a, 1), (1, b, 2), (None, a, 3), (None, "own text of five words here", 4), (None, "own text of five words here", 4), (7, None, 5), (8, None, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, no int")
+    got = minhash.dedup_documents(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, [df.filter("doc_id = 1 and no = 1").first(), df.filter("no = 2").first(), df.filter("no = 4").first(), df.filter("no = 5").first(), df.filter("no = 6").first()]))
+    clash = df.withColumnRenamed("no", "__gone")
+    assert minhash.dedup_documents(clash).columns == clash.columns
+
+
 def vectors(n=300, d=16, seed=1):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, d))
