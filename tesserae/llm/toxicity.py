@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples.
 
 Terms are a text's lower-cased letter runs, held as 51-bit hashes.  Of all terms of
-the labelled rows (up to ``max_labels`` of them, a documented bound; the smallest
-hashes of id), a log-likelihood test marks those tied to label 1: in at least
+the labelled rows (of up to ``max_labels`` ids, a documented bound; the smallest
+hashes), a log-likelihood test marks those tied to label 1: in at least
 ``min_df`` texts, most of them label 1, at most ``max_terms``, and as many of the
 strongest as hold no more than ``false_share`` chance finds.  Copies of one text
 (equal smallest hash of five words) with one label are one text in all of this.
@@ -288,7 +288,7 @@ def learn(
     # copies of a text count as one from the start: a large group of them has many words of its own
     train = train.select("id", "text", "y").mapInArrow(_kinds, "id long, text string, y int, kind long")
     one = train.groupBy("kind", "y").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "text")).alias("x")).select("x.id", "x.text", "y", "kind")
-    train = materialize(one.orderBy(*by_hash, "kind", "y").limit(max_labels).coalesce(max(1, max_labels // 1000)), "toxic_rows")
+    train = materialize(one, "toxic_rows")
     texts_, toxic_ = train.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     strong_terms = np.zeros(0, np.int64)
     if 0 < toxic_ < texts_:
