@@ -9,7 +9,10 @@ over all their segmentations; the prior is the language's share of documents.
 
 Words are maximal runs of letters, lower-cased.  ``score`` is the posterior of
 the predicted language.  A null text, or one without letters, is ``und`` with
-score 0; so is every text if nothing was learnt.
+score 0; so is every text if nothing was learnt.  Ties go to the language that
+sorts first.  A null id counts as '' where texts are held out; rows that repeat an
+id are each predicted, and each teaches.  A text is read whole, however long; other
+columns are ignored.
 
 Scale: word counts are pre-aggregated before their shuffle; learnt pieces are
 bounded by vocabulary times languages (at most ``max_languages``, else an error
@@ -95,18 +98,18 @@ def language_id(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    vocabulary: str = P.DEFAULT_VOCABULARY,
+    vocabulary: str | P.Vocabulary = P.DEFAULT_VOCABULARY,
     modulus: int = 3,
     held_out: int = 1,
     smoothing: float = 0.5,
-    max_languages: int = 1000,
+    max_languages: int = 400,
 ) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     import uuid
 
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    v = P.Vocabulary.load(vocabulary)
+    v = P.Vocabulary.load(vocabulary) if isinstance(vocabulary, str) else vocabulary
     shared = spark.sparkContext.broadcast(v)
     from .shared import materialize
 

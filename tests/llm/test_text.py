@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import codec, langid, lm_score, shared
 from tesserae.llm import pieces as P
@@ -111,6 +112,46 @@ def test_lm_score_matches_counts_and_repeats_rows(spark):
         assert s == pytest.approx(by_id[i]["score"])
 
 
+def test_lm_score_is_the_sum_over_all_segmentations(spark):
+    v = small_vocabulary()
+    rows = [(i, t) for i, t in enumerate(["ab ba abba", "a ab ab", "Bab", "", None, "b z", "ab"])]
+    train = collections.Counter(w for i, t in rows if shared.crc_text(i) % 5 != 1 for w in (t or "").lower().encode().split())
+    ends = sum(shared.crc_text(i) % 5 != 1 for i, _ in rows)
+    n = sum(train.values())
+    mark, lp = P.MARK.encode(), v.log_scores()
+    for _ in range(4):
+        mass = np.where(np.isfinite(lp), 0.1, 0.0)
+        for w, c in train.items():
+            paths = all_paths(v, mark + w, True)
+            weight = np.exp([lp[p].sum() for p in paths])
+            for p, x in zip(paths, weight / weight.sum(), strict=True):
+                np.add.at(mass, p, c * x)
+        with np.errstate(divide="ignore"):
+            lp = np.log(mass / mass.sum())
+    log = lambda w: np.logaddexp.reduce([lp[p].sum() for p in all_paths(v, mark + w, True)])
+    word, end = math.log10((n + 0.5) / (n + ends + 1)), math.log10((ends + 0.5) / (n + ends + 1))
+    for r in lm_score.lm_score(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary=v, hot_words=3).collect():
+        words = (rows[r["doc_id"]][1] or "").lower().encode().split()
+        assert r["score"] == pytest.approx(sum(log(w) / math.log(10) + word for w in words) + end)
+        mixed = [math.log10((max(train[w] - 0.75, 0) + 0.75 * len(train) * math.exp(log(w))) / n) + word for w in words]
+        assert r["mixed_score"] == pytest.approx(sum(mixed) + end)
+
+
+@pytest.mark.parametrize("operator", [lm_score.lm_score, langid.language_id, codec.encode_documents])
+def test_long_texts_repeated_rows_and_clashing_columns(spark, operator):
+    long = "the cat and the dog " * 60_000 + "y" * 20_000
+    rows = [(1, long, "en", 1), (2, "das haus", "de", 2), (2, "das haus", "de", 2), (None, "das haus", "de", 3), (3, None, "en", 4), (4, "", None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, word int").withColumn("score", F.lit("x")).withColumn("id", F.lit(9))
+    got = operator(df).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+    twice = [r for r in got if r["doc_id"] == 2]
+    assert twice[0] == twice[1]
+    if operator is lm_score.lm_score:
+        assert next(r["n_tokens"] for r in got if r["doc_id"] == 1) == 300_002
+    if operator is codec.encode_documents:
+        assert next(r["decoded"] for r in got if r["doc_id"] == 1) == long
+
+
 def test_lm_score_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm_score.lm_score(df).collect() == []
@@ -132,6 +173,29 @@ def test_language_id_learns_and_keeps_und(spark):
     assert none["lang_pred"] == "und"
 
 
+def test_language_posterior_matches_brute_force(spark):
+    v = small_vocabulary()
+    rows = [(i, t, lg) for i, (t, lg) in enumerate([("ab abba", "x"), ("ba b", "y"), ("a ab", "x"), ("bb ba", "y"), ("AB b", None), ("b", "y"), ("ab1ab", "x"), ("ba", "x")])]
+    train = [(t.lower(), lg) for i, t, lg in rows if lg and shared.crc_text(i) % 3 != 1]
+    names = sorted({lg for _, lg in train})
+    lp0, mark = v.log_scores(), P.MARK.encode()
+    split = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).encode().split()
+    mass = np.where(np.isfinite(lp0), 0.5, 0.0)[:, None].repeat(len(names), 1)
+    for t, lg in train:
+        for w in split(t):
+            paths = all_paths(v, mark + w, True)
+            weight = np.exp([lp0[p].sum() for p in paths])
+            for p, x in zip(paths, weight / weight.sum(), strict=True):
+                np.add.at(mass[:, names.index(lg)], p, x)
+    with np.errstate(divide="ignore"):
+        lp = np.log(mass / mass.sum(0))
+    prior = np.log([sum(lg == x for _, lg in train) / len(train) for x in names])
+    for r in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), vocabulary=v).collect():
+        log = prior + sum(np.array([np.logaddexp.reduce([lp[p, k].sum() for p in all_paths(v, mark + w, True)]) for k in range(len(names))]) for w in split(rows[r["doc_id"]][1]))
+        p = np.exp(log - np.logaddexp.reduce(log))
+        assert r["lang_pred"] == names[int(p.argmax())] and r["score"] == pytest.approx(p.max())
+
+
 def test_viterbi_finds_the_best_path():
     v = small_vocabulary()
     for raw in (b"\xe2\x96\x81ab", b"\xe2\x96\x81abba", b"\xe2\x96\x81bbaab"):
