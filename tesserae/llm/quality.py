@@ -179,7 +179,9 @@ def learn(
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(list(rows), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    train = docs.withColumn("id", F.col("id").cast("long")).join(F.broadcast(chosen), "id").mapInArrow(measure, "id long, y int, x array<double>").toPandas()  # max_rows rows
+    train = docs.withColumn("id", F.col("id").cast("long")).join(F.broadcast(chosen), "id").mapInArrow(measure, "id long, y int, x array<double>")
+    # of the texts of one id, one teaches: max_rows rows, however often an id comes
+    train = train.groupBy("id").agg(F.max("y").alias("y"), F.min("x").alias("x")).toPandas()
     train = train.sort_values("id", kind="stable")
     forest = fit(np.array(train["x"].tolist(), float).reshape(-1, len(STATISTICS)), train["y"].to_numpy(float))
     model = spark.sparkContext.broadcast(forest)
@@ -205,12 +207,12 @@ def quality(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     return docs.mapInArrow(run, T.StructType([T.StructField(id_col, docs.schema["id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
-def with_quality(documents: DataFrame, labels: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """All columns of ``documents`` and ``__score``."""
+def with_quality(documents: DataFrame, labels: DataFrame, *, text_col: str = "text", score_col: str = "__score", **options) -> DataFrame:
+    """All columns of ``documents`` and ``score_col``."""
     score = learn(documents, labels, text_col=text_col, **options)
 
     def run(batches):
         for batch in batches:
-            yield pa.record_batch([*batch.columns, pa.array(score(texts(batch.column(text_col))))], names=[*batch.schema.names, "__score"])
+            yield pa.record_batch([*batch.columns, pa.array(score(texts(batch.column(text_col))))], names=[*batch.schema.names, score_col])
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("__score", T.DoubleType())]))
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(score_col, T.DoubleType())]))

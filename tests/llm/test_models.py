@@ -148,6 +148,15 @@ def test_quality_on_held_out_rows(frames):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_a_repeated_label_and_very_long_texts(spark, frames):
+    docs, labels, rows, truth = frames
+    many = docs.filter("doc_id = 3").crossJoin(spark.range(100_000)).drop("id")
+    long = spark.createDataFrame([(5000, rows[1][1] + " barek" * 200_000, "en", "s", 1)], docs.schema)
+    got = quality.quality(docs.unionAll(many).unionAll(long), labels)
+    assert got.filter("doc_id = 3").select("score").distinct().count() == 1
+    assert got.count() == len(rows) + 100_001
+
+
 @pytest.mark.parametrize("operator", [toxicity.toxicity, quality.quality])
 def test_models_of_little(spark, frames, operator):
     docs, labels, rows, _ = frames

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -97,3 +98,14 @@ def test_stages_take_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, folder[0]).collect() == []
+
+
+def test_stages_with_clashing_columns(spark, folder):
+    d, rows, _ = folder
+    names = ["__score", "__gone", "score", "no", "id", "__h"]
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(60).withColumns({n: F.lit(1) for n in names})
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, d)
+        assert docs.columns == [*COLUMNS, *names]
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    assert pipeline.STAGES[-1][1](spark, docs, d).count() == docs.count() > 0
