@@ -103,15 +103,16 @@ def scale_to_uint(v: Column, low: float, high: float, bits: int) -> Column:
 
 
 def _spread(v: Column) -> Column:
-    """The low 16 bits of v on the even places of 32."""
-    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    """The low 31 bits of v on the even places of 62."""
+    v = v.cast("long").bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
     return v
 
 
 def morton(x: Column, y: Column) -> Column:
-    """Z-order code; y takes the odd bits."""
-    return _spread(x.bitwiseAND(F.lit(0xFFFF))).bitwiseOR(F.shiftleft(_spread(y.bitwiseAND(F.lit(0xFFFF))), 1))
+    """Z-order code of numbers of up to 31 bits; y takes the odd bits."""
+    return _spread(x).bitwiseOR(F.shiftleft(_spread(y), 1))
 
 
 def hilbert(x: Column, y: Column, bits: int) -> Column:

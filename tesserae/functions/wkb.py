@@ -323,6 +323,15 @@ def st_centroid(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(Batch(raw).centroids(), columns=["x", "y"]).astype(object).where(lambda d: d.notna(), None)
 
 
+@F.pandas_udf(XY)
+def st_first_vertex(raw: pd.Series) -> pd.DataFrame:
+    b = Batch(raw)
+    out = np.full((len(b.counts), 2), np.nan)
+    some = b.counts > 0
+    out[some] = b.xy[b.off[:-1][some]]
+    return pd.DataFrame(out, columns=["x", "y"]).astype(object).where(lambda d: d.notna(), None)
+
+
 @F.pandas_udf(T.ArrayType(XY))
 def st_vertices(raw: pd.Series) -> pd.Series:
     b = Batch(raw)

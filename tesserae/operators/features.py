@@ -68,3 +68,21 @@ def geojson_feature(features: DataFrame, geometry: str = "geometry") -> Column:
 
 def geojson_lines(features: DataFrame, geometry: str = "geometry") -> DataFrame:
     return features.select(geojson_feature(features, geometry).alias("value"))
+
+
+def _csv(features: DataFrame, geometry: str):
+    header, lines = csv_lines(features, geometry)
+    yield header + "\n"
+    for r in lines.toLocalIterator():
+        yield r[0] + "\n"
+
+
+def _collection(features: DataFrame, geometry: str):
+    yield '{"type":"FeatureCollection","features":['
+    for i, r in enumerate(geojson_lines(features, geometry).toLocalIterator()):
+        yield ("," if i else "") + r[0]
+    yield "]}"
+
+
+#: Download format -> (MIME type, pieces of text of a frame and its geometry column).  Others may be added.
+FORMATS: dict = {"csv": ("text/csv", _csv), "geojson": ("application/geo+json", _collection)}

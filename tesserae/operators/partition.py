@@ -1,7 +1,8 @@
 """Balanced spatial partitions: an R*-style KD tree over a bounded sample, compiled to a column expression.
 
 The tree is built on the driver from a sample whose size is a parameter; assigning
-rows is a nested CASE inside code generation, without a join, a UDF or a shuffle.
+rows needs no join and no shuffle: a small tree is a nested CASE inside code
+generation, a larger one is descended by Arrow batches over its broadcast rows.
 """
 
 from __future__ import annotations
@@ -10,11 +11,14 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.boxes import Box
 
+#: Leaves up to which a tree is compiled to a nested CASE.
+MOST_CASES = 256
 
 @dataclass
 class KDTree:
@@ -34,8 +38,32 @@ class KDTree:
             at = int(low if (x, y)[int(axis)] <= value else high)
         return -at - 1
 
+    def find_all(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """``find`` for many points, level by level; NaN goes low."""
+        at = np.full(len(x), 0 if self.rows else -1, np.int64)
+        if self.rows:
+            rows, p = np.array(self.rows, float), np.stack([x, y], 1)
+            left = np.arange(len(x))
+            while len(left):
+                r = rows[at[left]]
+                low = ~(p[left, r[:, 1].astype(int)] > r[:, 0])
+                at[left] = np.where(low, r[:, 2], r[:, 3]).astype(np.int64)
+                left = left[at[left] >= 0]
+        return -at - 1
+
     def expression(self, x: Column, y: Column) -> Column:
-        """The partition of a point; null coordinates are in partition 0."""
+        """The partition of a point; null coordinates are in partition 0, NaN goes low."""
+        if len(self.rows) >= MOST_CASES:
+            tree = SparkSession.getActiveSession().sparkContext.broadcast(self)  # four numbers a leaf
+
+            @F.pandas_udf("int")
+            def descend(a: pd.Series, b: pd.Series) -> pd.Series:
+                none = a.isna() | b.isna()
+                got = tree.value.find_all(a.to_numpy(float), b.to_numpy(float)).astype(np.int32)
+                return pd.Series(np.where(none, 0, got))
+
+            return descend(x, y)
+        x, y = (F.nanvl(c.cast("double"), F.lit(float("-inf"))) for c in (x, y))
 
         def node(at: int) -> Column:
             if at < 0:
@@ -70,10 +98,21 @@ class KDTree:
         return all_[partition]
 
 
+def split_bounds(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every cut of ordered points: lowest and highest of those up to it, and of those behind it."""
+    back = p[::-1]
+    return np.minimum.accumulate(p), np.maximum.accumulate(p), np.minimum.accumulate(back)[::-1], np.maximum.accumulate(back)[::-1]
+
+
+def running_weight(w: np.ndarray) -> np.ndarray:
+    """Weight up to and with each of ordered points."""
+    return np.cumsum(w)
+
+
 def _scores(p: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """(margins, overlap, areas) of the two boxes for each cut: the low side is p[:cut]."""
-    lo_min, lo_max = np.minimum.accumulate(p)[cuts - 1], np.maximum.accumulate(p)[cuts - 1]
-    hi_min, hi_max = np.minimum.accumulate(p[::-1])[::-1][cuts], np.maximum.accumulate(p[::-1])[::-1][cuts]
+    lows, tops, behind_low, behind_top = split_bounds(p)
+    lo_min, lo_max, hi_min, hi_max = lows[cuts - 1], tops[cuts - 1], behind_low[cuts], behind_top[cuts]
     low, high = lo_max - lo_min, hi_max - hi_min
     both = np.maximum(0, np.minimum(lo_max, hi_max) - np.maximum(lo_min, hi_min))
     return np.stack([low.sum(1) + high.sum(1), both.prod(1), low.prod(1) + high.prod(1)], 1)
@@ -85,7 +124,7 @@ def choose_split(p: np.ndarray, w: np.ndarray, least: float, band: float = 0.0)
     best = None
     for axis in range(p.shape[1]):
         order = np.argsort(p[:, axis], kind="stable")
-        below = np.cumsum(w[order])
+        below = running_weight(w[order])
         cuts = np.flatnonzero((below >= least) & (below[-1] - below >= least)) + 1
         cuts = cuts[cuts < len(p)]
         if not len(cuts):
@@ -137,14 +176,15 @@ def build_tree(points: np.ndarray, partitions: int, *, weights: np.ndarray | Non
     return tree
 
 
-def sample_points(rows: DataFrame, *, x: str = "x", y: str = "y", key: str = "id", cap: int = 10_000, ratio: float = 1.0, seed: int = 42) -> DataFrame:
+def sample_points(rows: DataFrame, *, x: str = "x", y: str = "y", key: str = "id", cap: int | None = 10_000, ratio: float = 1.0, seed: int = 42, order: Column | None = None) -> DataFrame:
     """A share ``ratio`` of the rows by hash, then those of the ``cap`` smallest hashes: the
-    same rows in every run, and never more than ``cap`` of them on the driver."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    same rows in every run, and never more than ``cap`` of them on the driver.  ``order``:
+    another whole number to go by than the hash of ``key`` and ``seed``."""
+    h = F.xxhash64(F.col(key), F.lit(seed)) if order is None else order
     got = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     if ratio < 1:
         got = got.filter(F.pmod(h, F.lit(1_000_000)) < int(ratio * 1_000_000))
-    return got.orderBy(h, key).limit(cap)
+    return got if cap is None else got.orderBy(h, key).limit(cap)
 
 
 def envelope(rows: DataFrame, xmin: str = "x", ymin: str = "y", xmax: str | None = None, ymax: str | None = None) -> Box:
@@ -163,19 +203,37 @@ def assign_smallest_box(rows: DataFrame, boxes: DataFrame, *, key: str = "id", l
     touches; ties go to the first in order of ``pos``; rows without one are dropped.
 
     Up to ``limit`` boxes are broadcast and aggregated at once; more are met by way
-    of a grid, so that no two tables are crossed."""
+    of grids.  A box lies in at most four cells of the grid whose cells (powers of two)
+    are as wide as itself; a row and a box meet in the wider one's grid, whatever the unit."""
     area = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
     touch = (F.col("xmax") >= F.col("minx")) & (F.col("xmin") <= F.col("maxx")) & (F.col("ymax") >= F.col("miny")) & (F.col("ymin") <= F.col("maxy"))
+    boxes = boxes.withColumnRenamed("id", "box_id")
     if boxes.limit(limit + 1).count() <= limit:
-        met = rows.join(F.broadcast(boxes.withColumnRenamed("id", "box_id")), touch)
+        met = rows.join(F.broadcast(boxes), touch)
         return met.groupBy(key).agg(F.min_by("box_id", F.struct(area, F.col("pos"))).alias("tile"))
-    size = 1.0
+    wide = boxes.agg(F.avg(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")))).first()[0]
+    least = math.floor(math.log2(wide)) if wide and wide > 0 else -20  # finer grids than the boxes' own bring nothing
+
+    def leveled(df: DataFrame, a: str, b: str, c: str, d: str, into: str) -> DataFrame:
+        size = F.greatest(F.col(c) - F.col(a), F.col(d) - F.col(b))
+        return df.withColumn(into, F.when(size > 0, F.greatest(F.ceil(F.log2(size)).cast("int"), F.lit(least))).otherwise(F.lit(least)))
+
+    rows, boxes = leveled(rows, "xmin", "ymin", "xmax", "ymax", "row_level"), leveled(boxes, "minx", "miny", "maxx", "maxy", "box_level")
+    # a handful: powers of two between the narrowest and the widest
+    row_levels, box_levels = (sorted(r[0] for r in df.select(c).distinct().collect() if r[0] is not None) for df, c in ((rows, "row_level"), (boxes, "box_level")))
 
-    def cells(df: DataFrame, names) -> DataFrame:
-        a, b, c, d = (F.floor(F.col(n) / size) for n in names)
+    def cells(df: DataFrame, names, own: str, levels: list[int]) -> DataFrame:
+        level = F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= F.col(own)))
+        df = df.withColumn("level", level)
+        a, b, c, d = (F.floor(F.col(n) / F.pow(F.lit(2.0), F.col("level"))) for n in names)
         return df.withColumn("cx", F.explode(F.sequence(a, c))).withColumn("cy", F.explode(F.sequence(b, d)))
 
-    met = cells(rows, ("xmin", "ymin", "xmax", "ymax")).join(cells(boxes.withColumnRenamed("id", "box_id"), ("minx", "miny", "maxx", "maxy")), ["cx", "cy"]).filter(touch)
+    levels = sorted({*row_levels, *box_levels})
+    if not row_levels or not box_levels:
+        return rows.join(boxes, touch).groupBy(key).agg(F.min_by("box_id", area).alias("tile"))  # one of them is empty
+    left = cells(rows.filter("xmin <= xmax and ymin <= ymax"), ("xmin", "ymin", "xmax", "ymax"), "row_level", levels)
+    right = cells(boxes.filter("minx <= maxx and miny <= maxy"), ("minx", "miny", "maxx", "maxy"), "box_level", levels)
+    met = left.join(right, ["level", "cx", "cy"]).filter(touch & (F.col("level") == F.greatest("row_level", "box_level")))
     return met.groupBy(key).agg(F.min_by("box_id", F.struct(area, F.col("pos"))).alias("tile"))
 
 

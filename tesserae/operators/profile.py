@@ -69,15 +69,25 @@ def aggregates(df: DataFrame, geometry: str = "geometry") -> dict[str, dict[str,
     return out
 
 
+def top_values_of(df: DataFrame, columns: list[str], k: int = TOP, share: float = TOP_SHARE) -> DataFrame:
+    """(name, value, cnt) of each column's k most frequent values, ties by value; none of a column
+    where they cover less than ``share``.  One aggregation and one window for all columns."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), as_text(F.col(f"`{c}`"), df.schema[c].dataType).alias("value")) for c in columns])
+    counts = df.select(F.explode(pairs).alias("p")).select("p.*").filter("value is not null").groupBy("name", "value").agg(F.count("*").alias("cnt"))
+    # the total of all values and the best of each task first, so that a column of distinct values isn't one task's
+    place = F.row_number().over(W.partitionBy("name", "__part").orderBy(F.desc("cnt"), "value"))
+    parted = counts.withColumn("__part", F.pmod(F.xxhash64("value"), F.lit(256))).withColumn("__n", place)
+    rest = parted.withColumn("__keep", F.col("__n") <= k).groupBy("name", "__part").agg(F.sum("cnt").alias("total"), F.collect_list(F.when(F.col("__keep"), F.struct("value", "cnt"))).alias("best"))
+    by_name = rest.groupBy("name").agg(F.sum("total").alias("total"), F.flatten(F.collect_list("best")).alias("best"))  # 256 times k
+    order = F.array_sort("best", lambda a, b: F.when(a["cnt"] > b["cnt"], -1).when(a["cnt"] < b["cnt"], 1).when(a["value"] < b["value"], -1).when(a["value"] > b["value"], 1).otherwise(0))
+    best = by_name.select("name", "total", F.slice(order, 1, k).alias("best"))
+    best = best.filter(F.aggregate("best", F.lit(0).cast("long"), lambda s, v: s + v["cnt"]) >= share * F.col("total"))
+    return best.select("name", F.explode("best").alias("b")).select("name", "b.value", "b.cnt")
+
+
 def top_values(df: DataFrame, column: str, k: int = TOP, share: float = TOP_SHARE) -> DataFrame:
-    """(value, cnt) of the k most frequent values, ties by value; nothing if they cover less than ``share``."""
-    field = df.schema[column]
-    v = df.select(as_text(F.col(f"`{column}`"), field.dataType).alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("cnt"))
-    total = v.agg(F.sum("cnt").alias("total"))
-    best = v.orderBy(F.desc("cnt"), "value").limit(k)
-    covered = best.agg(F.sum("cnt").alias("covered"))
-    gate = total.join(F.broadcast(covered), F.lit(True)).filter(F.col("covered") >= share * F.col("total"))  # one row each
-    return best.join(F.broadcast(gate.select(F.lit(1).alias("__on"))), F.lit(True)).select("value", "cnt")
+    """(value, cnt) of one column."""
+    return top_values_of(df, [column], k, share).select("value", "cnt")
 
 
 def geometry_statistics(df: DataFrame, geometry: str = "geometry") -> DataFrame:
@@ -103,10 +113,14 @@ def merge_numeric(partials: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, geometry: str = "geometry") -> dict:
-    """{"attributes": [{"name", "stats"}]}: one pass for all columns, one small query for each column's top values."""
+    """{"attributes": [{"name", "stats"}]}: one pass for all statistics, one for all top values."""
     stats = aggregates(df, geometry)
     flat = [c.alias(f"{name}\x00{k}") for name, s in stats.items() for k, c in s.items()]
     got = df.agg(*flat).first().asDict() if flat else {}
+    top: dict[str, list] = {name: [] for name in stats}
+    if stats:
+        for r in top_values_of(df, list(stats)).collect():  # TOP rows a column
+            top[r["name"]].append({"value": r["value"], "count": r["cnt"]})
     out = []
     for f in df.schema:
         if f.name == geometry:
@@ -115,17 +129,15 @@ def profile(df: DataFrame, geometry: str = "geometry") -> dict:
             out.append({"name": f.name, "stats": {"mbr": box, "geom_types": g["geom_types"] or {}, "total_points": g["total_points"]}})
             continue
         s = {k: got[f"{f.name}\x00{k}"] for k in stats[f.name]}
-        s["top_k"] = [{"value": r["value"], "count": r["cnt"]} for r in top_values(df, f.name).orderBy(F.desc("cnt"), "value").collect()]  # TOP rows
+        s["top_k"] = sorted(top[f.name], key=lambda v: (-v["count"], v["value"]))
         out.append({"name": f.name, "stats": s})
     return {"attributes": out}
 
 
 def write_profile(stats: dict, path: str) -> None:
-    import os
+    from ..sources import files
 
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w") as file:
-        json.dump(stats, file, indent=2, default=str)
+    files.write(path, json.dumps(stats, indent=2, default=str).encode())
 
 
 def attribute_role(name: Column, kind: Column, distinct: Column, categories: int = 50) -> Column:

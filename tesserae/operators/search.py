@@ -23,6 +23,10 @@ class TextEmbedder(ABC):
     @abstractmethod
     def embed(self, text: str) -> list[float]: ...
 
+    def embed_query(self, text: str) -> list[float]:
+        """Services that treat queries and documents differently override this."""
+        return self.embed(text)
+
     def embed_documents(self, texts: list[str]) -> list[list[float]]:
         return [self.embed(t) for t in texts]
 
@@ -72,6 +76,23 @@ def nearest(df: DataFrame, query: list[float], k: int, *, key: str, vector: str
     return df.withColumn("score", cosine(F.col(vector), q)).orderBy(F.desc("score"), key).limit(max(1, k))
 
 
+def catalog(spark, root: str, backend: str = "auto", jdbc: dict | None = None) -> DataFrame:
+    """The catalog table of a backend: files below ``root``, or a database table; auto takes the
+    database if there are options for it."""
+    from ..sources import files
+
+    backend = backend.lower()
+    if backend not in ("auto", "npy", "jdbc"):
+        raise ValueError(f"backend {backend!r}")
+    if backend == "jdbc" or (backend == "auto" and jdbc):
+        if not jdbc:
+            raise ValueError("a database needs its reader's options")
+        return spark.read.format("jdbc").options(**jdbc).load().withColumn("embedding", F.from_json(F.col("embedding").cast("string"), "array<float>"))
+    if not files.is_dir(f"{root}/_catalog"):
+        raise FileNotFoundError(f"{root}/_catalog")
+    return spark.read.parquet(f"{root}/_catalog")
+
+
 def upsert(table: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
     """Last write wins by (version, then the changes before the table)."""
     both = table.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)), allowMissingColumns=True)

@@ -61,6 +61,11 @@ def top_per_tile(assigned: DataFrame, order: list[Column], k: int = MAX_PER_TILE
     return assigned.withColumn("__n", n).filter(F.col("__n") <= k).drop("__n")
 
 
+def top_overall(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first k of all rows: a top-k in every partition, merged once."""
+    return rows.orderBy(*order).limit(k)
+
+
 def prepare(features: DataFrame, geometry: str = "geometry") -> DataFrame:
     """Features (WKB, EPSG:4326) with attributes as one JSON column, geometry in EPSG:3857 and its box; null and empty ones go."""
     attributes = [c for c in features.columns if c != geometry and c not in RESERVED]
@@ -120,6 +125,6 @@ def tile_now(features: DataFrame, z: int, x: int, y: int, *, geometry: str = "ge
         features = features.filter(intersects(Box(a, b, c, d)))
     minx, miny, maxx, maxy = M.bounds_of_tile(z, x, y)
     got = prepare(features, geometry).filter(F.expr(f"xmax >= {minx} and xmin <= {maxx} and ymax >= {miny} and ymin <= {maxy}"))
-    rows = got.orderBy(F.desc("priority"), "wkb").limit(k).collect()  # k rows
+    rows = top_overall(got, [F.desc("priority"), F.col("wkb")], k).collect()  # k rows
     out = mvt.render(z, x, y, [(wkb.loads(bytes(r["wkb"])), json.loads(r["properties"])) for r in rows], pad=0)
     return out[0] if out else mvt.empty_tile()

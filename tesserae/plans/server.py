@@ -6,7 +6,6 @@ import json
 import threading
 from collections import OrderedDict
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-from pathlib import Path
 from urllib.parse import parse_qs, urlparse
 
 from pyspark.sql import functions as F
@@ -17,14 +16,17 @@ from ..functions.mercator import MAX_ZOOM
 from ..operators import features as features_
 from ..operators import tiles
 from ..session import get_or_create
-from ..sources import sinks
+from ..functions import mercator, mvt
+from ..sources import files, sinks
 from .api import Dataset, dataset_dirs
 
-MIME = {"csv": "text/csv", "geojson": "application/geo+json"}
+#: Rows of a partition up to which the server keeps it.
+KEEP_ROWS = 200_000
+STATIC = {"html": "text/html", "js": "text/javascript", "css": "text/css", "json": "application/json", "png": "image/png", "svg": "image/svg+xml", "ico": "image/x-icon", "pmtiles": "application/octet-stream"}
 
 
 class TileCache:
-    """The most recently used tiles."""
+    """The most recently used tiles, or partitions."""
 
     def __init__(self, capacity: int = 256) -> None:
         self.capacity, self._held, self._lock = capacity, OrderedDict(), threading.Lock()
@@ -57,7 +59,7 @@ class App:
     """Routes without a socket: ``get`` and ``post`` return (status, content type, chunks)."""
 
     def __init__(self, data_dir: str, spark=None, cache_size: int = 256) -> None:
-        self.root, self.cache = data_dir, TileCache(cache_size)
+        self.root, self.cache, self.partitions, self.manifests = str(data_dir), TileCache(cache_size), TileCache(4), TileCache(64)
         self.spark = spark or get_or_create()
 
     def get(self, url: str):
@@ -71,6 +73,8 @@ class App:
             return self._route(url, body)
         except Problem as p:
             return p.status, "application/json", iter([json.dumps({"error": str(p)}).encode()])
+        except Exception as e:  # whatever else fails is the server's fault
+            return 500, "application/json", iter([json.dumps({"error": f"{type(e).__name__}: {e}".split("\n")[0]}).encode()])
 
     def _dataset(self, name: str) -> Dataset:
         if name not in dataset_dirs(self.root):
@@ -91,11 +95,11 @@ class App:
             page = "<ul>" + "".join(f'<li><a href="/datasets/{d}.json">{d}</a></li>' for d in dataset_dirs(self.root)) + "</ul>"
             return 200, "text/html", iter([page.encode()])
         if parts == ["api", "datasets"]:
-            return answer(dataset_dirs(self.root))
+            return answer({"datasets": dataset_dirs(self.root)})
         if parts == ["datasets.json"]:
             q = args.get("q", "").lower()
             shown = [{"id": d, "name": d.replace("_", " ").title(), "size": self._size(d)} for d in dataset_dirs(self.root)]
-            return answer([s for s in shown if q in s["name"].lower() or q in s["id"].lower()])
+            return answer({"datasets": [s for s in shown if q in s["name"].lower() or q in s["id"].lower()]})
         if len(parts) == 4 and parts[:2] == ["api", "datasets"] and parts[3] == "stats":
             ds = self._dataset(parts[2])
             if not ds.has_stats:
@@ -114,10 +118,14 @@ class App:
             return self._features(parts[1], parts[2].split(".", 1)[1], args, body)
         if len(parts) == 4 and parts[3].endswith(".mvt"):
             return self._tile(parts[0], parts[1], parts[2], parts[3][:-4])
+        kind = STATIC.get(parts[-1].rsplit(".", 1)[-1].lower())
+        path = "/".join([self.root, *parts])
+        if kind and ".." not in parts and not parts[0].startswith((".", "_")) and files.is_file(path):
+            return 200, kind, iter([files.read(path)])
         raise Problem(404, "no such page")
 
     def _size(self, name: str) -> int:
-        return sum(p.stat().st_size for p in Path(self.root, name).rglob("*") if p.is_file())
+        return sum(files.size(f) for f, folder in files.listing(f"{self.root}/{name}", recursive=True) if not folder)
 
     def _tile(self, name: str, *address: str):
         ds = self._dataset(name)
@@ -130,11 +138,36 @@ class App:
         key = (name, z, x, y)
         data = self.cache.get(key)
         if data is None:
-            file = ds.path / "mvt" / str(z) / str(x) / f"{y}.mvt"
-            data = file.read_bytes() if file.is_file() else tiles.tile_now(sinks.read_tiles(self.spark, str(ds.path)), z, x, y)
+            file = f"{ds.path}/mvt/{z}/{x}/{y}.mvt"
+            data = files.read(file) if files.is_file(file) else self._drawn(ds, z, x, y)
             self.cache.put(key, data)
         return 200, "application/vnd.mapbox-vector-tile", iter([data])
 
+    def _drawn(self, ds: Dataset, z: int, x: int, y: int) -> bytes:
+        """A tile that isn't built: from partitions that are held, if they are few and small, else by Spark."""
+        if not files.is_dir(f"{ds.path}/manifest"):
+            return tiles.tile_now(sinks.read_tiles(self.spark, ds.path), z, x, y)
+        manifest = self.manifests.get(ds.path)
+        if manifest is None:
+            manifest = self.spark.read.parquet(f"{ds.path}/manifest").toPandas()  # a row a partition
+            self.manifests.put(ds.path, manifest)
+        a, b, c, d = mercator.lonlat_of_tile(z, x, y)
+        hit = manifest[(manifest.xmax >= a) & (manifest.xmin <= c) & (manifest.ymax >= b) & (manifest.ymin <= d)]
+        if len(hit) > self.partitions.capacity or (hit["rows"] > KEEP_ROWS).any():
+            return tiles.tile_now(sinks.read_tiles(self.spark, ds.path), z, x, y)
+        minx, miny, maxx, maxy = mercator.bounds_of_tile(z, x, y)
+        rows = []
+        for tile_id in hit.tile_id.tolist():
+            held = self.partitions.get((ds.path, tile_id))
+            if held is None:
+                held = tiles.prepare(sinks.read_tiles(self.spark, ds.path).filter(F.col("_tile_id") == tile_id)).toPandas()  # KEEP_ROWS at most
+                self.partitions.put((ds.path, tile_id), held)
+            rows.append(held[(held.xmax >= minx) & (held.xmin <= maxx) & (held.ymax >= miny) & (held.ymin <= maxy)])
+        found = [r for p in rows for r in p[["priority", "wkb", "properties"]].itertuples(index=False)]
+        found = sorted(found, key=lambda r: (-r.priority, bytes(r.wkb)))[: tiles.MAX_ON_THE_FLY]
+        got = mvt.render(z, x, y, [(wkb.loads(bytes(r.wkb)), json.loads(r.properties)) for r in found], pad=0)
+        return got[0] if got else mvt.empty_tile()
+
     def _box(self, args: dict) -> Box | None:
         if "mbr" not in args:
             return None
@@ -144,7 +177,7 @@ class App:
             raise Problem(400, str(e)) from None
 
     def _features(self, name: str, fmt: str, args: dict, body: bytes | None):
-        if fmt not in MIME:
+        if fmt not in features_.FORMATS:
             raise Problem(400, f"format {fmt!r}")
         ds, box, area = self._dataset(name), self._box(args), None
         if body is not None:
@@ -160,10 +193,8 @@ class App:
         if area is not None:
             df = features_.intersecting(df, area)
         df = df.filter(F.col("geometry").isNotNull())
-        if fmt == "csv":
-            header, lines = features_.csv_lines(df)
-            return 200, MIME[fmt], ((t + "\n").encode() for t in _then([header], lines))
-        return 200, MIME[fmt], _collection(features_.geojson_lines(df))
+        kind, pieces = features_.FORMATS[fmt]
+        return 200, kind, (t.encode() for t in pieces(df, "geometry"))
 
     def _sample(self, name: str, whole: bool, args: dict):
         ds, box = self._dataset(name), self._box(args)
@@ -176,19 +207,6 @@ class App:
         return 200, "application/json", iter([json.dumps(feature if whole else feature["properties"]).encode()])
 
 
-def _then(first: list[str], lines):
-    yield from first
-    for r in lines.toLocalIterator():
-        yield r[0]
-
-
-def _collection(lines):
-    yield b'{"type":"FeatureCollection","features":['
-    for i, r in enumerate(lines.toLocalIterator()):
-        yield (b"," if i else b"") + r[0].encode()
-    yield b"]}"
-
-
 def create_app(data_dir: str, cache_size: int = 256, spark=None) -> App:
     return App(data_dir, spark, cache_size)
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import math
-import os
 import re
 from collections.abc import Iterator
 from decimal import Decimal
@@ -20,30 +19,31 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import wkb
+from . import files
 
 GEOJSON_SUFFIXES = (".geojson", ".geojsonl", ".json", ".jsonl")
 PARQUET_SUFFIXES = (".parquet", ".geoparquet")
 SPLIT_BYTES = 32 << 20
-#: Features from which a schema is inferred, once.
-SCHEMA_FEATURES = 1000
 
 
 def list_files(path: str) -> list[str]:
     """Data files below a path; hidden files and folders are skipped."""
-    if os.path.isfile(path):
+    if files.is_file(path):
         return [path]
-    if not os.path.isdir(path):
+    if not files.is_dir(path):
         raise FileNotFoundError(path)
-    found = []
-    for folder, inner, names in os.walk(path):
-        inner[:] = sorted(d for d in inner if not d.startswith((".", "_")) or "=" in d)
-        found += [os.path.join(folder, n) for n in sorted(names) if not n.startswith((".", "_")) and n.lower().endswith(GEOJSON_SUFFIXES + PARQUET_SUFFIXES)]
-    return found
+    lead = len(str(path).rstrip("/")) + 1
+
+    def shown(name: str) -> bool:
+        *folders, last = name[lead:].split("/")
+        return not last.startswith((".", "_")) and not any(d.startswith((".", "_")) and "=" not in d for d in folders)
+
+    return [f for f, folder in files.listing(path, recursive=True) if not folder and shown(f) and f.lower().endswith(GEOJSON_SUFFIXES + PARQUET_SUFFIXES)]
 
 
 def kind_of(path: str) -> str:
     """"geojson" or "parquet"; a folder must hold files of one kind only."""
-    if os.path.isfile(path):
+    if files.is_file(path):
         return "geojson" if path.lower().endswith(GEOJSON_SUFFIXES) else "parquet"
     kinds = {"geojson" if f.lower().endswith(GEOJSON_SUFFIXES) else "parquet" for f in list_files(path)}
     if len(kinds) != 1:
@@ -52,7 +52,7 @@ def kind_of(path: str) -> str:
 
 
 def input_bytes(path: str) -> int:
-    return sum(os.path.getsize(f) for f in list_files(path))
+    return sum(files.size(f) for f in list_files(path))
 
 
 def partition_count(size: int, partition_bytes: int) -> int:
@@ -76,7 +76,10 @@ def row_group_splits(path: str, splits: int | None = None) -> list[tuple[str, li
     """(file, row groups): one for each row group, or about ``splits`` of them; none spans files."""
     import pyarrow.parquet as pq
 
-    groups = [(f, pq.ParquetFile(f).num_row_groups) for f in list_files(path)]
+    groups = []
+    for f in list_files(path):
+        with files.open_input(f) as file:
+            groups.append((f, pq.ParquetFile(file).num_row_groups))
     size = 1 if splits is None else math.ceil(sum(n for _, n in groups) / max(1, splits))
     return [(f, list(range(i, min(n, i + size)))) for f, n in groups for i in range(0, n, max(1, size))]
 
@@ -104,7 +107,7 @@ def features_in(path: str, offset: int, length: int) -> Iterator[bytes]:
     value.  Every find of that pair is decoded from the nearest brace before it
     that makes such an object, so the pair inside a text (its quotes are escaped
     there) or in a nested value is never taken for a feature."""
-    with open(path, "rb") as file:
+    with files.open_input(path) as file:
         back = 1 if offset else 0
         file.seek(offset - back)
         text = file.read(length + back).decode("latin-1")  # one character per byte
@@ -162,29 +165,58 @@ def normalise(value):
     return value
 
 
-def _type_of(values: list) -> T.DataType:
-    seen = {type(normalise(v)) for v in values if v is not None}
-    if seen <= {bool} and seen:
+def _type_of(seen: set[str]) -> T.DataType:
+    if seen == {"bool"}:
         return T.BooleanType()
-    if seen <= {int} and seen:
+    if seen == {"int"}:
         return T.LongType()
-    return T.DoubleType() if seen and seen <= {int, float} else T.StringType()
+    return T.DoubleType() if seen and seen <= {"int", "float"} else T.StringType()
 
 
-def infer_schema(path: str, most: int = SCHEMA_FEATURES) -> T.StructType:
-    """Of the first features of the first file that has any; locked for the rest."""
-    columns: dict[str, list] = {}
-    n = 0
-    for f in list_files(path):
-        for raw in features_in(f, 0, os.path.getsize(f)):
-            for k, v in (json.loads(raw).get("properties") or {}).items():
-                columns.setdefault(k, []).append(v)
-            n += 1
-            if n >= most:
-                break
-        if n:
+def _properties_of(path: str, offset: int, length: int, most: int | None = None) -> dict[str, tuple[int, set[str]]]:
+    """Name -> where it came first, and the types of its values, in a range's features."""
+    found: dict[str, tuple[int, set[str]]] = {}
+    for n, raw in enumerate(features_in(path, offset, length)):
+        if n == most:
             break
-    return T.StructType([T.StructField("geometry", T.BinaryType()), *(T.StructField(k, _type_of(v)) for k, v in columns.items() if k != "geometry")])
+        for k, v in (json.loads(raw).get("properties") or {}).items():
+            _, seen = found.setdefault(k, (len(found), set()))
+            if v is not None:
+                seen.add(type(normalise(v)).__name__)
+    return found
+
+
+def infer_schema(path: str, most: int | None = None, spark: SparkSession | None = None) -> T.StructType:
+    """Of all features, read in parallel if there is a session; or of the first ``most`` of
+    the first file that has any.  Columns stand in the order in which they come first."""
+    ranges = [(i, f, o, n) for i, f in enumerate(list_files(path)) for o, n in byte_ranges(files.size(f), math.ceil(files.size(f) / SPLIT_BYTES))]
+    columns: dict[str, tuple[tuple, set[str]]] = {}
+
+    def add(name: str, place: tuple, seen: set[str]) -> None:
+        old, types = columns.get(name, (place, set()))
+        columns[name] = (min(old, place), types | seen)
+
+    if most is not None or spark is None:
+        for f in list_files(path):
+            for name, (n, seen) in _properties_of(f, 0, files.size(f), most).items():
+                add(name, (f, 0, n), seen)
+            if most is not None and columns:
+                break
+    else:
+        def scan(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for i, f, o, n in batch.to_pandas().itertuples(index=False):
+                    found = _properties_of(f, o, n)
+                    yield pa.record_batch({"name": pa.array(list(found), pa.string()), "file": pa.array([i] * len(found), pa.int64()), "at": pa.array([o] * len(found), pa.int64()), "no": pa.array([k for k, _ in found.values()], pa.int64()), "types": pa.array([sorted(t) for _, t in found.values()], pa.list_(pa.string()))})
+
+        table = spark.createDataFrame(ranges, "file long, path string, at long, length long").repartition(max(1, len(ranges)))
+        got = table.mapInArrow(scan, "name string, file long, at long, no long, types array<string>").groupBy("name").agg(F.min(F.struct("file", "at", "no")).alias("place"), F.array_distinct(F.flatten(F.collect_list("types"))).alias("types"))
+        for r in got.collect():  # a row a column
+            add(r["name"], tuple(r["place"]), set(r["types"]))
+    names = sorted((k for k in columns if k != "geometry"), key=lambda k: columns[k][0])
+    return T.StructType([T.StructField("geometry", T.BinaryType()), *(T.StructField(k, _type_of(columns[k][1])) for k in names)])
 
 
 def _fit(value, kind: T.DataType):
@@ -222,7 +254,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         size = int(self.options.get("splitBytes", SPLIT_BYTES))
-        return [_Range(f, o, n) for f in list_files(self.options["path"]) for o, n in byte_ranges(os.path.getsize(f), math.ceil(os.path.getsize(f) / size))] or [_Range("", 0, 0)]
+        return [_Range(f, o, n) for f in list_files(self.options["path"]) for o, n in byte_ranges(files.size(f), math.ceil(files.size(f) / size))] or [_Range("", 0, 0)]
 
     def read(self, part: _Range):
         if part.path:
@@ -243,15 +275,15 @@ class GeoJSONSource(DataSource):
 
 
 def read_geojson(spark: SparkSession, path: str, schema: T.StructType | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    if not os.path.exists(path):
+    if not files.exists(path):
         raise FileNotFoundError(path)
     spark.dataSource.register(GeoJSONSource)
-    return spark.read.format("geojson").schema(schema or infer_schema(path)).option("splitBytes", split_bytes).load(path)
+    return spark.read.format("geojson").schema(schema or infer_schema(path, spark=spark)).option("splitBytes", split_bytes).load(path)
 
 
 def crs_hint(path: str) -> str | None:
     """crs.properties.name of a collection's header."""
-    with open(list_files(path)[0], "rb") as f:
+    with files.open_input(list_files(path)[0]) as f:
         head = f.read(_CHUNK).split(b'"features"')[0].decode(errors="ignore")
     m = re.search(r'"crs"\s*:\s*\{.*?"name"\s*:\s*"([^"]+)"', head, re.DOTALL)
     return m.group(1) if m else None

@@ -7,11 +7,9 @@ A dataset folder holds parquet_tiles/ (Parquet, one folder a partition), manifes
 from __future__ import annotations
 
 import gzip
+import io
 import json
-import os
 import struct
-import zlib
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import mercator as M
 from ..functions import wkb
 from ..functions.boxes import Box
+from . import files
 
 ROW_GROUP_BYTES = 8 << 20
 
@@ -45,33 +44,129 @@ def clustered(df: DataFrame, extent: Box, sort: str = "zorder", bits: int = 16,
     return df.withColumn("_sfc", F.when(F.col("_cx").isNull(), F.lit(2**63 - 1)).otherwise(code)).sortWithinPartitions("_tile_id", "_sfc").drop("_sfc")
 
 
-def write_tiles(df: DataFrame, outdir: str, compression: str = "zstd") -> None:
-    """Partitioned by _tile_id, which readers prune; internal columns aren't written."""
-    (df.drop("_cx", "_cy").write.mode("overwrite").option("compression", compression).option("parquet.block.size", ROW_GROUP_BYTES).partitionBy("_tile_id").parquet(f"{outdir}/parquet_tiles"))
+def geo_block(geometry: str, crs: str | None, bounds: list[float] | None, types: list[str]) -> dict:
+    """The ``geo`` entry of a GeoParquet footer (1.1.0)."""
+    column: dict = {"encoding": "WKB", "geometry_types": types}
+    if crs:
+        column["crs"] = crs
+    if bounds:
+        column["bbox"] = bounds
+    return {"version": "1.1.0", "primary_column": geometry, "columns": {geometry: column}}
+
+
+def write_tiles(df: DataFrame, outdir: str, compression: str = "zstd", geometry: str = "geometry", crs: str | None = None, boxes: bool = True) -> int:
+    """One GeoParquet file a tile, in a folder by _tile_id, which readers prune; how many.
+
+    Each task holds whole tiles (``clustered``), row by row in order; a file's footer has
+    its tile's bounds.  A file is written under a name of its own and moved into place,
+    so a task that runs again leaves one file.  Internal columns aren't written."""
+    root = f"{outdir}/parquet_tiles"
+    files.remove(root)
+    drop = {"_cx", "_cy", "_tile_id"} | (set() if boxes else {f"_bbox_{n}" for n in ("xmin", "ymin", "xmax", "ymax")})
+
+    def write(batches):
+        import uuid
+
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        tile, writer, out, path, bounds, held, size, done = None, None, None, "", [], [], 0, 0
+
+        def flush():
+            nonlocal held, size
+            if held:
+                writer.write_table(pa.Table.from_batches(held))  # a row group
+            held, size = [], 0
+
+        def close():
+            nonlocal done
+            if writer is None:
+                return
+            flush()
+            low = [pc.min(pa.array([x for x in (b[i] for b in bounds) if x is not None], pa.float64())).as_py() for i in (0, 1)]
+            top = [pc.max(pa.array([x for x in (b[i] for b in bounds) if x is not None], pa.float64())).as_py() for i in (2, 3)]
+            block = geo_block(geometry, crs, None if low[0] is None else [*low, *top], [])
+            writer.add_key_value_metadata({"geo": json.dumps(block)})
+            writer.close()
+            out.close()
+            files.move(path, f"{root}/_tile_id={tile}/part-0.parquet")
+            done += 1
+
+        for batch in batches:
+            ids = batch.column("_tile_id").to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True]) if len(ids) else []
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                part = batch.slice(i, j - i)
+                if ids[i] != tile:
+                    close()
+                    tile, bounds = ids[i], []
+                    kept = part.select([n for n in part.schema.names if n not in drop])
+                    path = f"{root}/_temporary/{tile}-{uuid.uuid4().hex}"
+                    out = files.create(path)
+                    writer = pq.ParquetWriter(out, kept.schema, compression=compression)
+                bounds.append([f(part.column(f"_bbox_{n}")).as_py() for f, n in ((pc.min, "xmin"), (pc.min, "ymin"), (pc.max, "xmax"), (pc.max, "ymax"))])
+                held.append(part.select([n for n in part.schema.names if n not in drop]))
+                size += held[-1].nbytes
+                if size >= ROW_GROUP_BYTES:
+                    flush()
+        close()
+        yield pa.record_batch({"n": pa.array([done], pa.int64())})
+
+    n = df.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    files.remove(f"{root}/_temporary")
+    return n
+
+
+def manifest(df: DataFrame, tile: str = "_tile_id", prefix: str = "_bbox_") -> DataFrame:
+    """(tile_id, rows, xmin, ymin, xmax, ymax) of every tile."""
+    bounds = [f(f"{prefix}{n}").alias(n) for n, f in (("xmin", F.min), ("ymin", F.min), ("xmax", F.max), ("ymax", F.max))]
+    return df.groupBy(F.col(tile).alias("tile_id")).agg(F.count("*").alias("rows"), *bounds)
 
 
 def write_manifest(df: DataFrame, outdir: str) -> None:
     """Exact bounds and rows of every tile, instead of bounds in file names."""
-    bounds = [f(f"_bbox_{n}").alias(n) for n, f in (("xmin", F.min), ("ymin", F.min), ("xmax", F.max), ("ymax", F.max))]
-    df.groupBy(F.col("_tile_id").alias("tile_id")).agg(F.count("*").alias("rows"), *bounds).coalesce(1).write.mode("overwrite").parquet(f"{outdir}/manifest")
+    manifest(df).coalesce(1).write.mode("overwrite").parquet(f"{outdir}/manifest")
 
 
-def read_tiles(spark, outdir: str, box: Box | None = None) -> DataFrame:
-    """Rows of the tiles whose bounds touch the box: tiles by the manifest, row groups by statistics."""
-    df = spark.read.parquet(f"{outdir}/parquet_tiles")
-    if box is None:
-        return df
-    from ..functions.boxes import intersects
+def named_box(name: str) -> tuple[float, float, float, float] | None:
+    """The bounds in a file name tile_N__minx_miny_maxx_maxy.parquet, whose numbers have _ for
+    their point, widened by a unit of their last digit."""
+    parts = name.rsplit("/", 1)[-1].removesuffix(".parquet").split("__")
+    words = parts[1].split("_") if len(parts) == 2 else []
+    if len(words) != 8:
+        return None
+    try:
+        numbers = [(float(f"{a}.{b}"), 10.0 ** -len(b)) for a, b in zip(words[::2], words[1::2], strict=True)]
+    except ValueError:
+        return None
+    return tuple(v - unit if i < 2 else v + unit for i, (v, unit) in enumerate(numbers))
+
 
-    hit = [r[0] for r in spark.read.parquet(f"{outdir}/manifest").filter(intersects(box, "xmin", "ymin", "xmax", "ymax")).select("tile_id").collect()]  # a number a tile
-    df = df.filter(F.col("_tile_id").isin(hit) if hit else F.lit(False))
-    return df.filter(intersects(box)) if "_bbox_xmin" in df.columns else df
+def flat_tiles(outdir: str) -> list[str]:
+    """Tile files that lie in one folder under names with their bounds, as other writers leave them."""
+    return [f for f, folder in files.listing(f"{outdir}/parquet_tiles") if not folder and f.endswith(".parquet")]
 
 
-def write_geo_metadata(outdir: str, geometry: str = "geometry", crs: str | None = None) -> None:
-    """The dataset's ``geo`` block, with each tile's bounds in the manifest beside it."""
-    block = {"version": "1.1.0", "primary_column": geometry, "columns": {geometry: {"encoding": "WKB", "crs": crs, "geometry_types": []}}}
-    Path(outdir, "geo.json").write_text(json.dumps(block, indent=2))
+def read_tiles(spark, outdir: str, box: Box | None = None, geometry: str = "geometry") -> DataFrame:
+    """Rows of the tiles whose bounds touch the box: tiles by the manifest or their files' names,
+    row groups by statistics, rows by their boxes."""
+    from ..functions.boxes import intersects
+    from ..operators.features import in_box
+
+    flat = flat_tiles(outdir)
+    if flat:
+        hit = [f for f in flat if box is None or (b := named_box(f)) is None or not (b[2] < box.xmin or b[0] > box.xmax or b[3] < box.ymin or b[1] > box.ymax)]
+        df = spark.read.parquet(*(hit or flat[:1]))
+        df = df if hit else df.limit(0)
+    else:
+        df = spark.read.parquet(f"{outdir}/parquet_tiles")
+    if box is None:
+        return df
+    if not flat:
+        hit = [r[0] for r in spark.read.parquet(f"{outdir}/manifest").filter(intersects(box, "xmin", "ymin", "xmax", "ymax")).select("tile_id").collect()]  # a number a tile
+        df = df.filter(F.col("_tile_id").isin(hit) if hit else F.lit(False))
+    return in_box(df, box, geometry)
 
 
 def write_histogram(cells: DataFrame, outdir: str, zoom: int) -> None:
@@ -79,23 +174,24 @@ def write_histogram(cells: DataFrame, outdir: str, zoom: int) -> None:
 
     The arrays' size is the grid's (4096^2 numbers for zoom 12), whatever the input;
     they are filled from at most as many cells."""
-    folder = Path(outdir, "histograms")
-    folder.mkdir(parents=True, exist_ok=True)
-    cells.write.mode("overwrite").parquet(str(folder / "cells"))
+    folder = f"{outdir}/histograms"
+    cells.write.mode("overwrite").parquet(f"{folder}/cells")
     n = 1 << zoom
     dense = np.zeros((n, n))
-    p = cells.sparkSession.read.parquet(str(folder / "cells")).toPandas()
+    p = cells.sparkSession.read.parquet(f"{folder}/cells").toPandas()
     dense[p["row"], p["col"]] = p["cnt"]
     w = M.HALF_WORLD
     about = {"dtype": "float64", "grid_size": n, "shape": [n, n], "crs": "EPSG:3857", "bbox": [-w, -w, w, w]}
     for name, array, more in (("global", dense, {"sum": float(dense.sum()), "nonzero": int((dense != 0).sum())}), ("global_prefix", dense.cumsum(0).cumsum(1), {"desc": "inclusive two-dimensional prefix sum"})):
-        np.save(folder / f"{name}.npy", array)
-        (folder / f"{name}.json").write_text(json.dumps({"filename": f"{name}.npy", **about, **more}, indent=2))
+        raw = io.BytesIO()
+        np.save(raw, array)
+        files.write(f"{folder}/{name}.npy", raw.getvalue())
+        files.write(f"{folder}/{name}.json", json.dumps({"filename": f"{name}.npy", **about, **more}, indent=2).encode())
 
 
 def read_histogram(path: str) -> np.ndarray:
     """The prefix-sum array of a .npy file, whichever of the two it holds."""
-    array = np.load(path)
+    array = np.load(io.BytesIO(files.read(path)))
     return array if path.endswith("_prefix.npy") else array.cumsum(0).cumsum(1)
 
 
@@ -115,16 +211,14 @@ def prefix_value(prefix: np.ndarray, z: int, x: int, y: int) -> float:
 
 
 def write_mvt(tiles: DataFrame, outdir: str) -> int:
-    """mvt/z/x/y.mvt from (z, x, y, data), written by the tasks into the shared folder; how many."""
+    """mvt/z/x/y.mvt from (z, x, y, data), written by the tasks into the folder or store all share; how many."""
 
     def write(batches):
         import pyarrow as pa
 
         for batch in batches:
             for r in batch.select(["z", "x", "y", "data"]).to_pylist():
-                path = Path(outdir, "mvt", str(r["z"]), str(r["x"]), f"{r['y']}.mvt")
-                path.parent.mkdir(parents=True, exist_ok=True)
-                path.write_bytes(r["data"])
+                files.write(f"{outdir}/mvt/{r['z']}/{r['x']}/{r['y']}.mvt", r["data"])
             yield pa.record_batch({"n": pa.array([batch.num_rows], pa.int64())})
 
     return tiles.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -174,24 +268,33 @@ def _directory(entries: list[tuple[int, int, int, int]]) -> bytes:
 
 
 def write_archive(tiles, path: str, tile_type: str = "mvt", compression: str = "gzip", metadata: dict | None = None) -> int:
-    """A PMTiles v3 archive from an iterable of (z, x, y, bytes); tiles are stored once for equal content."""
+    """A PMTiles v3 archive from an iterable of (z, x, y, bytes or what gives them); equal content is stored once.
+
+    Only numbers and digests of the tiles stay in memory: contents go to a file beside the
+    archive, one after the other in the archive's order, and from there behind the directory."""
+    import hashlib
+
     pack = compressor(compression)
-    rows = sorted((M.archive_id(z, x, y), z, x, y, data) for z, x, y, data in tiles)
+    tiles = list(tiles)
+    rows = sorted((M.archive_id(z, x, y), z, x, y, i) for i, (z, x, y, _) in enumerate(tiles))
     if not rows:
         raise ValueError("no tiles to archive")
-    body, seen, entries, size = [], {}, [], 0
-    for t, _, _, _, data in rows:
-        data = pack(data)
-        key = (zlib.crc32(data), data)
-        if key not in seen:
-            seen[key] = (size, len(data))
-            body.append(data)
-            size += len(data)
-        offset, length = seen[key]
-        if entries and entries[-1][0] + entries[-1][3] == t and entries[-1][1] == offset:
-            entries[-1] = (*entries[-1][:3], entries[-1][3] + 1)
-        else:
-            entries.append((t, offset, length, 1))
+    seen: dict[bytes, tuple[int, int]] = {}
+    entries, size, body = [], 0, f"{path}.body"
+    with files.create(body) as out:
+        for t, _, _, _, i in rows:
+            data = tiles[i][3]
+            data = pack(data() if callable(data) else data)
+            key = hashlib.blake2b(data, digest_size=16).digest()
+            if key not in seen:
+                seen[key] = (size, len(data))
+                out.write(data)
+                size += len(data)
+            offset, length = seen[key]
+            if entries and entries[-1][0] + entries[-1][3] == t and entries[-1][1] == offset:
+                entries[-1] = (*entries[-1][:3], entries[-1][3] + 1)
+            else:
+                entries.append((t, offset, length, 1))
     root, leaves = _directory(entries), b""
     step = 4096
     while len(root) > 16384 - 127:
@@ -214,19 +317,22 @@ def write_archive(tiles, path: str, tile_type: str = "mvt", compression: str = "
     head += struct.pack("<4i", *(round(v * 1e7) for v in box)) + bytes([min(zooms)])
     head += struct.pack("<2i", round((box[0] + box[2]) / 2 * 1e7), round((box[1] + box[3]) / 2 * 1e7))
     assert len(head) == 127
-    Path(path).write_bytes(head + root + about + leaves + b"".join(body))
+    with files.create(path) as out:
+        out.write(head + root + about + leaves)
+        with files.open_input(body) as file:
+            while data := file.read(1 << 24):
+                out.write(data)
+    files.remove(body)
     return len(rows)
 
 
 def archive_folder(mvt_dir: str, path: str, tile_type: str = "mvt", compression: str = "gzip") -> int:
-    """All files z/x/y.* of a folder; others are skipped."""
-    if not os.path.isdir(mvt_dir):
+    """All files z/x/y.* of a folder, read one at a time; others are skipped."""
+    if not files.is_dir(mvt_dir):
         raise FileNotFoundError(mvt_dir)
-
-    def tiles():
-        for f in sorted(Path(mvt_dir).rglob("*.*")):
-            parts = [*f.relative_to(mvt_dir).parts[:-1], f.stem]
-            if len(parts) == 3 and all(p.isdigit() for p in parts):
-                yield (*map(int, parts), f.read_bytes())
-
-    return write_archive(tiles(), path, tile_type, compression)
+    lead, tiles = len(str(mvt_dir).rstrip("/")) + 1, []
+    for f, folder in files.listing(mvt_dir, recursive=True):
+        parts = f[lead:].rsplit(".", 1)[0].split("/")
+        if not folder and "." in f[lead:].rsplit("/", 1)[-1] and len(parts) == 3 and all(p.isdigit() for p in parts):
+            tiles.append((*map(int, parts), lambda f=f: files.read(f)))
+    return write_archive(tiles, path, tile_type, compression)

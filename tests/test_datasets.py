@@ -13,7 +13,7 @@ from tesserae.functions.boxes import Box
 from tesserae.plans import api, cli, queries
 from tesserae.plans.server import TileCache, create_app
 from tesserae.session import configure
-from tesserae.sources import readers, sinks
+from tesserae.sources import files, readers, sinks
 from tesserae.streaming import incremental
 
 
@@ -121,7 +121,7 @@ def root(spark, tmp_path_factory):
     rng = np.random.default_rng(1)
     rows = [(i, f"place {i % 3}", wkb.dumps(wkb.point(*rng.uniform(-80, 80, 2)))) for i in range(300)] + [(300, "box, big", wkb.dumps(wkb.box(-10.25, -0.5, 40, 30))), (301, None, None)]
     spark.createDataFrame(rows, "id int, name string, geometry binary").repartition(3).write.parquet(str(base / "in"))
-    first, second, archive = api.build(str(base / "in"), str(base / "sets" / "some_places"), zoom=2, partition_size=2000, threshold=1, pmtiles=True, histogram_zoom=6, spark=spark)
+    first, second, archive = api.build(str(base / "in"), str(base / "sets" / "some_places"), zoom=2, partition_size=2000, threshold=1, pmtiles=True, histogram_zoom=6, covering_bbox=True, spark=spark)
     return base, first, second, archive
 
 
@@ -147,7 +147,7 @@ def test_built_dataset(spark, root):
     assert sinks.prefix_value(prefix, 0, 0, 0) == 305 and sinks.prefix_value(prefix, 1, 9, 0) == 0.0
     assert sum(sinks.prefix_value(prefix, 2, x, y) for x in range(4) for y in range(4)) == 305
     assert (np.load(f"{out}/histograms/global_prefix.npy") == prefix).all()
-    top = mvt.decode((ds.path / "mvt/0/0/0.mvt").read_bytes())["layer0"]["features"]
+    top = mvt.decode(files.read(f"{ds.path}/mvt/0/0/0.mvt"))["layer0"]["features"]
     assert len(top) == 301 and set(top[0]["properties"]) <= {"id", "name"}
 
 
@@ -174,13 +174,64 @@ def test_archive_holds_the_tiles(root):
         api.export_pmtiles(str(base / "nowhere"), str(base / "x.pmtiles"))
 
 
-@pytest.mark.parametrize("sort", ["hilbert", "none", "columns", "odd"])
+@pytest.mark.parametrize("sort", ["Hilbert", "none", "columns", "odd"])
 def test_other_orders(spark, root, tmp_path, sort):
     base = root[0]
-    r = api.tile(str(base / "in"), str(tmp_path / "o"), sort=sort, sort_keys=[("id", False)] if sort == "columns" else None, covering_bbox=sort != "none", histogram_zoom=4, spark=spark)
-    assert r.total_rows == 302
+    r = api.tile(str(base / "in"), str(tmp_path / "o"), sort=sort, sort_keys=[("id", False)] if sort == "columns" else None, covering_bbox=sort != "none", histogram_zoom=4, orchestrator="two_stage", spark=spark)
+    assert r.total_rows == 302 and r.histogram_path.endswith("global_prefix.npy")
+    near = {r["id"] for r in sinks.read_tiles(spark, str(tmp_path / "o"), Box(0, 0, 20, 20)).collect()}
+    assert near == {r["id"] for r in sinks.read_tiles(spark, str(base / "sets" / "some_places"), Box(0, 0, 20, 20)).collect()}
     with pytest.raises(ValueError):
         api.tile(str(base / "in"), str(tmp_path / "p"), orchestrator="other", spark=spark)
+    with pytest.raises(TypeError):
+        api.tile(str(base / "in"), str(tmp_path / "p"), partition_sise=1, spark=spark)
+
+
+def test_tile_files_carry_their_bounds(spark, root):
+    import pyarrow.parquet as pq
+
+    out = str(root[0] / "sets" / "some_places")
+    bounds = {r["tile_id"]: r for r in spark.read.parquet(f"{out}/manifest").collect()}
+    found = [f for f, folder in files.listing(f"{out}/parquet_tiles", recursive=True) if not folder]
+    assert len(found) == len(bounds)
+    for f in found:
+        geo = json.loads(pq.ParquetFile(f).metadata.metadata[b"geo"])
+        r = bounds[int(f.split("_tile_id=")[1].split("/")[0])]
+        assert geo["primary_column"] == "geometry" and geo["columns"]["geometry"]["encoding"] == "WKB"
+        assert geo["columns"]["geometry"]["bbox"] == [r["xmin"], r["ymin"], r["xmax"], r["ymax"]]
+
+
+def test_tiles_named_by_their_bounds(spark, tmp_path):
+    d = tmp_path / "sets" / "flat" / "parquet_tiles"
+    d.mkdir(parents=True)
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name, x in (("tile_000000__-1_5_0_0_1_5_2_0", 0.0), ("tile_000001__10_0_10_0_12_25_12_0", 11.0), ("odd", 50.0)):
+        pq.write_table(pa.table({"geometry": [wkb.dumps(wkb.point(x, 1.0 + (x > 5) * 10))], "id": [int(x)]}), d / f"{name}.parquet")
+    ds = api.Dataset(str(tmp_path / "sets" / "flat"))
+    assert ds.num_tiles == 3 and ds.bbox == pytest.approx((-1.5, 0, 12.25, 12), abs=0.2)
+    assert [r["id"] for r in sinks.read_tiles(spark, ds.path, Box(9, 9, 20, 20)).collect()] == [11]
+    assert sinks.read_tiles(spark, ds.path).count() == 3
+    assert sinks.named_box("tile_1__a_b_c_d.parquet") is None and sinks.named_box("tile_1__-0_25_1_0_2_0_3_0.parquet")[0] == pytest.approx(-0.26)
+
+
+def test_schema_of_all_features(spark, tmp_path):
+    c = collection(1500, lambda i: {"late": i} if i >= 1200 else {"mixed": 1})
+    c["features"][3]["properties"]["mixed"] = 1.5
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.geojson").write_text(json.dumps(c))
+    (tmp_path / "d" / "b.geojson").write_text(json.dumps(collection(2, lambda i: {"other": True})))
+    df = readers.read_geojson(spark, str(tmp_path / "d"))
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema] == [("geometry", "binary"), ("id", "bigint"), ("name", "string"), ("mixed", "double"), ("late", "bigint"), ("other", "boolean")]
+    assert df.agg(F.count("late"), F.count("other")).first() == (300, 2)
+    assert readers.infer_schema(str(tmp_path / "d")) == df.schema
+
+
+def test_first_vertices_are_sampled(spark):
+    g = wkb.dumps(("GeometryCollection", [("LineString", np.array([(3.0, 4.0), (9.0, 9.0)])), wkb.point(1, 1)]))
+    r = api.located(spark.createDataFrame([(g,), (None,)], "geometry binary"), "geometry", True).collect()
+    assert [(x["_sx"], x["_sy"]) for x in r] == [(3.0, 4.0), (None, None)]
 
 
 def body(got):
@@ -190,9 +241,9 @@ def body(got):
 def test_routes(spark, root):
     base = root[0]
     app = create_app(str(base / "sets"), spark=spark)
-    assert json.loads(body(app.get("/api/datasets"))[1]) == ["some_places"]
+    assert json.loads(body(app.get("/api/datasets"))[1]) == {"datasets": ["some_places"]}
     assert body(app.get("/"))[0] == 200
-    assert json.loads(body(app.get("/datasets.json?q=SOME"))[1])[0]["name"] == "Some Places" and json.loads(body(app.get("/datasets.json?q=zz"))[1]) == []
+    assert json.loads(body(app.get("/datasets.json?q=SOME"))[1])["datasets"][0]["name"] == "Some Places" and json.loads(body(app.get("/datasets.json?q=zz"))[1]) == {"datasets": []}
     assert json.loads(body(app.get("/datasets/some_places.json"))[1])["files"] > 2
     assert app.get("/datasets/some_places.html")[0] == 302
     assert "attributes" in json.loads(body(app.get("/api/datasets/some_places/stats"))[1])
@@ -200,6 +251,11 @@ def test_routes(spark, root):
     assert status == 200 and mvt.decode(data)["layer0"]["features"]
     deep = body(app.get("/some_places/3/4/3.mvt"))  # not built before
     assert deep[0] == 200 and "layer0" in mvt.decode(deep[1])
+    assert body(app.get("/some_places/3/4/3.mvt"))[1] == deep[1] and len(app.partitions) > 0
+    assert json.loads(body(app.get("/some_places/histograms/global.json"))[1])["grid_size"] == 64 and app.get("/../in")[0] == 404
+    app._route, kept = (lambda *a: 1 / 0), app._route
+    assert app.get("/")[0] == 500
+    app._route = kept
     for url, want in (("/none/0/0/0.mvt", 404), ("/some_places/1/5/0.mvt", 400), ("/some_places/a/0/0.mvt", 400), ("/datasets/some_places/features.xml", 400), ("/datasets/some_places/features.csv?mbr=1,2", 400), ("/datasets/none/features.csv", 404), ("/api/datasets/none/stats", 404), ("/datasets/some_places/features/sample.json", 400), ("/nothing/here", 404)):
         assert app.get(url)[0] == want, url
     lines = body(app.get("/datasets/some_places/features.csv?mbr=0,0,20,20"))[1].decode().splitlines()
@@ -226,6 +282,10 @@ def test_catalog(spark, root):
         api.search_catalog(str(root[0]), "x", spark=spark)
     assert api.build_catalog(base, spark).count() == 1
     assert api.search_catalog(base, "some places", spark=spark).first()["dataset"] == "some_places"
+    assert json.loads(files.read(f"{base}/_catalog.json"))["version"] == 2 and np.load(f"{base}/_catalog.npy").shape == (1, 256)
+    for wrong in ({"backend": "other"}, {"backend": "jdbc"}):
+        with pytest.raises(ValueError):
+            api.search_catalog(base, "x", spark=spark, **wrong)
 
 
 def test_commands(root, capsys):
