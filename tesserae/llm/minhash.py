@@ -13,12 +13,13 @@
 4. Lists of up to ``small`` classes are compared pair by pair.  In a larger one
    every class is compared to ``HUBS`` hubs, the members with the fewest values of
    their own (those nearest to what the list's members are copies of).  Where the
-   verified links leave several components in such a list, its members are joined
-   exactly: each opens lists under the rarest of all its shingles, one more than
-   it may lack in a partner.  A document with too many shingles of its own opens none, so
-   a passage that fills less than the limit of its documents brings no pairs.  Short
-   lists give pairs, long ones blocks, full set against full set, where a pair counts
-   in the first list it shares; only a spanning forest of their links is written out.
+   verified links leave several components in such a list, its members are sifted by
+   sketches of ``WIDE`` values: one that shares too few of them with any others has no
+   partner, so a passage that fills less than some two thirds of its documents brings no pairs.
+   Of what is left, members outside the list's main component meet the
+   whole list in blocks, full set against full set, where a pair counts in the first
+   list it shares; only a spanning forest of the links found is written out.  (Members that share
+   more than that and still aren't linked are compared pair by pair.)
 5. The union sketch of a pair estimates J; pairs well below the limit go.  The
    others' full sets are compared exactly.
 6. Components of the verified links, by star contractions.
@@ -53,6 +54,9 @@ BLOCK = 512
 HUBS = 6
 #: Lists up to which a row for each is broadcast; more are joined.
 FEW = 1_000_000
+#: Values in the longer sketches that large lists' members are sifted by.
+WIDE = 128
+SKETCH = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
 
 def _sets(batch_col: pa.Array, width: int):
@@ -212,8 +216,7 @@ def near_duplicates(
     """doc_id, n_shingles, component_id, kept."""
     j = percent / 100
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch_schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
-    sets = materialize(docs.mapInArrow(_sketches(width, k), sketch_schema), "minhash_sets")
+    sets = materialize(docs.mapInArrow(_sketches(width, k), SKETCH), "minhash_sets")
     links = verified_links(docs, sets, width, percent, j, k, slack, small)
 
     # equal sets are linked through their class
@@ -259,37 +262,31 @@ def verified_links(docs: DataFrame, sets: DataFrame, width: int, percent: int, j
     members = materialize(meet(held, mixed, "value", n).select("id", "label").distinct(), "minhash_members")
     if not members.head(1):
         return links
-    full = likely(docs, members).mapInArrow(_full_sets(width), "id long, set array<bigint>").withColumn("k", F.xxhash64("set")).dropDuplicates(["id", "k"])
-    full = materialize(full.join(members, "id"), "minhash_full")
-    items = full.select("id", "k", F.size("set").alias("n"), F.explode("set").alias("value"))
-    common = items.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = meet(items, common, "value").groupBy("id", "k", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("x"))
-    # a partner has at least percent of the shingles; those no other member has come first and open no list
-    room = F.size("x") + 1 - F.ceil(F.col("n") * percent / 100).cast("int")
-    opened = ranked.filter(room > 0).select("id", "k", "n", F.transform(F.slice("x", F.lit(1), room), lambda v: v["value"]).alias("prefix"))
-    opened = materialize(opened.join(members, "id"), "minhash_opened")
-    lists = opened.select("id", "k", "n", "label", F.explode("prefix").alias("value"))
-    by_label = lists.groupBy("value", "label").agg(F.count("*").alias("n"))
-    sizes = by_label.groupBy("value").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.count("*") > 1).alias("mixed"), F.sum("n").alias("size"))
-    sizes = materialize(sizes.filter(F.col("size") > small), "minhash_sizes")
-    n = sizes.count()
-    pairs = few(lists, sizes.select("value"), n).filter((F.col("a.label") != F.col("b.label")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")))
-    pairs = materialize(pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).filter("a <> b").distinct(), "minhash_pairs")
-    more = materialize(verify(docs, reps, pairs, width, percent, j, k, slack), "minhash_links")
-
-    rest = meet(lists, sizes.filter("mixed").drop("mixed"), "value", n).select("value", "id", "k", "label", "main", "size")
-    rest = rest.join(opened.select("id", "k", "prefix"), ["id", "k"]).join(full.select("id", "k", "set"), ["id", "k"])
+    # a member is out if its longer sketch shares too few values with any others'
+    wide = likely(docs, members).mapInArrow(_sketches(width, WIDE), SKETCH).filter("key is not null").dropDuplicates(["id", "key"])
+    wide = materialize(wide.select("id", "sketch").withColumn("rid", F.monotonically_increasing_id()), "minhash_wide")
+    items = wide.select("rid", F.explode("sketch").alias("value"))
+    common = items.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").select("value")
+    shared = meet(items, common, "value").groupBy("rid").agg(F.count("*").alias("shared"))
+    enough = F.element_at(F.array(*[F.lit(least_shared(i, j, slack)) for i in range(1, WIDE + 1)]), F.size("sketch"))
+    open_ = materialize(wide.join(shared, "rid").filter(F.col("shared") >= enough).select("id").distinct(), "minhash_open")
+    held = materialize(meet(held, mixed, "value", n).join(open_, "id", "left_semi"), "minhash_held")
+    by_label = held.groupBy("value", "label").agg(F.count("*").alias("n"))
+    main = by_label.groupBy("value").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.count("*") > 1).alias("mixed"), F.sum("n").alias("size"))
+    rest = materialize(meet(held, main.filter("mixed").drop("mixed"), "value", n), "minhash_rest")
+    full = likely(docs, rest.select("id").distinct()).mapInArrow(_full_sets(width), "id long, set array<bigint>").dropDuplicates(["id", "set"])
+    rest = rest.join(kept.select("id", "prefix"), "id").join(full.hint("merge"), "id")
     rest = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     each = F.sequence(F.lit(0), F.col("blocks") - 1)
     # those outside a list's main component meet all the list, block by block
     left = rest.filter("label <> main").select("value", "id", "label", "prefix", "set", F.col("block").alias("i"), F.explode(each).alias("j"))
     right = rest.select(F.col("value").alias("rvalue"), F.col("id").alias("rid"), F.col("label").alias("rlabel"), F.col("prefix").alias("rprefix"), F.col("set").alias("rset"), F.explode(each).alias("ri"), F.col("block").alias("rj"))
     last = left.groupBy("value", "i", "j").cogroup(right.groupBy("rvalue", "ri", "rj")).applyInPandas(_blocks(percent), "a long, b long")
-    return links.unionAll(more).unionAll(materialize(last, "minhash_more"))
+    return links.unionAll(materialize(last, "minhash_more"))
 
 
 def few(lists: DataFrame, large: DataFrame, n: int) -> DataFrame:
-    """Pairs (a, b) of rows without ``value`` of all lists but the n large ones."""
+    """Pairs (a, b) of the rows, without ``value``, of all lists but the n large ones."""
     large = large.select("value")
     short = lists.join(F.broadcast(large) if n <= FEW else large, "value", "left_anti")
     row = F.struct(*[c for c in lists.columns if c != "value"])
