@@ -204,12 +204,24 @@ def test_similar_vectors_in_large_groups(spark, monkeypatch):
     assert [got[i] for i in range(len(x))] == ((y @ y.T >= 0.95).sum(1) - 1).tolist()
 
 
+def test_graphs_of_many_levels_find_most_neighbours():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 16))
+    levels = hnsw.build(x, degree=8)
+    assert len(levels) >= 3 and [len(r) for r, _ in levels] == sorted(len(r) for r, _ in levels) and len(levels[-1][0]) == 3000
+    assert all(links.shape[0] == len(rows) for rows, links in levels)
+    queries = rng.standard_normal((100, 16))
+    found, _ = hnsw.search(x, *hnsw.opened(levels, len(x)), queries, 100)
+    want = np.argsort(((x[None] - queries[:, None]) ** 2).sum(2), 1)[:, :10]
+    assert np.mean([len(set(f[:10]) & set(w)) for f, w in zip(found.tolist(), want.tolist(), strict=True)]) >= 9.5
+
+
 def test_neighbours_recall_ties_and_odd_rows(spark):
     x = vectors(1200)
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(i * 100, v, 0) for i, v in ODD]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
     got = {}
-    for r in hnsw.nearest_neighbours(df, shard_size=400).collect():
+    for r in hnsw.nearest_neighbours(df, shard_size=150).collect():  # eight shards
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     y, hits, total = x.astype(float), 0, 0
     assert set(got) == set(range(0, 1200, 100))
@@ -225,6 +237,9 @@ def test_neighbours_recall_ties_and_odd_rows(spark):
         assert all(s == pytest.approx(d[v]) for _, v, s in found)
     assert hits >= 0.9 * total
     assert {v for _, v, _ in got[200]} >= {201, 202}  # equal vectors
+    twice = spark.createDataFrame([(0, [1.0, 2.0]), (0, [5.0, 5.0]), (7, [1.0, 2.5])], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in hnsw.nearest_neighbours(twice).collect())
+    assert got == sorted([(0, 1, 7, 0.5), (0, 2, 0, 5.0), (0, 1, 7, round(math.hypot(4, 2.5), 6)), (0, 2, 0, 5.0)])
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0, 4.0])], "vec_id long, embedding array<float>")
     assert [(r["vec_id"], r["rank"]) for r in hnsw.nearest_neighbours(few).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert hnsw.nearest_neighbours(few.limit(0)).collect() == []
