@@ -7,10 +7,12 @@ The grammar of a conversation's output:
 Control strings are ``### ``, ``: `` (in a role only), ``</turn>`` and the
 backslash.  A turn is first written as it is, and parsed; if the parser doesn't
 return the same role and text, its control strings are escaped (``\\b`` the
-backslash, ``\\e`` the end, ``\\h`` the marks, ``\\c`` the colon) and it is
-parsed again.  Escaped content holds no control string, so that round always
-agrees.  The parser splits at "</turn>" newline, cuts the role at the first
-": ", and undoes the escapes; it needs nothing but the output.
+backslash, ``\\e`` the end, ``\\h`` the marks, ``\\c`` the colon).  Then the whole
+output is parsed and its turns compared to the source's; where they differ all turns
+are escaped and the output is parsed and compared again.  Escaped content holds no
+control string, so that round agrees, or else the query fails.  The parser splits at
+"</turn>" newline, cuts the role at the first ": ", and undoes the escapes; it needs
+nothing but the output.
 
 The loss mask is the text of the assistant's turns: spans of code points in the
 output, the turn's own end excluded.
@@ -70,18 +72,23 @@ def format_conversations(conversations: DataFrame, *, id_col: str = "conv_id", t
     # the parser must cut here and nowhere else, and read the same role and text
     same = ~F.contains(F.concat("plain", F.lit(END)), F.lit(END + NEWLINE)) & (F.instr("plain", END) == 0) & ~F.contains("text", F.lit("###")) & ~F.contains("role", F.lit("###")) & (role == F.col("role")) & (text == F.col("text"))
     rows = rows.withColumn("safe", same)
-    rows = rows.withColumn("head", F.concat(F.lit(BEGIN), F.when(F.col("safe"), F.col("role")).otherwise(escape(F.col("role"), True)), F.lit(COLON)))
-    rows = rows.withColumn("body", F.when(F.col("safe"), F.col("text")).otherwise(escape(F.col("text"))))
     order = W.partitionBy("conv").orderBy("turn", "role", "text")
-    size = F.length("head") + F.length("body") + len(END) + len(NEWLINE)
-    rows = rows.withColumn("no", F.row_number().over(order)).withColumn("after", F.sum(size).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    start = F.col("after") - len(END) - len(NEWLINE) - F.length("body")
-    rows = rows.withColumn("span", F.when(F.col("role") == ASSISTANT, F.struct(start.cast("long").alias("start"), F.length("body").cast("long").alias("length"))))
-    turns = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("no", F.concat("head", "body", F.lit(END + NEWLINE)).alias("out"), "span"))).alias("t"))
+    rows = rows.withColumn("no", F.row_number().over(order))
+    for way, safe in (("some", F.col("safe")), ("all", F.lit(False))):
+        head = F.concat(F.lit(BEGIN), F.when(safe, F.col("role")).otherwise(escape(F.col("role"), True)), F.lit(COLON))
+        rows = rows.withColumn("head", head).withColumn("body", F.when(safe, F.col("text")).otherwise(escape(F.col("text"))))
+        size = F.length("head") + F.length("body") + len(END) + len(NEWLINE)
+        start = F.sum(size).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - len(END) - len(NEWLINE) - F.length("body")
+        span = F.when(F.col("role") == ASSISTANT, F.struct(start.cast("long").alias("start"), F.length("body").cast("long").alias("length")))
+        rows = rows.withColumn(way, F.struct(F.concat("head", "body", F.lit(END + NEWLINE)).alias("out"), span.alias("span")))
+    turns = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("no", F.struct("role", "text").alias("source"), "some", "all"))).alias("t"))
+    some, all_ = F.array_join(F.col("t.some.out"), ""), F.array_join(F.col("t.all.out"), "")
+    turns = turns.withColumn("agrees", parse(some) == F.col("t.source"))
+    written = F.when(F.col("agrees"), some).when(parse(all_) == F.col("t.source"), all_).otherwise(F.raise_error(F.lit("an output that doesn't parse to its source")).cast("string"))
     return turns.select(
         F.col("conv").alias(id_col),
-        F.array_join(F.col("t.out"), "").alias("formatted"),
-        F.filter(F.col("t.span"), lambda s: s.isNotNull()).alias("loss_spans"),
+        written.alias("formatted"),
+        F.filter(F.when(F.col("agrees"), F.col("t.some.span")).otherwise(F.col("t.all.span")), lambda s: s.isNotNull()).alias("loss_spans"),
     )
 
 
