@@ -6,17 +6,22 @@ last, so that any engine gets the same coordinates.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import boxes as B
 from ..functions import mercator as M
 from ..functions import wkb
-from ..operators import density, partition, profile, search, tiles
+from ..operators import density, features, partition, profile, search, tiles
 from ..session import configure
+from ..sources import files, readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -208,7 +213,8 @@ def tile_topk_priority(spark, d):
 
 @query(f"WITH {GE} SELECT event_id, (event_id * 2654435761) % 1000003 AS priority FROM ge ORDER BY priority DESC, event_id LIMIT 500")
 def global_topk_hash(spark, d):
-    return geo_events(spark, d).select("event_id", ((F.col("event_id") * 2654435761) % 1000003).alias("priority")).orderBy(F.desc("priority"), "event_id").limit(500)
+    e = geo_events(spark, d).select("event_id", ((F.col("event_id") * 2654435761) % 1000003).alias("priority"))
+    return tiles.top_overall(e, [F.desc("priority"), F.col("event_id")], 500)
 
 
 def _spread_sql(v: str) -> str:
@@ -255,26 +261,40 @@ def kd_partition_assign(spark, d):
     return partition.assign(geo_customers(spark, d), FIXED_TREE, x="lon", y="lat").select("c_custkey", "tile_id")
 
 
-@query(f"WITH {GC} SELECT {_TREE_SQL} AS tile_id, count(*) AS cnt, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM gc GROUP BY 1")
+@query(f"WITH {GC} SELECT {_TREE_SQL} AS tile_id, count(*) AS rows, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM gc GROUP BY 1")
 def partition_mbr_counts(spark, d):
-    return manifest(partition.assign(geo_customers(spark, d), FIXED_TREE, x="lon", y="lat"))
+    return _manifest(partition.assign(geo_customers(spark, d), FIXED_TREE, x="lon", y="lat"))
 
 
-def manifest(assigned: DataFrame) -> DataFrame:
-    return assigned.groupBy("tile_id").agg(F.count("*").alias("cnt"), F.min("lon").alias("xmin"), F.min("lat").alias("ymin"), F.max("lon").alias("xmax"), F.max("lat").alias("ymax"))
+def _manifest(assigned: DataFrame) -> DataFrame:
+    return sinks.manifest(assigned.withColumns({"_bbox_xmin": F.col("lon"), "_bbox_ymin": F.col("lat"), "_bbox_xmax": F.col("lon"), "_bbox_ymax": F.col("lat")}), "tile_id")
+
+
+@query("SELECT * FROM (VALUES (0, -180.0::DOUBLE, -90.0::DOUBLE, 0.0::DOUBLE, 10.0::DOUBLE), (1, -180, 10, 0, 90), (2, 0, -90, 180, -20), (3, 0, -20, 90, 90), (4, 90, -20, 180, 90)) t(tile_id, xmin, ymin, xmax, ymax)")
+def tree_boxes(spark, d):
+    """Each leaf's part of the world."""
+    b = FIXED_TREE.boxes(B.Box(-180, -90, 180, 90))
+    return spark.createDataFrame([(i, float(x.xmin), float(x.ymin), float(x.xmax), float(x.ymax)) for i, x in enumerate(b)], "tile_id int, xmin double, ymin double, xmax double, ymax double")
+
+
+@query(f"WITH {GO} SELECT min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM go")
+def dataset_envelope(spark, d):
+    b = partition.envelope(geo_orders(spark, d), "xmin", "ymin", "xmax", "ymax")
+    return spark.createDataFrame([(b.xmin, b.ymin, b.xmax, b.ymax)], "xmin double, ymin double, xmax double, ymax double")
 
 
 @query(f"""WITH {GC}, t AS (SELECT {_TREE_SQL} AS tile_id, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM gc GROUP BY 1)
 SELECT tile_id FROM t WHERE xmax >= 20 AND xmin <= 60 AND ymax >= -30 AND ymin <= 5""")
 def file_prune_manifest(spark, d):
-    m = manifest(partition.assign(geo_customers(spark, d), FIXED_TREE, x="lon", y="lat"))
+    m = _manifest(partition.assign(geo_customers(spark, d), FIXED_TREE, x="lon", y="lat"))
     return m.filter(B.intersects(B.Box(20, -30, 60, 5), "xmin", "ymin", "xmax", "ymax")).select("tile_id")
 
 
 @query(f"""WITH {GC}, s AS (SELECT c_custkey, lon, lat FROM gc ORDER BY (c_custkey * 2654435761) % 1000003, c_custkey LIMIT 200) SELECT count(*) AS sampled, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM s""")
 def reservoir_sample_mbr(spark, d):
-    s = geo_customers(spark, d).orderBy((F.col("c_custkey") * 2654435761) % 1000003, "c_custkey").limit(200)
-    return s.agg(F.count("*").alias("sampled"), F.min("lon").alias("xmin"), F.min("lat").alias("ymin"), F.max("lon").alias("xmax"), F.max("lat").alias("ymax"))
+    s = partition.sample_points(geo_customers(spark, d), x="lon", y="lat", key="c_custkey", cap=200, order=(F.col("c_custkey") * 2654435761) % 1000003)
+    b = partition.envelope(s, "lon", "lat")
+    return s.agg(F.count("*").alias("sampled")).select("sampled", *[F.lit(v).alias(n) for n, v in (("xmin", b.xmin), ("ymin", b.ymin), ("xmax", b.xmax), ("ymax", b.ymax))])
 
 
 _NATION_BOXES = "nb AS (SELECT n_nationkey AS box_id, n_nationkey*14-180-6.0::DOUBLE AS minx, (n_nationkey*37)%140-70-15.0::DOUBLE AS miny, n_nationkey*14-180+14.0::DOUBLE AS maxx, (n_nationkey*37)%140-70+15.0::DOUBLE + n_nationkey%3 AS maxy FROM nation)"
@@ -336,11 +356,25 @@ def dataset_search(spark, d):
     return read(spark, d, "nation").filter(B.search_names(F.col("n_name"), "1")).select("n_nationkey", "n_name")
 
 
-@query("SELECT n_nationkey, upper(substr(lower('road_map ' || n_name), 1, 1)) || substr('road map ' || lower(n_name), 2, 4) || upper('m') || 'ap ' || upper(substr(n_name, 1, 1)) || lower(substr(replace(n_name, '_', ' '), 2)) AS shown, CASE WHEN n_nationkey % 3 = 0 THEN 'text/csv' WHEN n_nationkey % 3 = 1 THEN 'application/geo+json' ELSE 'application/octet-stream' END AS mime FROM nation WHERE n_name NOT LIKE '% %' AND n_name NOT LIKE '%\\_%' ESCAPE '\\'")
+@query("""SELECT n_nationkey, array_to_string(list_transform(string_split('road map ' || replace(n_name, '_', ' '), ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS shown,
+  CASE WHEN n_nationkey % 3 = 0 THEN 'text/csv' WHEN n_nationkey % 3 = 1 THEN 'application/geo+json' ELSE 'application/octet-stream' END AS mime FROM nation""")
 def display_names(spark, d):
-    n = read(spark, d, "nation").filter(~F.contains("n_name", F.lit(" ")) & ~F.contains("n_name", F.lit("_")))
     fmt = F.element_at(F.array(F.lit("csv"), F.lit("geojson"), F.lit("zip")), (F.col("n_nationkey") % 3 + 1).cast("int"))
-    return n.select("n_nationkey", B.display_name(F.concat(F.lit("road_map_"), "n_name")).alias("shown"), B.mime_type(fmt).alias("mime"))
+    return read(spark, d, "nation").select("n_nationkey", B.display_name(F.concat(F.lit("road_map_"), "n_name")).alias("shown"), B.mime_type(fmt).alias("mime"))
+
+
+@query(f"WITH {GO} SELECT o_orderkey FROM go WHERE xmax >= 100 AND xmin <= 140 AND ymax >= -40 AND ymin <= -10")
+def features_in_box(spark, d):
+    """By the geometries' own bounds, without box columns."""
+    o = geo_orders(spark, d).select("o_orderkey", wkb.box_wkb("xmin", "ymin", "xmax", "ymax").alias("geometry"))
+    return features.in_box(o, B.Box(100, -40, 140, -10)).select("o_orderkey")
+
+
+@query("SELECT unnest(['o_orderkey', 'o_orderstatus', 'o_totalprice']) AS name")
+def display_columns(spark, d):
+    """What of a stored dataset's columns is shown."""
+    stored = sinks.with_boxes(geo_orders(spark, d).select("o_orderkey", "o_orderstatus", "o_totalprice", wkb.box_wkb("xmin", "ymin", "xmax", "ymax").alias("geometry")))
+    return spark.createDataFrame([(n,) for n in features.properties(stored)], "name string")
 
 
 # --- statistics -------------------------------------------------------------------------
@@ -440,9 +474,21 @@ def feature_geojson(spark, d):
     return x.select("c_custkey", F.col("f.type").alias("kind"), F.col("f.geometry.type").alias("shape"), F.round(F.col("f.geometry.coordinates")[0], 6).alias("lon"), F.round(F.col("f.geometry.coordinates")[1], 6).alias("lat"), F.col("f.properties")["c_name"].alias("name"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{\"a\":null,\"k\":' || json_extract_string(props, '$.k') || '}' AS nested FROM events")
 def json_normalise(spark, d):
-    return read(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    """Properties of features: numbers as they are, objects as compact text with sorted keys."""
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("k", T.LongType()), T.StructField("nested", T.StringType())])
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = [readers.row_of(raw.encode(), schema) for raw in b.column(0).to_pylist()]
+            yield pa.record_batch([pa.array([r[i] for r in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))], names=schema.names)
+
+    k = F.get_json_object("props", "$.k")
+    feature = F.concat(F.lit('{"type":"Feature","geometry":null,"properties":{"event_id":'), "event_id", F.lit(',"nested":{"k": '), k, F.lit(', "a": null},"k":'), k, F.lit("}}"))
+    return read(spark, d, "events").select(feature.alias("raw")).mapInArrow(rows, schema)
 
 
 @query("""WITH c AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) SELECT user_id, event_id, value FROM c WHERE n = 1""")
@@ -457,13 +503,12 @@ def l2_normalise(spark, d):
 
 
 @query("""WITH q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1), s AS (
-  SELECT vec_id, CAST(round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) * 1e6, 0) AS BIGINT) AS score FROM embeddings, q)
-SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 20""")
+  SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS score FROM embeddings, q)
+SELECT vec_id, CAST(round(score * 1e6, 0) AS BIGINT) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 20""")
 def cosine_topk(spark, d):
     e = read(spark, d, "embeddings")
     q = e.orderBy("vec_id").first()["embedding"]
-    score = F.round(search.cosine(F.col("embedding"), F.lit([float(x) for x in q])) * 1e6, 0).cast("long")
-    return e.select("vec_id", score.alias("score")).orderBy(F.desc("score"), "vec_id").limit(20)
+    return search.nearest(e, q, 20, key="vec_id").select("vec_id", F.round(F.col("score") * 1e6, 0).cast("long").alias("score"))
 
 
 @query("""WITH s AS (SELECT 'o_orderstatus' AS name, 'text' AS kind, count(DISTINCT o_orderstatus) AS n FROM orders UNION ALL SELECT 'o_orderdate_text', 'text', count(DISTINCT strftime(o_orderdate, '%Y-%m-%d')) FROM orders
@@ -495,44 +540,108 @@ def tile_space(spark, d):
     return c.select("c_custkey", "row", "col", F.round(M.to_tile_space(F.col("mx"), a, e), 3).alias("px"), F.round(M.to_tile_space(F.col("my"), b, f), 3).alias("py"))
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey LIMIT 300")
+@query("SELECT o_custkey % 4 AS tile, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY o_custkey, o_totalprice DESC, o_orderkey) AS place FROM orders")
 def column_sort(spark, d):
-    return read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy("o_custkey", F.desc("o_totalprice"), "o_orderkey").limit(300)
+    """All rows, with their places in their partition as it is written."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice").withColumn("_tile_id", F.col("o_custkey") % 4)
+    o = sinks.clustered(o, B.Box(0, 0, 1, 1), "columns", keys=["o_custkey", ("o_totalprice", False), "o_orderkey"]).withColumn("at", F.monotonically_increasing_id())
+    return o.select(F.col("_tile_id").alias("tile"), "o_orderkey", F.row_number().over(Window.partitionBy("_tile_id").orderBy("at")).cast("long").alias("place"))
 
 
-@query("SELECT event_id FROM events WHERE (event_id * 2654435761) % 1000003 < 100000")
+@query(f"WITH {GE} SELECT event_id FROM ge WHERE ((event_id * 2654435761) % 1000003) % 1000000 < 100000")
 def bernoulli_sample(spark, d):
     """A share of the rows by their hash, so that reruns agree."""
-    return read(spark, d, "events").filter((F.col("event_id") * 2654435761) % 1000003 < 100000).select("event_id")
+    return partition.sample_points(geo_events(spark, d), x="lon", y="lat", key="event_id", cap=None, ratio=0.1, order=(F.col("event_id") * 2654435761) % 1000003).select("event_id")
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT l_suppkey % 16) AS partitions FROM lineitem")
+@query(f"WITH {GC} SELECT CAST(count(*) AS BIGINT) AS rows, count(DISTINCT {_TREE_SQL}) AS partitions FROM gc")
 def row_counts(spark, d):
-    return read(spark, d, "lineitem").agg(F.count("*").alias("rows"), F.count_distinct(F.col("l_suppkey") % 16).alias("partitions"))
+    """A dataset's totals from its manifest."""
+    m = _manifest(partition.assign(geo_customers(spark, d), FIXED_TREE, x="lon", y="lat"))
+    return m.agg(F.sum("rows").alias("rows"), F.count("*").alias("partitions"))
 
 
-@query(f"WITH {GC}, w AS (SELECT c_custkey, lon, 1 + c_custkey % 5 AS weight FROM gc) SELECT c_custkey, CAST(sum(weight) OVER (PARTITION BY floor(lon / 30) ORDER BY lon, c_custkey) AS BIGINT) AS below FROM w")
+@query(f"WITH {GC}, w AS (SELECT c_custkey, c_nationkey, lon, 1 + c_custkey % 5 AS weight FROM gc) SELECT c_custkey, CAST(sum(weight) OVER (PARTITION BY c_nationkey ORDER BY lon, c_custkey) AS BIGINT) AS below FROM w")
 def cumulative_weight(spark, d):
-    """Running weight along an axis, within strips, as split choice needs it."""
-    c = geo_customers(spark, d).select("c_custkey", "lon", (1 + F.col("c_custkey") % 5).alias("weight"))
-    w = Window.partitionBy(F.floor(F.col("lon") / 30)).orderBy("lon", "c_custkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return c.select("c_custkey", F.sum("weight").over(w).alias("below"))
+    """Running weight along an axis, within nations, as split choice needs it."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["lon", "c_custkey"])
+        return pd.DataFrame({"c_custkey": p["c_custkey"], "below": partition.running_weight(p["weight"].to_numpy())})
+
+    c = geo_customers(spark, d).select("c_custkey", "c_nationkey", "lon", (1 + F.col("c_custkey") % 5).alias("weight"))
+    return c.groupBy("c_nationkey").applyInPandas(run, "c_custkey long, below long")
 
 
 @query(f"""WITH {GC} SELECT c_custkey, min(lat) OVER lo AS low_min, max(lat) OVER lo AS low_max, min(lat) OVER hi AS high_min, max(lat) OVER hi AS high_max FROM gc
-WINDOW lo AS (PARTITION BY c_nationkey ORDER BY lon, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), hi AS (PARTITION BY c_nationkey ORDER BY lon, c_custkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)""")
+WINDOW lo AS (PARTITION BY c_nationkey ORDER BY lon, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), hi AS (PARTITION BY c_nationkey ORDER BY lon, c_custkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
 def prefix_suffix_bounds(spark, d):
-    """Bounds of both sides of every split along x, within nations."""
-    w = Window.partitionBy("c_nationkey").orderBy("lon", "c_custkey")
-    lo, hi = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
-    return geo_customers(spark, d).select("c_custkey", F.min("lat").over(lo).alias("low_min"), F.max("lat").over(lo).alias("low_max"), F.min("lat").over(hi).alias("high_min"), F.max("lat").over(hi).alias("high_max"))
+    """Bounds up to and from every place along x, within nations."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["lon", "c_custkey"])
+        return pd.DataFrame({"c_custkey": p["c_custkey"], **dict(zip(("low_min", "low_max", "high_min", "high_max"), partition.split_bounds(p["lat"].to_numpy()), strict=True))})
 
+    return geo_customers(spark, d).select("c_custkey", "c_nationkey", "lon", "lat").groupBy("c_nationkey").applyInPandas(run, "c_custkey long, low_min double, low_max double, high_min double, high_max double")
 
-@query("SELECT user_id, unnest([1, 2]) AS part, event_type FROM events WHERE event_type IS NOT NULL AND event_id % 50 = 0")
+
+@query(f"""WITH {GE}, p AS (SELECT event_id, event_type, event_id % 2 AS part, (event_id * 2654435761) % 1000003 AS h FROM ge), k AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY h, event_id) AS n FROM p)
+SELECT event_id, event_type, CAST(part AS BIGINT) AS part FROM k WHERE n <= 300""")
 def sample_union(spark, d):
     """Samples of two splits put together."""
-    e = read(spark, d, "events").filter("event_type is not null and event_id % 50 = 0")
-    return e.select("user_id", F.lit(1).alias("part"), "event_type").union(e.select("user_id", F.lit(2), "event_type"))
+    e = geo_events(spark, d).withColumn("part", F.col("event_id") % 2)
+    h = (F.col("event_id") * 2654435761) % 1000003
+    a, b = (partition.sample_points(e.filter(F.col("part") == i), x="lon", y="lat", key="event_id", cap=300, order=h).select("event_id", "event_type", "part") for i in (0, 1))
+    return a.unionByName(b)
+
+
+# --- round trips through files ----------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder below the warehouse, which driver and executors share."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tesserae/{name}-{uuid.uuid4().hex}"
+    atexit.register(files.remove, path)
+    return path
+
+
+@query(f"WITH {GC} SELECT c_custkey, c_name AS name, c_nationkey::BIGINT AS nation, round(lon, 6)::DOUBLE AS lon, round(lat, 6)::DOUBLE AS lat FROM gc")
+def geojson_round_trip(spark, d):
+    """Features written as GeoJSON and read back by byte ranges."""
+    c = geo_customers(spark, d).select("c_custkey", F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), wkb.point_wkb(F.col("lon"), F.col("lat")).alias("geometry"))
+    path = _folder(spark, "features")
+    for i, r in enumerate(features.geojson_lines(c).repartition(3).select(F.spark_partition_id().alias("p"), "value").groupBy("p").agg(F.array_join(F.collect_list("value"), ",\n").alias("text")).toLocalIterator()):
+        files.write(f"{path}/part-{i}.geojson", ('{"type":"FeatureCollection","features":[' + r["text"] + "]}").encode())
+    g = readers.read_geojson(spark, path, split_bytes=20_000)
+    at = wkb.st_centroid("geometry")
+    return g.withColumn("at", at).select("c_custkey", "name", "nation", F.round("at.x", 6).alias("lon"), F.round("at.y", 6).alias("lat"))
+
+
+@query(f"WITH {GO} SELECT o_orderkey, o_orderstatus FROM go WHERE xmax >= -60 AND xmin <= -20 AND ymax >= 0 AND ymin <= 30")
+def stored_tiles_in_box(spark, d):
+    """Boxes written as a partitioned dataset; a window of it by manifest and row groups."""
+    o = geo_orders(spark, d).select("o_orderkey", "o_orderstatus", wkb.box_wkb("xmin", "ymin", "xmax", "ymax").alias("geometry"), "xmin", "ymin", "xmax", "ymax")
+    o = o.withColumns({**{f"_bbox_{n}": F.col(n) for n in ("xmin", "ymin", "xmax", "ymax")}, "_cx": (F.col("xmin") + F.col("xmax")) / 2, "_cy": (F.col("ymin") + F.col("ymax")) / 2}).drop("xmin", "ymin", "xmax", "ymax")
+    placed, path = partition.assign(o, FIXED_TREE, x="_cx", y="_cy", into="_tile_id"), _folder(spark, "tiles")
+    sinks.write_tiles(sinks.clustered(placed, B.Box(-180, -90, 180, 90)), path)
+    sinks.write_manifest(placed, path)
+    return sinks.read_tiles(spark, path, B.Box(-60, 0, -20, 30)).select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT n_name FROM nation")
+def parquet_geometry_only(spark, d):
+    """One column of a Parquet source."""
+    return readers.read_parquet(spark, f"{d}/nation.parquet", geometry="n_name", geometry_only=True)
+
+
+@query(f"WITH {GE}, {_hist('ge', 5)}, {_PREFIX} SELECT row, col, prefix::DOUBLE AS prefix FROM pre")
+def stored_histogram(spark, d):
+    """The dense arrays of a histogram, written and read back, where both axes have cells."""
+    cells, path = density.histogram(geo_events(spark, d), 5), _folder(spark, "histogram")
+    sinks.write_histogram(cells, path, 5)
+    prefix = sinks.read_histogram(f"{path}/histograms/global.npy")
+    rows, cols = sorted({r[0] for r in cells.select("row").distinct().collect()}), sorted({r[0] for r in cells.select("col").distinct().collect()})  # 32 each
+    return spark.createDataFrame([(r, c, float(prefix[r, c])) for r in rows for c in cols], "row int, col int, prefix double")
 
 
 # --- without SQL: checked by tests ------------------------------------------------------
@@ -543,7 +652,7 @@ def rstar_partitions(spark, d):
     """Customers by a tree built from a sample of them: (tile_id, rows, bounds)."""
     c = geo_customers(spark, d)
     s = partition.sample_points(c, x="lon", y="lat", key="c_custkey", cap=1000).select("lon", "lat").toPandas().to_numpy()
-    return manifest(partition.assign(c, partition.build_tree(s, 16), x="lon", y="lat"))
+    return _manifest(partition.assign(c, partition.build_tree(s, 16), x="lon", y="lat"))
 
 
 @query()

@@ -315,5 +315,5 @@ def test_entry_and_queries(spark):
 
     assert e.entry(spark).count() > 0
     assert set(queries.ORACLES) <= set(e.queries()) and len(queries.ORACLES) > 40
-    assert sum(r["cnt"] for r in e.queries()["rstar_partitions"](spark, "/root/testdata/sf0.001").collect()) == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    assert sum(r["rows"] for r in e.queries()["rstar_partitions"](spark, "/root/testdata/sf0.001").collect()) == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
     assert e.queries()["vector_tiles"](spark, "/root/testdata/sf0.001").count() > 10
