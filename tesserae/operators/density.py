@@ -73,9 +73,8 @@ def prefix_sum(cells: DataFrame) -> DataFrame:
     rows, cols = cells.select("row").distinct(), cells.select("col").distinct()
     across = W.partitionBy("row").orderBy("col").rowsBetween(W.unboundedPreceding, W.currentRow)
     down = W.partitionBy("col").orderBy("row").rowsBetween(W.unboundedPreceding, W.currentRow)
-    # the used columns are one array of no more numbers than the grid is wide
-    all_cols = cols.agg(F.sort_array(F.collect_set("col")).alias("cols")).first()[0]
-    full = rows.select("row", F.explode(F.from_json(F.lit(str(all_cols)), "array<int>")).alias("col"))
+    # the used columns are one array (a scalar subquery) of no more numbers than the grid is wide
+    full = rows.select("row", F.explode(cols.agg(F.collect_set("col")).scalar()).alias("col"))
     x = full.join(cells, ["row", "col"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
     return x.withColumn("r", F.sum("cnt").over(across)).withColumn("prefix", F.sum("r").over(down)).select("row", "col", "cnt", "prefix")
 

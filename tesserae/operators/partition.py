@@ -58,11 +58,9 @@ class KDTree:
 
             @F.pandas_udf("int")
             def descend(a: pd.Series, b: pd.Series) -> pd.Series:
-                none = a.isna() | b.isna()
-                got = tree.value.find_all(a.to_numpy(float), b.to_numpy(float)).astype(np.int32)
-                return pd.Series(np.where(none, 0, got))
+                return pd.Series(tree.value.find_all(a.to_numpy(float), b.to_numpy(float)).astype(np.int32))
 
-            return descend(x, y)
+            return F.when(x.isNull() | y.isNull(), F.lit(0)).otherwise(descend(x, y))
         x, y = (F.nanvl(c.cast("double"), F.lit(float("-inf"))) for c in (x, y))
 
         def node(at: int) -> Column:

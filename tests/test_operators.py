@@ -36,6 +36,17 @@ def test_trees_balance_and_agree_with_columns(spark, parts):
     assert [got[i] for i in range(1000)] == found and got[-1] == 0
 
 
+def test_large_trees_are_descended_in_batches(spark, monkeypatch):
+    p = np.random.default_rng(3).uniform(0, 100, (600, 2))
+    t = partition.build_tree(p, 60)
+    odd = np.r_[p, [[np.nan, 5.0], [5.0, np.nan]]]
+    assert t.find_all(p[:, 0], p[:, 1]).tolist() == [t.find(x, y) for x, y in p.tolist()]
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(odd)] + [(-1, None, 1.0)], "id int, x double, y double")
+    small = {r["id"]: r["tile_id"] for r in partition.assign(df, t).collect()}
+    monkeypatch.setattr(partition, "MOST_CASES", 2)
+    assert {r["id"]: r["tile_id"] for r in partition.assign(df, t).collect()} == small
+
+
 def test_trees_of_weights_and_nothing():
     p = np.array([[float(i), 0.0] for i in range(8)])
     t = partition.build_tree(p, 2, weights=np.array([7.0, 1, 1, 1, 1, 1, 1, 1]))
@@ -61,6 +72,28 @@ def test_many_boxes_are_met_by_a_grid(spark):
     assert few == sorted(map(tuple, partition.assign_smallest_box(rows, boxes, limit=3).collect())) and len(few) == 20
 
 
+def test_grids_fit_any_unit(spark):
+    rng = np.random.default_rng(2)
+    half = 2.0e7
+    rows = [(i, *c, *(c + s)) for i, (c, s) in enumerate(zip(rng.uniform(-half, half, (60, 2)), 10 ** rng.uniform(0, 6, (60, 2)), strict=True))] + [(60, -half, -half, half, half), (61, 5.0, 5.0, 5.0, 5.0)]
+    boxes = [(i, *c, *(c + s), i) for i, (c, s) in enumerate(zip(rng.uniform(-half, half, (40, 2)), 10 ** rng.uniform(5, 7.3, (40, 2)), strict=True))] + [(40, -half, -half, half, half, 40)]
+    r = spark.createDataFrame([tuple(map(float, x[1:])) + (x[0],) for x in rows], "xmin double, ymin double, xmax double, ymax double, id int")
+    b = spark.createDataFrame([(x[0], *map(float, x[1:5]), x[5]) for x in boxes], "id int, minx double, miny double, maxx double, maxy double, pos int")
+    want = sorted(map(tuple, partition.assign_smallest_box(r, b).collect()))
+    assert sorted(map(tuple, partition.assign_smallest_box(r, b, limit=3).collect())) == want and len(want) == 62
+
+
+def test_z_order_of_many_bits(spark):
+    from tesserae.functions import mercator as M
+
+    def spread(v):
+        return sum((v >> i & 1) << 2 * i for i in range(31))
+
+    pairs = [(65536, 1), (1 << 19, (1 << 20) - 1), ((1 << 31) - 1, 5), (0, 0)]
+    got = spark.createDataFrame(pairs, "x long, y long").select(M.morton(F.col("x"), F.col("y")).alias("c")).collect()
+    assert [r["c"] for r in got] == [spread(x) | spread(y) << 1 for x, y in pairs]
+
+
 def cells_of(spark, array):
     r, c = np.nonzero(array)
     return spark.createDataFrame([(int(a), int(b), int(array[a, b])) for a, b in zip(r, c, strict=True)], "row int, col int, cnt long")
