@@ -311,7 +311,8 @@ def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int, j: float, k: int, slack: float) -> DataFrame:
     """The pairs whose full sets have the similarity.  A class in very many pairs
     is dealt to several tasks: its rows are asked for once per 256 partners."""
-    degree = pairs.groupBy("a").agg(F.count("*").alias("d")).filter("d > 256")
+    degree = materialize(pairs.groupBy("a").agg(F.count("*").alias("d")).filter("d > 256"), "minhash_degree")
+    degree = F.broadcast(degree) if degree.count() <= FEW else degree
     salted = pairs.join(degree, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("d", F.lit(1)) / 256)).alias("salt"))
     salted = materialize(salted, "minhash_salted")
 
