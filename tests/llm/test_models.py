@@ -184,6 +184,47 @@ def test_forest_arrays_follow_the_boosted_margins():
     assert ((f.score(x) > 0.5) == y).mean() > 0.97
 
 
+def test_the_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(7)
+    x = np.round(rng.random((120, 4)), 2)
+    y = ((x[:, 2] > 0.4) ^ (rng.random(120) < 0.1)).astype(float)
+    f = quality.fit(x, y, trees=1, depth=1, rate=0.1, ridge=1.0, least=5.0)
+    share = y.mean()
+    g, h = share - y, np.full(120, share * (1 - share))
+
+    def leaf(rows):
+        return g[rows].sum() ** 2 / (h[rows].sum() + 1)
+
+    best = max(
+        (leaf(x[:, k] <= c) + leaf(x[:, k] > c), k, c)
+        for k in range(4)
+        for c in np.unique(np.quantile(x[:, k], np.linspace(0, 1, 65)[1:-1]))
+        if 5 <= (x[:, k] <= c).sum() <= 115
+    )
+    root = f.roots[0]
+    low = x[:, f.feature[root]] <= f.cut[root]
+    assert leaf(low) + leaf(~low) == pytest.approx(best[0])
+    for child, rows in ((f.left[root], low), (f.right[root], ~low)):
+        assert f.value[child] == pytest.approx(-0.1 * g[rows].sum() / (h[rows].sum() + 1))
+
+
+def test_statistics_of_a_text():
+    text = "- One two.\nOne two!\n\nOne two!\nA1 | B Überraschung averyveryverylongword"
+    s = dict(zip(quality.STATISTICS, quality.statistics(text), strict=True))
+    raw, words, lines = text.encode(), text.encode().split(), [x for x in text.encode().split(b"\n") if x.strip()]
+    n, m = len(raw), len(words)
+    count = lambda test: sum(map(test, raw))
+    want = {
+        "log_chars": math.log1p(n), "log_words": math.log1p(m), "mean_word": sum(map(len, words)) / m, "log_lines": math.log1p(4), "mean_line": m / 4,
+        "upper": count(lambda b: 65 <= b <= 90) / n, "digits": count(lambda b: 48 <= b <= 57) / n, "punctuation": count(lambda b: chr(b) in ".,;:!?'\"-()") / n, "symbols": count(lambda b: chr(b) in "#$%&*+/<=>@[\\]^_`{|}~") / n,
+        "other_ascii": count(lambda b: 97 <= b <= 122) / n, "controls": 0, "non_ascii": count(lambda b: b > 127) / n, "spaces": count(lambda b: b in b" \t\n\r") / n,
+        "distinct_words": len(set(words)) / m, "top_word": max(map(words.count, words)) / m, "distinct_lines": 3 / 4, "repeated_chars": len("One two!") / n, "long_words": 1 / m,
+        "lines_stopped": 3 / 4, "bullets": 1 / 4, "pipes": 1 / m, "upper_words": sum(w.isupper() for w in words) / m, "odd_words": sum(not w.rstrip(b".,;:!?").isalpha() and w.isascii() for w in set(words)) / len(set(words)),
+        "short_words": sum(len(w) < 4 for w in words) / m, "bang": 2 / m, "digit_words": 1 / m,
+    }
+    assert {k: v for k, v in s.items() if v != pytest.approx(want[k])} == {}
+
+
 def water(sizes, weights, limit=3):
     total, target, open_ = sum(sizes.values()), dict.fromkeys(sizes, 0.0), set(sizes)
     left = float(total)

@@ -204,6 +204,20 @@ def test_viterbi_finds_the_best_path():
         assert b"".join(v.pieces[i] for i in got) == raw
 
 
+@pytest.mark.parametrize("scores", ["zipf", "file"])
+def test_encoded_documents_take_the_best_segmentations(spark, scores):
+    v = small_vocabulary()
+    lp = v.log_scores() if scores == "zipf" else v.scores
+    texts = ["ab abba", "a", "ba ab a b", "abab  ba"]
+    got = codec.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary=v, scores=scores).collect()
+    for r in got:
+        raw = codec.marked(texts[r["doc_id"]])
+        raw = raw if isinstance(raw, bytes) else raw.encode()
+        assert b"".join(v.pieces[i] for i in r["ids"]) == raw
+        assert lp[r["ids"]].sum() == pytest.approx(max(lp[p].sum() for p in all_paths(v, raw, False)))
+        assert r["n_pieces"] == len(r["ids"]) and r["n_byte_pieces"] == 0 and r["decoded"] == texts[r["doc_id"]]
+
+
 def test_paths_agree_with_the_public_library(vocabulary):
     spm = pytest.importorskip("sentencepiece")
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
