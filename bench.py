@@ -13,7 +13,6 @@ import tempfile
 import time
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from tesserae.functions import wkb
 from tesserae.operators import density, tiles
@@ -54,8 +53,7 @@ def main() -> None:
     rows = spark.read.parquet(f"{work}/in").count()
     seconds["tile_build"] = timed(lambda: api.tile(f"{work}/in", f"{work}/out", partition_size=1 << 18, histogram_zoom=9, spark=spark))
     read = spark.read.parquet(f"{work}/out/parquet_tiles")
-    vertices = read.select(F.explode(wkb.st_vertices("geometry")).alias("v")).select(F.col("v.x").alias("lon"), F.col("v.y").alias("lat"))
-    seconds["vertex_density_z12"] = timed(lambda: noop(density.histogram(vertices, 12)))
+    seconds["vertex_density_z12"] = timed(lambda: noop(density.histogram(density.vertices(read), 12)))
     built = tiles.build_tiles(read, 5)  # all features
     seconds["vector_tiles_z0_z5"] = timed(lambda: built.write.parquet(f"{work}/mvt"))
     made = spark.read.parquet(f"{work}/mvt").count()

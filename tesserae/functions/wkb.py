@@ -272,6 +272,12 @@ class Batch:
                 return "Polygon", 13
         return None
 
+    def first_vertices(self) -> np.ndarray:
+        out = np.full((len(self.counts), 2), np.nan)
+        some = self.counts > 0
+        out[some] = self.xy[self.off[:-1][some]]
+        return out
+
     def bounds(self) -> np.ndarray:
         out = np.full((len(self.counts), 4), np.nan)
         some = np.flatnonzero(self.counts)
@@ -325,11 +331,7 @@ def st_centroid(raw: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(XY)
 def st_first_vertex(raw: pd.Series) -> pd.DataFrame:
-    b = Batch(raw)
-    out = np.full((len(b.counts), 2), np.nan)
-    some = b.counts > 0
-    out[some] = b.xy[b.off[:-1][some]]
-    return pd.DataFrame(out, columns=["x", "y"]).astype(object).where(lambda d: d.notna(), None)
+    return pd.DataFrame(Batch(raw).first_vertices(), columns=["x", "y"]).astype(object).where(lambda d: d.notna(), None)
 
 
 @F.pandas_udf(T.ArrayType(XY))

@@ -6,11 +6,28 @@ is the tile (y, x).  Cells count vertices.  Nothing dense is made but at the sin
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import mercator as M
+from ..functions import wkb
+
+
+def vertices(features: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """(lon, lat) of every vertex: whole Arrow columns from each batch of geometries, without a row or list in between."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            xy = wkb.Batch(batch.column(0).to_pandas()).xy
+            for i in range(0, len(xy), 1 << 20):
+                part = np.ascontiguousarray(xy[i : i + (1 << 20)].T)
+                yield pa.record_batch({"lon": pa.array(part[0]), "lat": pa.array(part[1])})
+
+    return features.select(geometry).mapInArrow(run, "lon double, lat double")
 
 
 def histogram(points: DataFrame, zoom: int, lon: str = "lon", lat: str = "lat") -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import mercator as M
 from ..functions import wkb
@@ -85,10 +86,18 @@ class Dataset:
 def located(features: DataFrame, geometry: str, first_vertex: bool = False) -> DataFrame:
     """With centroid, covering box and the point that samples take (_sx, _sy: the centroid or
     the first vertex); rows without geometry have nulls and stay."""
-    x = features.withColumns({"__c": wkb.st_centroid(geometry), "__b": wkb.st_bounds(geometry)})
-    x = x.withColumn("__s", wkb.st_first_vertex(geometry) if first_vertex else F.col("__c"))
-    at = {"_cx": F.col("__c.x"), "_cy": F.col("__c.y"), "_sx": F.col("__s.x"), "_sy": F.col("__s.y")}
-    return x.withColumns({**at, **{f"_bbox_{n}": F.col(f"__b.{n}") for n in ("xmin", "ymin", "xmax", "ymax")}}).drop("__c", "__b", "__s")
+    names = ["_cx", "_cy", "_sx", "_sy", *(f"_bbox_{n}" for n in ("xmin", "ymin", "xmax", "ymax"))]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:  # every geometry is parsed once
+            b = wkb.Batch(batch.column(geometry).to_pandas())
+            centre = b.centroids()
+            found = [*centre.T, *(b.first_vertices() if first_vertex else centre).T, *b.bounds().T]
+            yield pa.record_batch([*batch.columns, *(pa.array(v, mask=np.isnan(v)) for v in found)], names=[*batch.schema.names, *names])
+
+    return features.mapInArrow(run, T.StructType([*features.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
 
 
 SORTS = {"zorder": "zorder", "z": "zorder", "z-order": "zorder", "hilbert": "hilbert", "columns": "columns", "none": "none"}
@@ -153,8 +162,7 @@ def tile(
     sinks.write_manifest(placed, outdir)
     attributes = rows.drop("_cx", "_cy", "_sx", "_sy", *[c for c in rows.columns if c.startswith("_bbox")])
     profile.write_profile(profile.profile(attributes, geom_col), f"{outdir}/stats/attributes.json")
-    vertices = rows.select(F.explode(wkb.st_vertices(geom_col)).alias("v")).select(F.col("v.x").alias("lon"), F.col("v.y").alias("lat"))
-    sinks.write_histogram(density.histogram(vertices, histogram_zoom), outdir, histogram_zoom)
+    sinks.write_histogram(density.histogram(density.vertices(rows, geom_col), histogram_zoom), outdir, histogram_zoom)
     total = spark.read.parquet(f"{outdir}/manifest").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     files.remove(staging)
     return TileResult(outdir, Dataset(outdir).num_tiles, total, None if got[0] is None else tuple(got), f"{outdir}/histograms/global_prefix.npy")

@@ -158,8 +158,8 @@ def deep_zoom_estimate(spark, d):
 
 @query(f"WITH {GO}, v AS (SELECT unnest([xmin, xmax, xmax, xmin, xmin]) AS lon, unnest([ymin, ymin, ymax, ymax, ymin]) AS lat FROM go), {_hist('v', 6)} SELECT * FROM cells")
 def vertex_histogram(spark, d):
-    v = geo_orders(spark, d).select(F.explode(wkb.st_vertices(wkb.box_wkb("xmin", "ymin", "xmax", "ymax"))).alias("v"))
-    return density.histogram(v.select(F.col("v.x").alias("lon"), F.col("v.y").alias("lat")), 6)
+    o = geo_orders(spark, d).select(wkb.box_wkb("xmin", "ymin", "xmax", "ymax").alias("geometry"))
+    return density.histogram(density.vertices(o), 6)
 
 
 # --- tiles ------------------------------------------------------------------------------
