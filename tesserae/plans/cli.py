@@ -3,50 +3,67 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
-from pathlib import Path
 
 from ..functions.boxes import human_size, parse_size
 
+#: Options of the public functions by command: flag -> what argparse is told.  Names are those of the functions' parameters.
+_TILING = {
+    "--partition-size": {"type": parse_size, "metavar": "SIZE"},
+    "--covering-bbox": {"action": argparse.BooleanOptionalAction, "default": False},
+    "--geojson-executor": {"default": "process", "choices": ["process", "thread"]},
+    "--orchestrator": {"default": "two-stage", "choices": ["round", "two-stage"]},
+}
+_TILE = {
+    "--sort": {"default": "zorder", "choices": ["zorder", "hilbert", "columns", "none"]},
+    "--compression": {"default": "zstd"},
+    "--sample-cap": {"type": int, "default": 10_000},
+    "--sample-ratio": {"type": float, "default": 1.0},
+    "--seed": {"type": int, "default": 42},
+    "--geom-col": {"default": "geometry"},
+    "--sfc-bits": {"type": int, "default": 16},
+    "--max-parallel-files": {"type": int, "default": 64},
+    "--two-stage-executor": {"default": "process", "choices": ["process", "thread"]},
+    "--two-stage-assignment-workers": {"type": int},
+    "--two-stage-write-workers": {"type": int},
+    "--two-stage-reducers": {"type": int},
+    "--temp-dir": {},
+}
+_COMMANDS = {
+    "tile": {"--input": {"required": True}, "--outdir": {"required": True}, **_TILING, **_TILE},
+    "build": {
+        "--input": {"required": True},
+        "--outdir": {"required": True},
+        **_TILING,
+        "--zoom": {"type": int, "default": 7},
+        "--threshold": {"type": float, "default": 100_000},
+        "--pmtiles": {"action": "store_true"},
+        "--pmtiles-compression": {"default": "gzip", "choices": ["gzip", "brotli", "zstd", "none"]},
+    },
+    "mvt": {"--dir": {"required": True}, "--zoom": {"type": int, "default": 7}, "--threshold": {"type": float, "default": 0}, "--outdir": {}, "--no-auto-zoom": {"action": "store_true"}},
+    "serve": {"--dir": {"required": True}, "--host": {"default": "0.0.0.0"}, "--port": {"type": int, "default": 8765}, "--cache-size": {"type": int, "default": 256}},
+    "info": {"--dir": {"required": True}},
+}
+
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tesserae")
     sub = top.add_subparsers(dest="command", required=True)
-    for name in ("tile", "build"):
+    for name, options in _COMMANDS.items():
         p = sub.add_parser(name)
-        p.add_argument("--input", required=True)
-        p.add_argument("--outdir", required=True)
-        p.add_argument("--partition-size", type=parse_size)
-        p.add_argument("--sort", default="zorder")
-        p.add_argument("--compression", default="zstd")
-        p.add_argument("--sample-cap", type=int, default=10_000)
-        p.add_argument("--sample-ratio", type=float, default=1.0)
-        p.add_argument("--seed", type=int, default=42)
-        p.add_argument("--geom-col", default="geometry")
-        p.add_argument("--sfc-bits", type=int, default=16)
-        if name == "build":
-            p.add_argument("--zoom", type=int, default=7)
-            p.add_argument("--threshold", type=float, default=100_000)
-            p.add_argument("--pmtiles", action="store_true")
-            p.add_argument("--pmtiles-compression", default="gzip")
-    p = sub.add_parser("mvt")
-    p.add_argument("--dir", required=True)
-    p.add_argument("--zoom", type=int, default=7)
-    p.add_argument("--threshold", type=float, default=0)
-    p.add_argument("--outdir")
-    p.add_argument("--no-auto-zoom", action="store_true")
-    p = sub.add_parser("serve")
-    p.add_argument("--dir", required=True)
-    p.add_argument("--host", default="127.0.0.1")
-    p.add_argument("--port", type=int, default=8765)
-    p = sub.add_parser("info")
-    p.add_argument("--dir", required=True)
+        for flag, about in options.items():
+            p.add_argument(flag, **about)
+        if name != "info":
+            p.add_argument("--log-level", default="INFO")
     return top
 
 
 def main(argv: list[str] | None = None) -> int:
     args = vars(parser().parse_args(argv))
     command = args.pop("command")
+    logging.basicConfig(level=args.pop("log_level", "INFO").upper())
+    from ..sources import files
     from . import api
 
     if command == "tile":
@@ -58,10 +75,10 @@ def main(argv: list[str] | None = None) -> int:
     elif command == "serve":
         from .server import serve
 
-        serve(args["dir"], args["host"], args["port"])
+        serve(args["dir"], args["host"], args["port"], args["cache_size"])
     else:
         ds = api.Dataset(args["dir"])
-        size = sum(p.stat().st_size for p in Path(args["dir"]).rglob("*") if p.is_file())
+        size = sum(files.size(f) for f, folder in files.listing(args["dir"], recursive=True) if not folder)
         print(f"tiles {ds.num_tiles}, {human_size(size)}, bounds {ds.bbox}, zooms {ds.zoom_levels}, statistics {ds.has_stats}, histograms {ds.has_histograms}")
     return 0
 

@@ -295,6 +295,16 @@ def test_commands(root, capsys):
         cli.main(["unknown"])
 
 
+def test_commands_take_the_functions_parameters():
+    import inspect
+
+    args = vars(cli.parser().parse_args(["tile", "--input", "a", "--outdir", "b", "--partition-size", "2mb", "--covering-bbox", "--two-stage-reducers", "3"]))
+    assert args["partition_size"] == 2 << 20 and args["covering_bbox"] and args["two_stage_reducers"] == 3
+    assert set(args) - {"command", "log_level"} <= set(inspect.signature(api.tile).parameters)
+    args = vars(cli.parser().parse_args(["build", "--input", "a", "--outdir", "b", "--zoom", "3"]))
+    assert set(args) - {"command", "log_level"} <= set(inspect.signature(api.build).parameters) | set(inspect.signature(api.tile).parameters)
+
+
 def test_streams(spark, tmp_path):
     rows = [(i, f"2024-01-01 0{i % 5}:10:00", float(i % 7) * 20, 10.0) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, ts string, lon double, lat double").withColumn("ts", F.col("ts").cast("timestamp"))
