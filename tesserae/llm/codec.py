@@ -194,7 +194,7 @@ def encode_documents(
         cut = chunker(v)
         is_byte = v.kinds == P.BYTE
         text_of = [plain(v, i) for i in range(len(v.pieces))]
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 20):
             raw = [None if x is None else cut(marked(x)) for x in batch.column(1).to_pylist()]
             used = {c for cs in raw if cs for c in cs}
             new = list(used.difference(cache))

@@ -56,6 +56,8 @@ CLOSE = 0.05
 FAINT, REPEAT = 1e-3, 0.05
 #: Blocks that a query reads first.
 FIRST = 4
+#: Bytes of text that are cut and counted at a time.
+SLICE = 1 << 20
 _BITS = 51
 
 
@@ -112,7 +114,7 @@ def _label_counts(batches):
         y = np.concatenate([y for _, y in held] or [np.zeros(0)])
         return pa.record_batch({"term": pa.array(term), "n": pa.array(np.bincount(at, minlength=len(term))), "pos": pa.array(np.bincount(at, y, len(term)).astype(np.int64))})
 
-    for part in slices(batches):
+    for part in slices(batches, limit=SLICE):
         row, term, _ = bag(part.column(1))
         held.append((term, part.column(2).to_numpy(zero_copy_only=False)[row]))
         n += len(term)
@@ -126,7 +128,7 @@ def _document_counts(shared):
     def run(batches):
         places = shared.value
         total = np.zeros(len(places) + 1, np.int64)
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             at = places(bag(part.column(1))[1])
             total += np.bincount(at[at >= 0], minlength=len(total))
             total[-1] += part.num_rows
@@ -167,7 +169,7 @@ def _signal(base: float):
 
 def _kinds(batches):
     """Rows (id, text, y) with their smallest hash of five words, which copies share."""
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE):
         h, w = word_hashes(*utf8(batch.column(1)))
         kinds = [int(s[0]) >> 1 if len(s) else -1 for s in (shingles(h[a:b], 5) for a, b in zip(w[:-1], w[1:], strict=True))]
         yield pa.record_batch([*batch.columns, pa.array(kinds, pa.int64())], names=["id", "text", "y", "kind"])
@@ -302,7 +304,7 @@ def learn(
     marked = spark.sparkContext.broadcast(Places(strong_terms))  # max_terms at most
 
     def has_marked(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             row, term, _ = bag(part.column(1))
             some = np.bincount(row, minlength=part.num_rows) > 0
             has = np.bincount(row, marked.value(term) >= 0, part.num_rows) > 0
@@ -321,7 +323,7 @@ def learn(
     taken = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
     def example_terms(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             row, term, count = bag(part.column(1))
             off = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
             yield pa.record_batch([part.column(0), part.column(2), pa.ListArray.from_arrays(off, pa.array(term)), pa.ListArray.from_arrays(off, pa.array(count, pa.int32()))], names=["id", "y", "terms", "n"])
@@ -389,7 +391,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     def run(batches):
         kept: dict = {}
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             got = score(batch.column(1), kept)
             held = [held_out is not None and crc_text(i) % modulus == held_out for i in batch.column(0).to_pylist()]
             why = pa.array([e for _, e in got], pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64())])))
@@ -405,7 +407,7 @@ def with_toxicity(documents: DataFrame, labels: DataFrame, *, text_col: str = "t
 
     def run(batches):
         kept: dict = {}
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SLICE):
             got = score(batch.column(text_col), kept)
             yield pa.record_batch([*batch.columns, pa.array([s for s, _ in got], pa.float64())], names=[*batch.schema.names, score_col])
 
