@@ -56,13 +56,14 @@ def embedded(df: DataFrame, text: str, embedder: TextEmbedder, into: str = "embe
 
 
 def norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    """Of the components there are."""
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double") * x.cast("double"), F.lit(0.0))))
 
 
-def l2_normalised(v: Column) -> Column:
-    """A zero vector stays zero."""
+def l2_normalised(v: Column, zero: float = 0.0) -> Column:
+    """Missing components stay missing; those of a zero vector become ``zero``."""
     n = norm(v)
-    return F.transform(v, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n))
+    return F.transform(v, lambda x: F.when(x.isNull(), F.lit(None).cast("double")).when(n == 0, F.lit(zero)).otherwise(x.cast("double") / n))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -57,6 +57,34 @@ def test_type_far_behind_its_brace(tmp_path, length):
     assert got == [0, 1, 2, 3]
 
 
+def against_sql(spark, name, folder):
+    """Rows of a query and of its SQL over a folder of tables, as texts, so that -0.0 isn't 0.0."""
+    import duckdb
+
+    con = duckdb.connect()
+    for f in folder.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{f / '*.parquet' if f.is_dir() else f}')")
+    got = sorted(repr(tuple(r)) for r in queries.QUERIES[name](spark, str(folder)).collect())
+    return got, sorted(map(repr, con.execute(queries.ORACLES[name]).fetchall()))
+
+
+def test_vectors_of_length_one_are_rounded_as_the_sql_rounds(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    odd = [[3.0, 4.0], [-1e-9, 1.0], [-0.0, 1.0], [0.0, -0.0], [0.0, None], [None, 3.0, 4.0], [None, None], [], None, [nan, 1.0], [None, nan], [inf, -1.0], [inf, None, 2.0], [1e-45, 0.0]]
+    spark.createDataFrame(list(enumerate(odd)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got, want = against_sql(spark, "l2_normalise", tmp_path)
+    assert got == want and "-0.0" in str(want) and "nan" in str(want)
+
+
+def test_coordinates_that_round_to_zero_keep_their_sign(spark, tmp_path):
+    """Latitude 0 is a little below 0 m (events), and so are places on some tiles' edges (customers)."""
+    spark.range(100_000).filter("id % 17000 in (8500, 1)").select(F.col("id").alias("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(6850, 8), (11900, 22), (14950, 11), (1, 5)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    for name in ("mercator_project", "tile_space"):
+        got, want = against_sql(spark, name, tmp_path)
+        assert got == want and "-0.0" in str(want)
+
+
 def test_schema_is_locked(spark, tmp_path):
     f = tmp_path / "a.json"
     c = collection(3)
