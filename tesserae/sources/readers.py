@@ -24,6 +24,8 @@ from . import files
 GEOJSON_SUFFIXES = (".geojson", ".geojsonl", ".json", ".jsonl")
 PARQUET_SUFFIXES = (".parquet", ".geoparquet")
 SPLIT_BYTES = 32 << 20
+#: Least bytes a task reads if there are so many: its start costs as much as a few thousand features.
+TASK_BYTES = 1 << 20
 
 
 def list_files(path: str) -> list[str]:
@@ -96,8 +98,9 @@ def byte_ranges(size: int, splits: int) -> list[tuple[int, int]]:
 
 _IS_FEATURE = re.compile(r'"type"\s*:\s*"Feature"')
 _DECODER = json.JSONDecoder()
-#: Read at a time beyond a range's end while its last feature goes on.
 _CHUNK = 1 << 20
+#: Read first beyond a range's end while its last feature goes on; then twice as much each time.
+_AHEAD = 1 << 14
 
 
 def features_in(path: str, offset: int, length: int) -> Iterator[bytes]:
@@ -111,11 +114,17 @@ def features_in(path: str, offset: int, length: int) -> Iterator[bytes]:
         back = 1 if offset else 0
         file.seek(offset - back)
         text = file.read(length + back).decode("latin-1")  # one character per byte
-        at, stop, done = back, length + back, False
+        at, stop, ahead = back, length + back, _AHEAD
+
+        def beyond() -> str:
+            nonlocal ahead
+            ahead *= 2
+            return file.read(ahead // 2).decode("latin-1")
+
         while True:
             m = _IS_FEATURE.search(text, at)
             if not m or len(text) - m.end() < 64:
-                more = file.read(_CHUNK).decode("latin-1")
+                more = beyond()
                 if more:
                     # what begins behind the range is another's; an unfinished object may still begin before
                     if not m and text.rfind("{", 0, stop) < at:
@@ -125,15 +134,18 @@ def features_in(path: str, offset: int, length: int) -> Iterator[bytes]:
                 if not m:
                     return
             begin, end = _object_around(text, m.start(), at)
-            while end is None and (more := file.read(_CHUNK)):
-                text += more.decode("latin-1")
+            while end is None and (more := beyond()):
+                text += more
                 begin, end = _object_around(text, m.start(), at)
             if end is None:
                 at = m.end()
                 continue
             if begin >= stop:
                 return
-            if text[:begin].rstrip()[-1:] != ":":
+            before = begin - 1
+            while before >= 0 and text[before].isspace():
+                before -= 1
+            if before < 0 or text[before] != ":":
                 yield text[begin:end].encode("latin-1")
             at = end
 
@@ -243,9 +255,23 @@ def row_of(raw: bytes, schema: T.StructType) -> tuple:
     return tuple((wkb.dumps(g) if g is not None else None) if f.name == "geometry" else _fit(props.get(f.name), f.dataType) for f in schema.fields)
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, offset: int, length: int) -> None:
-        self.path, self.offset, self.length = path, offset, length
+class _Ranges(InputPartition):
+    """Byte ranges (path, offset, length) that one task reads, one after the other."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]) -> None:
+        self.ranges = ranges
+
+
+def packed(ranges: list[tuple[str, int, int]], task_bytes: int) -> list[list[tuple[str, int, int]]]:
+    """Ranges in order, as many together as ``task_bytes`` hold, one at least."""
+    out, size = [], 0
+    for r in ranges:
+        if not out or size + r[2] > task_bytes:
+            out.append([])
+            size = 0
+        out[-1].append(r)
+        size += r[2]
+    return out
 
 
 class _Reader(DataSourceReader):
@@ -254,11 +280,12 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         size = int(self.options.get("splitBytes", SPLIT_BYTES))
-        return [_Range(f, o, n) for f in list_files(self.options["path"]) for o, n in byte_ranges(files.size(f), math.ceil(files.size(f) / size))] or [_Range("", 0, 0)]
+        ranges = [(f, o, n) for f in list_files(self.options["path"]) for b in [files.size(f)] for o, n in byte_ranges(b, math.ceil(b / size))]
+        return [_Ranges(r) for r in packed(ranges, int(self.options.get("taskBytes", size)))] or [_Ranges([])]
 
-    def read(self, part: _Range):
-        if part.path:
-            for raw in features_in(part.path, part.offset, part.length):
+    def read(self, part: _Ranges):
+        for path, offset, length in part.ranges:
+            for raw in features_in(path, offset, length):
                 yield row_of(raw, self.schema)
 
 
@@ -278,7 +305,9 @@ def read_geojson(spark: SparkSession, path: str, schema: T.StructType | None = N
     if not files.exists(path):
         raise FileNotFoundError(path)
     spark.dataSource.register(GeoJSONSource)
-    return spark.read.format("geojson").schema(schema or infer_schema(path, spark=spark)).option("splitBytes", split_bytes).load(path)
+    # small ranges share a task, as many as leave every core one
+    task_bytes = min(SPLIT_BYTES, max(split_bytes, TASK_BYTES, math.ceil(input_bytes(path) / spark.sparkContext.defaultParallelism)))
+    return spark.read.format("geojson").schema(schema or infer_schema(path, spark=spark)).option("splitBytes", split_bytes).option("taskBytes", task_bytes).load(path)
 
 
 def crs_hint(path: str) -> str | None:

@@ -210,6 +210,36 @@ def prefix_value(prefix: np.ndarray, z: int, x: int, y: int) -> float:
     return padded(r1, c1) - padded(r0, c1) - padded(r1, c0) + padded(r0, c0)
 
 
+def write_features(df: DataFrame, outdir: str, geometry: str = "geometry") -> int:
+    """Feature collections, one a task, a feature a line; how many features.
+
+    Each task streams its rows into a file of its own, which is moved into place when it is
+    complete, so a task that runs again leaves one file."""
+    from ..operators.features import geojson_lines
+
+    def write(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        n, task = 0, TaskContext.get().partitionId()
+        path = f"{outdir}/_temporary/{task}-{uuid.uuid4().hex}"
+        with files.create(path) as out:
+            out.write(b'{"type":"FeatureCollection","features":[')
+            for batch in batches:
+                if batch.num_rows:
+                    out.write(((",\n" if n else "") + ",\n".join(batch.column(0).to_pylist())).encode())
+                n += batch.num_rows
+            out.write(b"]}")
+        files.move(path, f"{outdir}/part-{task}.geojson")
+        yield pa.record_batch({"n": pa.array([n], pa.int64())})
+
+    n = geojson_lines(df, geometry).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    files.remove(f"{outdir}/_temporary")
+    return n
+
+
 def write_mvt(tiles: DataFrame, outdir: str) -> int:
     """mvt/z/x/y.mvt from (z, x, y, data), written by the tasks into the folder or store all share; how many."""
 

@@ -3,6 +3,7 @@
 import gzip
 import json
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -47,6 +48,27 @@ def test_type_behind_other_members_and_lines(spark, tmp_path):
     assert df.schema["m"].dataType.simpleString() == "string"
 
 
+def test_long_ranges_are_scanned_once(tmp_path):
+    """60,000 features in one range; a copy of the text for each of them took minutes."""
+    path = tmp_path / "long.jsonl"
+    path.write_text("\n".join('{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2]},"properties":{"id":%d,"name":"%s"}}' % (i, "x" * 60) for i in range(60_000)))
+    start = time.process_time()
+    assert sum(1 for _ in readers.features_in(str(path), 0, path.stat().st_size)) == 60_000
+    assert time.process_time() - start < 8
+
+
+def test_small_ranges_share_tasks_and_tasks_write_files(spark, tmp_path):
+    rows = [(i, f"a\n\"{i}\"", wkb.dumps(wkb.point(i, -i))) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, name string, geometry binary").repartition(3)
+    assert sinks.write_features(df, str(tmp_path / "f")) == 500
+    assert [f.rsplit("/", 1)[1] for f in readers.list_files(str(tmp_path / "f"))] == ["part-0.geojson", "part-1.geojson", "part-2.geojson"] and not (tmp_path / "f" / "_temporary").exists()
+    back = readers.read_geojson(spark, str(tmp_path / "f"), split_bytes=500)
+    assert back.rdd.getNumPartitions() == 1  # of over 100 ranges
+    assert sorted((r["id"], r["name"], bytes(r["geometry"])) for r in back.collect()) == rows
+    ranges = [("a", 0, 5), ("a", 5, 5), ("b", 0, 3), ("c", 0, 20), ("d", 0, 1)]
+    assert readers.packed(ranges, 10) == [ranges[:2], ranges[2:3], ranges[3:4], ranges[4:]] and readers.packed(ranges, 1) == [[r] for r in ranges]
+
+
 @pytest.mark.parametrize("length", [1 << 20, 1 << 30])
 def test_type_far_behind_its_brace(tmp_path, length):
     rows = ['{"properties": {"id": %d}, "note": "%s", "type": "Feature", "geometry": null}' % (i, "x" * n) for i, n in enumerate((10, 5 << 20, 10, 9 << 20))]
