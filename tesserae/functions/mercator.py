@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of EPSG:3857, the tile format and the engine's defaults.
@@ -102,11 +102,22 @@ def scale_to_uint(v: Column, low: float, high: float, bits: int) -> Column:
     return F.rint(share * F.lit(float((1 << bits) - 1))).cast("long")
 
 
+_SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+
+
+def _low(v: Column) -> Column:
+    return v.cast("long").bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
+
+
+def _apart(v: Column, shift: int, mask: int) -> Column:
+    return v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+
+
 def _spread(v: Column) -> Column:
     """The low 31 bits of v on the even places of 62."""
-    v = v.cast("long").bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    v = _low(v)
+    for step in _SPREAD:
+        v = _apart(v, *step)
     return v
 
 
@@ -115,6 +126,14 @@ def morton(x: Column, y: Column) -> Column:
     return _spread(x).bitwiseOR(F.shiftleft(_spread(y), 1))
 
 
+def with_morton(df: DataFrame, x: Column, y: Column, into: str) -> DataFrame:
+    """``morton`` as a column, a projection a step: one expression holds its numbers 64 times."""
+    df = df.withColumns({"__mx": _low(x), "__my": _low(y)})
+    for step in _SPREAD:
+        df = df.withColumns({n: _apart(F.col(n), *step) for n in ("__mx", "__my")})
+    return df.withColumn(into, F.col("__mx").bitwiseOR(F.shiftleft("__my", 1))).drop("__mx", "__my")
+
+
 def hilbert(x: Column, y: Column, bits: int) -> Column:
     """Distance along the Hilbert curve of order ``bits``: one step per bit, from the top.
 

@@ -10,6 +10,7 @@ import gzip
 import io
 import json
 import struct
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,6 +22,8 @@ from ..functions.boxes import Box
 from . import files
 
 ROW_GROUP_BYTES = 8 << 20
+#: Rows that one task sorts and writes, about; more tasks for more rows.
+TASK_ROWS = 1 << 18
 
 
 def with_boxes(df: DataFrame, geometry: str = "geometry") -> DataFrame:
@@ -30,18 +33,27 @@ def with_boxes(df: DataFrame, geometry: str = "geometry") -> DataFrame:
 
 
 def clustered(df: DataFrame, extent: Box, sort: str = "zorder", bits: int = 16, keys: list | None = None, geometry: str = "geometry") -> DataFrame:
-    """Rows by tile_id, each task's rows in the wanted order: zorder, hilbert, columns or none."""
-    df = df.repartition(F.col("_tile_id"))
-    if sort == "none" or (sort == "columns" and not keys):
-        return df.sortWithinPartitions("_tile_id") if sort == "columns" else df
+    """Rows by tile_id, each task's rows in the wanted order: zorder, hilbert, columns or none.
+
+    Up to TASK_ROWS rows, a task has whole tiles.  More rows are dealt by ranges of (tile, order),
+    about TASK_ROWS a task, so that a large tile is that of several tasks, one behind the other."""
+    order = []
     if sort == "columns":
-        order = [F.col(k[0]).asc() if k[1] else F.col(k[0]).desc() for k in (k if isinstance(k, tuple) else (k, True) for k in keys)]
-        return df.sortWithinPartitions("_tile_id", *order)
-    x = M.scale_to_uint(F.col("_cx"), extent.xmin, extent.xmax, bits)
-    y = M.scale_to_uint(F.col("_cy"), extent.ymin, extent.ymax, bits)
-    code = M.hilbert(x, y, bits) if sort == "hilbert" else M.morton(x, y)
-    # rows without a place come last
-    return df.withColumn("_sfc", F.when(F.col("_cx").isNull(), F.lit(2**63 - 1)).otherwise(code)).sortWithinPartitions("_tile_id", "_sfc").drop("_sfc")
+        order = [F.col(k[0]).asc() if k[1] else F.col(k[0]).desc() for k in (k if isinstance(k, tuple) else (k, True) for k in keys or [])]
+    elif sort != "none":
+        x = M.scale_to_uint(F.col("_cx"), extent.xmin, extent.xmax, bits)
+        y = M.scale_to_uint(F.col("_cy"), extent.ymin, extent.ymax, bits)
+        df = df.withColumn("_sfc", M.hilbert(x, y, bits)) if sort == "hilbert" else M.with_morton(df, x, y, "_sfc")
+        # rows without a place come last
+        df = df.withColumn("_sfc", F.when(F.col("_cx").isNull(), F.lit(2**63 - 1)).otherwise(F.col("_sfc")))
+        order = [F.col("_sfc")]
+    tasks = -(-df.count() // TASK_ROWS)
+    if tasks <= 1:
+        df = df.repartition(F.col("_tile_id"))
+    else:  # what is equal in the order is told apart by its values
+        values = [F.col(f"`{f.name}`") for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+        df = df.repartitionByRange(tasks, F.col("_tile_id"), *order, F.xxhash64(*values))
+    return df.sortWithinPartitions("_tile_id", *order).drop("_sfc")
 
 
 def geo_block(geometry: str, crs: str | None, bounds: list[float] | None, types: list[str]) -> dict:
@@ -55,10 +67,11 @@ def geo_block(geometry: str, crs: str | None, bounds: list[float] | None, types:
 
 
 def write_tiles(df: DataFrame, outdir: str, compression: str = "zstd", geometry: str = "geometry", crs: str | None = None, boxes: bool = True) -> int:
-    """One GeoParquet file a tile, in a folder by _tile_id, which readers prune; how many.
+    """One GeoParquet file a tile and task, in a folder by _tile_id, which readers prune; how many.
 
-    Each task holds whole tiles (``clustered``), row by row in order; a file's footer has
-    its tile's bounds.  A file is written under a name of its own and moved into place,
+    Each task holds tiles, or a part of a large one (``clustered``), row by row in order; a
+    file's footer has its rows' bounds, and its name the task's number, by which the files of a
+    tile are in order.  A file is written under a name of its own and moved into place,
     so a task that runs again leaves one file.  Internal columns aren't written."""
     root = f"{outdir}/parquet_tiles"
     files.remove(root)
@@ -70,8 +83,10 @@ def write_tiles(df: DataFrame, outdir: str, compression: str = "zstd", geometry:
         import pyarrow as pa
         import pyarrow.compute as pc
         import pyarrow.parquet as pq
+        from pyspark import TaskContext
 
         tile, writer, out, path, bounds, held, size, done = None, None, None, "", [], [], 0, 0
+        task, times = TaskContext.get().partitionId(), Counter()
 
         def flush():
             nonlocal held, size
@@ -90,7 +105,8 @@ def write_tiles(df: DataFrame, outdir: str, compression: str = "zstd", geometry:
             writer.add_key_value_metadata({"geo": json.dumps(block)})
             writer.close()
             out.close()
-            files.move(path, f"{root}/_tile_id={tile}/part-0.parquet")
+            files.move(path, f"{root}/_tile_id={tile}/part-{task:06}-{times[tile]}.parquet")
+            times[tile] += 1  # rows in no order may come back to a tile
             done += 1
 
         for batch in batches:

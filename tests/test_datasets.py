@@ -251,6 +251,29 @@ def test_tile_files_carry_their_bounds(spark, root):
         assert geo["columns"]["geometry"]["bbox"] == [r["xmin"], r["ymin"], r["xmax"], r["ymax"]]
 
 
+@pytest.mark.parametrize("sort", ["zorder", "hilbert", "columns", "none"])
+def test_large_tiles_are_several_tasks(spark, tmp_path, monkeypatch, sort):
+    """About as many rows a task, whatever tiles they are in; every row once, tiles in order over their files."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(sinks, "TASK_ROWS", 100)
+    x, y = (F.col("id") * 37 % 360 - 180).cast("double"), (F.col("id") * 91 % 180 - 90).cast("double")
+    df = spark.range(0, 2000, 1, 3).select("id", x.alias("_cx"), y.alias("_cy"), x.alias("_bbox_xmin"), y.alias("_bbox_ymin"), x.alias("_bbox_xmax"), y.alias("_bbox_ymax"), F.lit(None).cast("binary").alias("geometry"))
+    df = df.withColumn("_tile_id", F.when(F.col("id") % 50 == 0, 1).when(F.col("id") % 51 == 0, 2).otherwise(7))
+    n = sinks.write_tiles(sinks.clustered(df, Box(-180, -90, 180, 90), sort, keys=[("id", False)]), str(tmp_path))
+    sinks.write_manifest(df, str(tmp_path))
+    got = [(int(f.split("_tile_id=")[1].split("/")[0]), pq.ParquetFile(f)) for f, folder in files.listing(f"{tmp_path}/parquet_tiles", recursive=True) if not folder]
+    ids = [(t, i) for t, f in got for i in f.read(["id"]).column("id").to_pylist()]
+    assert len(got) == n > 15 and max(f.metadata.num_rows for _, f in got) < 250
+    assert sorted(i for _, i in ids) == list(range(2000)) and all(t == (1 if i % 50 == 0 else 2 if i % 51 == 0 else 7) for t, i in ids)
+    if sort == "columns":
+        assert ids == sorted(ids, key=lambda r: (r[0], -r[1]))
+    for _, f in got:
+        box, t = json.loads(f.metadata.metadata[b"geo"])["columns"]["geometry"]["bbox"], f.read(["_bbox_xmin", "_bbox_ymax"]).to_pandas()
+        assert (box[0], box[3]) == (t["_bbox_xmin"].min(), t["_bbox_ymax"].max())
+    assert sinks.read_tiles(spark, str(tmp_path), Box(0, 0, 40, 40)).count() == df.filter("_cx between 0 and 40 and _cy between 0 and 40").count()
+
+
 def test_tiles_named_by_their_bounds(spark, tmp_path):
     d = tmp_path / "sets" / "flat" / "parquet_tiles"
     d.mkdir(parents=True)
